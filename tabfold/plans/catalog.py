@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabfold.plans import q_encode  # noqa: F401
+from tabfold.plans import q_encode, q_profile  # noqa: F401
 from tabfold.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -20,8 +20,11 @@ def finish(df: DataFrame) -> DataFrame:
     engines); the oracle SQL rounds the same columns with ``round(x, 6)``."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), 6).alias(f.name))
+        if isinstance(f.dataType, T.FloatType):
+            # shortest text form first, so 8393.82f compares as 8393.82
+            cols.append(F.round(F.col(f.name).cast("string").cast("double"), 6).alias(f.name))
+        elif isinstance(f.dataType, T.DoubleType):
+            cols.append(F.round(F.col(f.name), 6).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
