@@ -67,16 +67,17 @@ def ordinal(df: DataFrame, col: str, mapping: dict, default=None, out: str | Non
 # ---------------------------------------------------------------- E7 top-n
 
 def fit_freq_rank(df: DataFrame, col: str, n: int) -> DataFrame:
-    """The ``n`` most frequent levels, ranked 1..n by count desc, ties to
-    the larger level. Distributed top-k (per-partition top-n, then merge)."""
+    """The ``n`` most frequent levels, coded 0..n-1 by count desc, ties to
+    the larger level; other levels get no code. Distributed top-k
+    (per-partition top-n, then merge)."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("level")).count()
     top = counts.orderBy(F.col("count").desc(), F.col("level").desc()).limit(n)
     w = Window.orderBy(F.col("count").desc(), F.col("level").desc())  # <= n rows
-    return top.select("level", "count", F.row_number().over(w).alias("rank"))
+    return top.select("level", "count", (F.row_number().over(w) - 1).cast("int").alias("code"))
 
 
 def apply_freq_rank(df: DataFrame, fitted: DataFrame, col: str, out: str) -> DataFrame:
-    t = fitted.select(F.col("level").alias(col), F.col("rank").alias(out))
+    t = fitted.select(F.col("level").alias(col), F.col("code").alias(out))
     return df.join(t, on=col, how="left")
 
 

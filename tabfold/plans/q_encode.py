@@ -106,14 +106,13 @@ def q_e5(spark, d):
 @register("e7_frequency_rank_top3", EMP + """,
 cnt AS (SELECT nation AS level, count(*) AS "count" FROM train WHERE nation IS NOT NULL GROUP BY nation),
 top AS (SELECT level, "count", row_number() OVER (ORDER BY "count" DESC, level DESC) AS rank FROM cnt)
-SELECT e.key, CAST(t.rank AS INTEGER) AS nation_rank FROM emp e LEFT JOIN top t ON e.nation = t.level AND t.rank <= 3
+SELECT e.key, CAST(t.rank - 1 AS INTEGER) AS nation_code FROM emp e LEFT JOIN top t ON e.nation = t.level AND t.rank <= 3
 """)
 def q_e7(spark, d):
-    """Top-3 most frequent nations coded 1..3 (ties to the larger level), rest null."""
+    """Top-3 most frequent nations coded 0..2 (ties to the larger level), rest null."""
     e = entity(spark, d)
     fitted = E.fit_freq_rank(e.filter(F.col("part") == "train"), "nation", 3)
-    return E.apply_freq_rank(e, fitted.withColumn("rank", F.col("rank").cast("int")), "nation", "nation_rank") \
-        .select("key", "nation_rank")
+    return E.apply_freq_rank(e, fitted, "nation", "nation_code").select("key", "nation_code")
 
 
 @register("e8_onehot_fitted_levels", EMP + """
