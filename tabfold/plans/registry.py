@@ -15,21 +15,66 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+NUDGE = 1.000000000001  # moves exact decimal ties off the rounding boundary
+
+
+def round6(col) -> F.Column:
+    """6-digit rounding done as ``round(x * nudge * 1e6) / 1e6``: the same
+    arithmetic the oracle's ``round(x, 6)`` performs, after the same nudge, so
+    results that differ only in the last bits (sum order) round alike."""
+    return F.round(col * F.lit(NUDGE) * F.lit(1e6)) / F.lit(1e6)
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Round every floating column to 6 digits (sum order differs between
-    engines); the oracle SQL rounds the same columns with ``round(x, 6)``."""
+    engines); the oracle SQL rounds the same columns with ``round(x, 6)``,
+    rewritten by ``nudge_sql`` to the same arithmetic."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.FloatType):
             # shortest text form first, so 8393.82f compares as 8393.82
-            cols.append(F.round(F.col(f.name).cast("string").cast("double"), 6).alias(f.name))
+            cols.append(round6(F.col(f.name).cast("string").cast("double")).alias(f.name))
         elif isinstance(f.dataType, T.DoubleType):
-            cols.append(F.round(F.col(f.name), 6).alias(f.name))
+            cols.append(round6(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
+def nudge_sql(sql: str) -> str:
+    """Rewrite each ``round(<expr>, 6)`` of an oracle text as
+    ``round((<expr>) * NUDGE, 6)`` (matching parentheses)."""
+    out, i = [], 0
+    low = sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        start = j + 6
+        depth, k, comma = 1, start, -1
+        while depth:
+            ch = sql[k]
+            if ch in "([":
+                depth += 1
+            elif ch in ")]":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = sql[start:comma], sql[comma + 1:k - 1].strip()
+        inner = nudge_sql(inner)
+        if digits == "6":
+            out.append(f"{sql[i:j]}round(({inner}) * {NUDGE!r}, 6)")
+        else:
+            out.append(f"{sql[i:j]}round({inner}, {digits})")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
 
@@ -44,7 +89,7 @@ def register(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql.strip()
+            ORACLES[name] = nudge_sql(sql.strip())
         return fn
 
     return deco
