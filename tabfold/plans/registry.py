@@ -15,14 +15,14 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-NUDGE = 1.000000000001  # moves exact decimal ties off the rounding boundary
+NUDGE = 1e-9  # absolute offset: moves exact decimal ties off the rounding boundary
 
 
 def round6(col) -> F.Column:
-    """6-digit rounding done as ``round(x * nudge * 1e6) / 1e6``: the same
-    arithmetic the oracle's ``round(x, 6)`` performs, after the same nudge, so
-    results that differ only in the last bits (sum order) round alike."""
-    return F.round(col * F.lit(NUDGE) * F.lit(1e6)) / F.lit(1e6)
+    """6-digit rounding done as ``round((x + 1e-9) * 1e6) / 1e6``: the same
+    arithmetic the oracle's ``round(x, 6)`` performs, after the same offset,
+    so results that differ only in the last bits (sum order) round alike."""
+    return F.round((col + F.lit(NUDGE)) * F.lit(1e6)) / F.lit(1e6)
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 def nudge_sql(sql: str) -> str:
     """Rewrite each ``round(<expr>, 6)`` of an oracle text as
-    ``round((<expr>) * NUDGE, 6)`` (matching parentheses)."""
+    ``round((<expr>) + NUDGE, 6)`` (matching parentheses)."""
     out, i = [], 0
     low = sql.lower()
     while True:
@@ -66,10 +66,14 @@ def nudge_sql(sql: str) -> str:
             elif ch == "," and depth == 1:
                 comma = k
             k += 1
+        if comma < 0:  # one-argument round(x): keep, rewrite inside
+            out.append(f"{sql[i:j]}round({nudge_sql(sql[start:k - 1])})")
+            i = k
+            continue
         inner, digits = sql[start:comma], sql[comma + 1:k - 1].strip()
         inner = nudge_sql(inner)
         if digits == "6":
-            out.append(f"{sql[i:j]}round(({inner}) * {NUDGE!r}, 6)")
+            out.append(f"{sql[i:j]}round(({inner}) + {NUDGE!r}, 6)")
         else:
             out.append(f"{sql[i:j]}round({inner}, {digits})")
         i = k
