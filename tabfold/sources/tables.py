@@ -83,10 +83,24 @@ def _p(w) -> F.Column:
     return ((F.col("l_discount") * a + F.col("l_tax") * b + F.col("l_linenumber") * d) / 3.0)
 
 
+def line_key() -> F.Column:
+    """Unique line-item key: 60 bits of the md5 of its integer columns
+    (order, line number, part, supplier, quantity) -- (order, line) alone
+    repeats in this data."""
+    txt = F.concat_ws("|", *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey",
+                                                                "l_suppkey")],
+                      F.col("l_quantity").cast("bigint").cast("string"))
+    return F.conv(F.substring(F.md5(txt), 1, 15), 16, 10).cast("long")
+
+
+LINE_KEY_SQL = ("('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+                "CAST(l_quantity AS BIGINT))), 1, 15))::BIGINT")
+
+
 def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"),
+        line_key().alias("key"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
         *[_p(w).alias(f"p_{m}") for m, w in MODEL_WEIGHTS.items()],
         F.when(F.year("l_shipdate") < 2000, "oof").otherwise("test").alias("split"),
@@ -95,12 +109,13 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p_sql(w) -> str:
-    a, b, d = w
-    return f"((l_discount * {a} + l_tax * {b} + l_linenumber * {d}) / 3.0)"
+    # literals as DOUBLE: a bare 0.1 is a DECIMAL in DuckDB and would round differently
+    a, b, d = (f"CAST({v!r} AS DOUBLE)" for v in w)
+    return f"((l_discount * {a} + l_tax * {b} + l_linenumber * {d}) / CAST(3.0 AS DOUBLE))"
 
 
 SCORES_WIDE_SQL = (
-    "sw AS (SELECT l_orderkey * 8 + l_linenumber AS key, CAST(l_returnflag = 'R' AS INTEGER) AS y, "
+    "sw AS (SELECT " + LINE_KEY_SQL + " AS key, CAST(l_returnflag = 'R' AS INTEGER) AS y, "
     + ", ".join(f"{_p_sql(w)} AS p_{m}" for m, w in MODEL_WEIGHTS.items())
     + ", CASE WHEN year(l_shipdate) < 2000 THEN 'oof' ELSE 'test' END AS split"
     + ", CAST(l_orderkey % 5 AS INTEGER) AS fold FROM lineitem)")
