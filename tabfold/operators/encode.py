@@ -208,6 +208,8 @@ def information_value(df: DataFrame, cols, y: str) -> DataFrame:
     """IV per column, ``(column, iv)``; the per-level tables of all
     columns are computed in one grouped pass over a melted view."""
     cols = as_list(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, iv double")
     long = df.select(F.col(y), F.explode(F.array(*[
         F.struct(F.lit(x).alias("column"), F.col(x).cast("string").alias("level")) for x in cols
     ])).alias("s")).select(F.col(y), "s.*")

@@ -21,6 +21,8 @@ def melt(df: DataFrame, cols, y: str, keep_null_values: bool = False) -> DataFra
     """(feature, value double, y) for every non-null value (nulls dropped,
     as ``dropna`` does before the tests)."""
     cols = as_list(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, value double, y int")
     long = df.select(F.col(y).alias("y"), F.explode(F.array(*[
         F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("value")) for x in cols
     ])).alias("s")).select("s.feature", "s.value", "y")
