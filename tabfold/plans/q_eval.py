@@ -14,15 +14,17 @@ SW = with_ctes(SCORES_WIDE_SQL)
 SL = with_ctes(SCORES_LONG_SQL)
 
 
-def _metrics_sql(src: str, keep: str = "") -> str:
-    """SQL twin of ``metrics_from_counts`` over a CTE with tp, fp, tn, fn."""
+def _metrics_sql(src: str, keep: str = "", rnd: bool = True) -> str:
+    """SQL twin of ``metrics_from_counts`` over a CTE with tp, fp, tn, fn.
+    ``rnd=False`` for intermediate tables (argmax, std): no rounding."""
     k = f"{keep}, " if keep else ""
+    r = (lambda e: f"round({e}, 6)") if rnd else (lambda e: e)
     return f"""
-SELECT {k}tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy,
-  round(p1, 6) AS precision, round(r1, 6) AS recall, round(f1_1, 6) AS f1,
-  round(p0, 6) AS precision_0, round(r0, 6) AS recall_0, round(f1_0, 6) AS f1_0,
+SELECT {k}tp, fp, tn, fn, {r("(tp + tn) / (tp + fp + tn + fn)")} AS accuracy,
+  {r("p1")} AS precision, {r("r1")} AS recall, {r("f1_1")} AS f1,
+  {r("p0")} AS precision_0, {r("r0")} AS recall_0, {r("f1_0")} AS f1_0,
   tp + fn AS support_1, tn + fp AS support_0,
-  round(coalesce((f1_1 * (tp + fn) + f1_0 * (tn + fp)) / nullif(tp + fp + tn + fn, 0), 0.0), 6) AS f1_weighted
+  {r("coalesce((f1_1 * (tp + fn) + f1_0 * (tn + fp)) / nullif(tp + fp + tn + fn, 0), 0.0)")} AS f1_weighted
 FROM (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0.0) AS f1_1,
              coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0.0) AS f1_0 FROM (
   SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r1,
@@ -53,7 +55,7 @@ def q_v6(spark, d):
     return V.f1_at(s, "y", "p", 0.3, inclusive=True, by="model")
 
 
-def _sweep_sql(src: str, start: float, step: float, n: int, op: str, by: str = "") -> str:
+def _sweep_sql(src: str, start: float, step: float, n: int, op: str, by: str = "", rnd: bool = True) -> str:
     k = f"{by}, " if by else ""
     gb = f"{by}, " if by else ""
     cnt = (f"(SELECT {k}g.cutoff, count(*) FILTER (WHERE s.y = 1 AND s.p {op} g.cutoff) AS tp, "
@@ -62,7 +64,7 @@ def _sweep_sql(src: str, start: float, step: float, n: int, op: str, by: str = "
            f"count(*) FILTER (WHERE s.y = 1 AND NOT (s.p {op} g.cutoff)) AS fn "
            f"FROM (SELECT CAST({start!r} AS DOUBLE) + CAST(i AS DOUBLE) * CAST({step!r} AS DOUBLE) AS cutoff "
            f"FROM range(0, {n}) t(i)) g CROSS JOIN {src} s GROUP BY {gb}g.cutoff)")
-    m = _metrics_sql(cnt, (by + ", cutoff") if by else "cutoff")
+    m = _metrics_sql(cnt, (by + ", cutoff") if by else "cutoff", rnd=rnd)
     return (f"SELECT {k}cutoff, tp, fp, tn, fn, accuracy, precision, recall, f1 FROM ({m})")
 
 
@@ -82,8 +84,9 @@ def q_v7b(spark, d):
 
 
 @register("v8_best_cutoff", SL + """,
-sw8 AS (""" + _sweep_sql("(SELECT model, y, p FROM sl WHERE split = 'oof')", 0.0, 0.01, 101, ">", by="model") + """)
-SELECT model, arg_min(cutoff, (-f1, cutoff)) AS cutoff, max(f1) AS f1 FROM sw8 GROUP BY model
+sw8 AS (""" + _sweep_sql("(SELECT model, y, p FROM sl WHERE split = 'oof')", 0.0, 0.01, 101, ">", by="model",
+                         rnd=False) + """)
+SELECT model, arg_min(cutoff, (-f1, cutoff)) AS cutoff, round(max(f1), 6) AS f1 FROM sw8 GROUP BY model
 """)
 def q_v8(spark, d):
     """Cutoff with the best F1 per model (first on ties)."""
@@ -159,7 +162,7 @@ def q_v13b(spark, d):
 
 
 @register("v14_fold_summary", SL + """,
-fm AS (""" + _metrics_sql(_cm_sql("p > 0.3", "sl WHERE split = 'oof'", "model, fold"), "model, fold") + """)
+fm AS (""" + _metrics_sql(_cm_sql("p > 0.3", "sl WHERE split = 'oof'", "model, fold"), "model, fold", rnd=False) + """)
 SELECT model, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std, count(*) AS n_folds
 FROM fm GROUP BY model
 """)
@@ -266,8 +269,8 @@ def q_b9(spark, d):
 
 
 @register("b10_b13_select_models", SL + """,
-m AS (""" + _metrics_sql(_cm_sql("p > 0.25", "sl WHERE split = 'oof'", "model"), "model") + """)
-SELECT model, f1 FROM m WHERE f1 > 0.3 AND model NOT IN ('m3')
+m AS (""" + _metrics_sql(_cm_sql("p > 0.25", "sl WHERE split = 'oof'", "model"), "model", rnd=False) + """)
+SELECT model, round(f1, 6) AS f1 FROM m WHERE f1 > 0.3 AND model NOT IN ('m3')
 """)
 def q_b10(spark, d):
     """Models whose recorded OOF F1 exceeds 0.3, minus an excluded name."""
@@ -311,8 +314,9 @@ BLEND_W = [i * 0.1 for i in range(11)]
 @register("b16_tune_blend_weights", SW + """,
 x AS (SELECT y, w, w * p_m1 + (1 - w) * p_m2 AS p FROM sw
       CROSS JOIN (SELECT CAST(i AS DOUBLE) * CAST(0.1 AS DOUBLE) AS w FROM range(0, 11) t(i)) WHERE split = 'oof'),
-sw16 AS (""" + _sweep_sql("x", 0.0, 0.02, 31, ">", by="w") + """)
-SELECT arg_min(w, (-f1, w, cutoff)) AS w, arg_min(cutoff, (-f1, w, cutoff)) AS cutoff, max(f1) AS f1 FROM sw16
+sw16 AS (""" + _sweep_sql("x", 0.0, 0.02, 31, ">", by="w", rnd=False) + """)
+SELECT arg_min(w, (-f1, w, cutoff)) AS w, arg_min(cutoff, (-f1, w, cutoff)) AS cutoff, round(max(f1), 6) AS f1
+FROM sw16
 """)
 def q_b16(spark, d):
     """Blend weight (0..1 by 0.1) and cutoff (0..0.6 by 0.02) chosen by OOF F1."""

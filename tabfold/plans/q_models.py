@@ -48,6 +48,8 @@ def _score_query(kind, weight=False, **params):
             tr = R.with_weight(tr, "y", "balanced")
         m = M.fit(kind, tr, feats, "y", weight="weight" if weight else None, **params)
         return M.score(m, te, "key")
+    q.__doc__ = (f"Fit {kind} ({', '.join(f'{k}={v}' for k, v in params.items()) or 'defaults'}"
+                 f"{', balanced class weights' if weight else ''}) on train rows; score test rows.")
     return q
 
 
