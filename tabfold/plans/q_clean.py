@@ -217,3 +217,41 @@ def q_c23(spark, d):
     """Rows with |z| > 1.5 in price or balance."""
     return P.zscore_outliers(entity(spark, d).select("key", "price", "acctbal"), ["price", "acctbal"], 1.5) \
         .select("key")
+
+
+@register("e20_text_row_cleaner", EMP + """,
+m AS (SELECT first(edu ORDER BY n DESC, edu) AS mode FROM (SELECT edu, count(*) AS n FROM train
+      WHERE edu IS NOT NULL AND trim(edu) <> '' GROUP BY edu)),
+f AS (SELECT e.key, CASE WHEN e.edu IS NULL OR trim(e.edu) = '' THEN m.mode ELSE e.edu END AS edu FROM emp e CROSS JOIN m),
+c AS (SELECT edu AS level, CAST(row_number() OVER (ORDER BY min(key), edu) - 1 AS INTEGER) AS code FROM f GROUP BY edu)
+SELECT f.key, c.code AS edu_code FROM f JOIN c ON f.edu = c.level
+""")
+def q_e20(spark, d):
+    """Blank or null text -> the train mode, then codes by first appearance (C2 + E3)."""
+    from tabfold.operators import encode as E
+    e = entity(spark, d).select("key", "edu", "part")
+    e = C.blank_to(e, "edu", None)
+    fitted = C.fit_mode(e.where(F.col("part") == "train"), ["edu"])
+    e = C.apply_fill(e, fitted, ["edu"])
+    codes = E.fit_factorize(e, "edu", "key").select(F.col("level").alias("edu"), F.col("code").alias("edu_code"))
+    return e.join(codes, "edu").select("key", "edu_code")
+
+
+@register("f21_impute_scale_for_distances", EMP + """,
+f AS (SELECT median(rating) AS med, avg(price) AS mp, stddev_pop(price) AS sp, avg(acctbal) AS ma,
+             stddev_pop(acctbal) AS sa FROM train),
+g AS (SELECT avg(coalesce(CAST(rating AS DOUBLE), med)) AS mr, stddev_pop(coalesce(CAST(rating AS DOUBLE), med)) AS sr
+      FROM train CROSS JOIN f)
+SELECT key, round((price - mp) / sp, 6) AS price, round((acctbal - ma) / sa, 6) AS acctbal,
+       round((coalesce(CAST(rating AS DOUBLE), med) - mr) / sr, 6) AS rating FROM emp CROSS JOIN f CROSS JOIN g
+""")
+def q_f21(spark, d):
+    """Median imputation then standard scaling (population std), all fitted on train."""
+    from tabfold.operators import scale as K
+    e = entity(spark, d).select("key", "price", "acctbal", "rating", "part")
+    tr = e.where(F.col("part") == "train")
+    med = C.fit_median(tr, ["rating"])
+    e = C.apply_fill(e, med, ["rating"])
+    tr = C.apply_fill(tr, med, ["rating"])
+    cols = ["price", "acctbal", "rating"]
+    return K.apply_scaler(e, K.fit_standard(tr, cols, ddof=0), cols, "standard").drop("part")

@@ -141,3 +141,16 @@ def q_x12(spark, d):
     """The two features with the highest gini (a top-k report)."""
     tr, _ = train_test(spark, d)
     return X.top_k(X.feature_gini(tr, FEATS, "y"), "gini", 2)
+
+
+@register("p27_corr_on_balanced_sample", EMP + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(key AS VARCHAR) || '42'), key) - 1 AS rk FROM train),
+m AS (SELECT count(*) AS nmin FROM train WHERE y = 1),
+s AS (SELECT r.* FROM r CROSS JOIN m WHERE y = 1 OR rk < round(nmin * 1.0))
+""" + " UNION ALL ".join(f"SELECT '{x}' AS \"column\", round(corr({x}, y), 6) AS corr FROM s" for x in FEATS))
+def q_p27(spark, d):
+    """Correlation with the label after 1:1 undersampling (R1 then P26)."""
+    from tabfold.operators import profile as P
+    from tabfold.operators import sampling as R
+    tr, _ = train_test(spark, d)
+    return P.corr_with(R.undersample(tr, "y", "key", ratio=1.0), FEATS, "y")
