@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, hash_unit, numeric_columns
+from tabfold.operators.joins import bounded
 from tabfold.session import cut_lineage
 
 
@@ -105,7 +106,7 @@ def fit_group_mode(df: DataFrame, col: str, keys) -> tuple[DataFrame, DataFrame]
 
 def apply_group_mode(df: DataFrame, grp: DataFrame, glob: DataFrame, col: str, keys) -> DataFrame:
     keys = as_list(keys)
-    x = df.join(grp, keys, "left").crossJoin(F.broadcast(glob.select(F.col(col).alias("_g"))))
+    x = df.join(bounded(grp), keys, "left").crossJoin(F.broadcast(glob.select(F.col(col).alias("_g"))))
     t = dict(df.dtypes)[col]
     return x.withColumn(col, F.coalesce(F.col(col), F.col("group_mode").cast(t), F.col("_g").cast(t))) \
         .drop("group_mode", "_g")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, safe_div
 from tabfold.functions.ranking import prefix_sums
-from tabfold.operators.joins import lookup
+from tabfold.operators.joins import bounded
 
 MAX_DUMMY_LEVELS = 1000  # one-hot widens the schema; refuse beyond this
 
@@ -31,6 +31,7 @@ def apply_label(df: DataFrame, fitted: DataFrame, cols, null_code: int | None =
                 suffix: str = "") -> DataFrame:
     """Replace each column by its code (null levels -> ``null_code``)."""
     out = df
+    fitted = bounded(fitted)
     for x in as_list(cols):
         t = fitted.where(F.col("column") == x).select(
             F.col("level").alias("_lvl"), F.col("code").alias(f"{x}{suffix}__code"))
@@ -78,7 +79,7 @@ def fit_freq_rank(df: DataFrame, col: str, n: int) -> DataFrame:
 
 def apply_freq_rank(df: DataFrame, fitted: DataFrame, col: str, out: str) -> DataFrame:
     t = fitted.select(F.col("level").alias(col), F.col("code").alias(out))
-    return df.join(t, on=col, how="left")
+    return df.join(bounded(t), on=col, how="left")
 
 
 # ---------------------------------------------------------------- E8/E9 one-hot
@@ -158,7 +159,7 @@ def apply_target_encode(df: DataFrame, table: DataFrame, prior: DataFrame, col:
     """Unseen or null levels get the prior. Optional multiplicative noise
     x * (1 + level * N(0,1)), keyed by ``seed`` (``randn`` is per-row)."""
     t = table.select(F.col("level").alias(col), F.col("smoothed").alias(out))
-    x = df.join(t, on=col, how="left").crossJoin(F.broadcast(prior))
+    x = df.join(bounded(t), on=col, how="left").crossJoin(F.broadcast(prior))  # prior: one row
     x = x.withColumn(out, F.coalesce(F.col(out), F.col("prior"))).drop("prior")
     if noise_level:
         x = x.withColumn(out, F.col(out) * (1 + noise_level * F.randn(seed)))
@@ -226,8 +227,8 @@ def information_value(df: DataFrame, cols, y: str) -> DataFrame:
 
 
 def apply_woe(df: DataFrame, table: DataFrame, col: str, out: str) -> DataFrame:
-    t = table.select(F.col("level").alias("_lvl"), F.col("woe").alias(out))
-    return df.join(t, df[col].cast("string") == t["_lvl"].cast("string"), "left").drop("_lvl")
+    t = bounded(table.select(F.col("level").cast("string").alias("_lvl"), F.col("woe").alias(out)))
+    return df.join(t, df[col].cast("string") == t["_lvl"], "left").drop("_lvl")
 
 
 # ---------------------------------------------------------------- E16-E19 bins

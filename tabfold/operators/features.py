@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabfold.functions.exprs import as_list, c, erfinv, hash_unit, safe_div
 from tabfold.functions.ranking import hashed_rank, prefix_sums
 from tabfold.functions.exprs import order_hash
+from tabfold.operators.joins import bounded
 
 # ------------------------------------------------------------ scalar
 
@@ -107,26 +108,23 @@ def fit_boxcox(df: DataFrame, cols, lambdas: list[float] | None = None, shift: f
     """lambda by maximum likelihood over a grid, per column, in ONE pass.
 
     llf(l) = (l - 1) * sum(ln x) - n/2 * ln(var_pop(boxcox_l(x))), x = value + shift.
-    All grid points are aggregated together; the argmax runs on the small
+    Each value is expanded by the (literal, bounded) lambda grid inside the map
+    stage and aggregated per (column, lambda): the partial aggregate collapses
+    the expansion before any shuffle. The argmax runs on the small
     (column, lambda, llf) result. Returns ``(column, lambda, llf)``."""
     cols = as_list(cols)
     lambdas = lambdas or [round(-2.0 + 0.05 * i, 2) for i in range(81)]
-    aggs = []
-    for k in cols:
-        x = F.col(k).cast("double") + F.lit(shift)
-        aggs += [F.sum(F.log(x)).alias(f"{k}__sumlog"), F.count(x).alias(f"{k}__n")]
-        for j, lam in enumerate(lambdas):
-            t = F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
-            aggs.append(F.var_pop(t).alias(f"{k}__v{j}"))
-    one = df.agg(*aggs)
-    rows = []
-    for k in cols:
-        for j, lam in enumerate(lambdas):
-            llf = (F.lit(lam) - 1) * F.col(f"{k}__sumlog") - F.col(f"{k}__n") / 2.0 * F.log(F.col(f"{k}__v{j}"))
-            rows.append(F.struct(F.lit(k).alias("column"), F.lit(float(lam)).alias("lambda"), llf.alias("llf")))
-    long = one.select(F.inline(F.array(*rows)))
-    return long.groupBy("column").agg(F.max_by(F.struct("lambda", "llf"), F.struct("llf", -F.col("lambda")))
-                                      .alias("b")).select("column", "b.lambda", "b.llf")
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("column"), (F.col(k).cast("double") + F.lit(shift)).alias("x")) for k in cols
+    ])).alias("s")).select("s.column", "s.x").where(F.col("x").isNotNull())
+    long = long.select("column", "x", F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lambda"))
+    t = F.when(F.col("lambda") == 0, F.log("x")).otherwise((F.pow("x", F.col("lambda")) - 1) / F.col("lambda"))
+    g = long.groupBy("column", "lambda").agg(F.var_pop(t).alias("_v"), F.sum(F.log("x")).alias("_sl"),
+                                             F.count("x").alias("_n"))
+    llf = (F.col("lambda") - 1) * F.col("_sl") - F.col("_n") / 2.0 * F.log(F.col("_v"))
+    return g.select("column", "lambda", llf.alias("llf")).groupBy("column").agg(
+        F.max_by(F.struct("lambda", "llf"), F.struct("llf", -F.col("lambda"))).alias("b")) \
+        .select("column", "b.lambda", "b.llf")
 
 
 def apply_boxcox(df: DataFrame, fitted: DataFrame, col: str, out: str | None = None, shift: float = 1.0) -> DataFrame:
@@ -147,7 +145,7 @@ def group_stats(df: DataFrame, cats, value: str, aggs=("min", "mean", "median",
     out = df
     for k in as_list(cats):
         t = df.groupBy(k).agg(*[fns[a](F.col(value)).alias(f"{value}_{a}_{k}") for a in aggs])
-        out = out.join(t, on=k, how="left")
+        out = out.join(bounded(t), on=k, how="left")
     return out
 
 
@@ -156,7 +154,7 @@ def group_mean(df: DataFrame, keys, value: str, scale: float = 1.0, out: str | N
     keys = as_list(keys)
     name = out or f"{value}_mean_by_{'_'.join(keys)}"
     t = df.groupBy(*keys).agg((F.avg(F.col(value).cast("double")) * scale).alias(name))
-    return df.join(t, on=keys, how="left")
+    return df.join(bounded(t), on=keys, how="left")
 
 
 def pairwise_means(df: DataFrame, cats, values) -> DataFrame:
@@ -168,7 +166,7 @@ def pairwise_means(df: DataFrame, cats, values) -> DataFrame:
         for b in cats[i + 1:]:
             t = df.groupBy(a, b).agg(*[F.avg(F.col(v).cast("double")).alias(f"{v}_mean_{a}_{b}")
                                        for v in values])
-            out = out.join(t, on=[a, b], how="left")
+            out = out.join(bounded(t), on=[a, b], how="left")
     return out
 
 
@@ -185,7 +183,7 @@ def rank_in_group(df: DataFrame, keys, value: str, key: str, out: str | None = N
     size = cnt.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     t = cum.join(size, keys).select(*keys, value, F.coalesce(
         safe_div(F.col("_n_cum").cast("double"), (F.col("_size") - 1).cast("double")), F.lit(0.0)).alias(name))
-    return df.join(t, on=[*keys, value], how="left")
+    return df.join(bounded(t), on=[*keys, value], how="left")
 
 
 # ------------------------------------------------------------ dense cube

@@ -1,26 +1,50 @@
 """Joins of fitted tables onto rows (JO1-JO8).
 
-Strategy: fitted tables are aggregates whose size depends on the data, so no
-broadcast hint is put on them blindly. The plan is a shuffle join; adaptive
-execution measures the materialised aggregate at run time and switches to a
-broadcast hash join only when it is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` (the size check). An explicit
-``broadcast`` is used only for tables with a bound fixed by construction
-(``max_rows`` given and checked, or literal grids).
+Strategy: a fitted table (one row per level) is small in practice but its
+size depends on the data, so it is never broadcast blindly, and it is not
+left to a shuffle join either (that would shuffle the whole big side just to
+meet a few hundred rows). ``bounded`` materialises the fitted table once
+(persisted; recomputed from lineage if an executor is lost), counts it, and
+adds the broadcast hint only when rows x row width is under a byte budget.
+Beyond the budget the join stays a shuffle join (AQE may still convert it).
+One-row tables (priors, min/max) are broadcast directly: one row is a bound.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list
 
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def row_width(df: DataFrame) -> int:
+    """Upper-ish estimate of one row in bytes (Spark's default type sizes,
+    strings counted at 64 bytes)."""
+    width = 8
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        width += 64 if name in ("string", "binary") else 256 if name in ("array", "map", "struct") else 8
+    return width
+
+
+def bounded(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Materialise a fitted table and broadcast it only if its checked size
+    (count x row width) is within ``max_bytes``."""
+    t = table.persist(StorageLevel.MEMORY_AND_DISK)
+    n = t.count()
+    return F.broadcast(t) if n * row_width(t) <= max_bytes else t
+
 
 def checked_broadcast(table: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``table`` only if a count proves it has at most ``max_rows``."""
-    n = table.count()
-    return F.broadcast(table) if n <= max_rows else table
+    """Broadcast ``table`` only if a count proves it has at most ``max_rows``
+    (and it fits the byte budget)."""
+    t = table.persist(StorageLevel.MEMORY_AND_DISK)
+    n = t.count()
+    return F.broadcast(t) if n <= max_rows and n * row_width(t) <= MAX_BROADCAST_BYTES else t
 
 
 def lookup(df: DataFrame, table: DataFrame, on, defaults: dict | None = None,
@@ -28,7 +52,7 @@ def lookup(df: DataFrame, table: DataFrame, on, defaults: dict | None = None,
     """JO1/JO2: left join a per-level table on one or more keys; columns missing
     for a key get ``defaults`` (a literal or a Column, e.g. the prior)."""
     on = as_list(on)
-    t = checked_broadcast(table, max_rows) if max_rows else table
+    t = checked_broadcast(table, max_rows) if max_rows else bounded(table)
     out = df.join(t, on=on, how="left")
     for col_name, value in (defaults or {}).items():
         v = value if isinstance(value, F.Column) else F.lit(value)
@@ -39,7 +63,7 @@ def lookup(df: DataFrame, table: DataFrame, on, defaults: dict | None = None,
 def join_group_stats(df: DataFrame, stats: DataFrame, on: str, suffix: str) -> DataFrame:
     """JO3: attach group statistics with a name suffix on every stat column."""
     renamed = stats.select(on, *[F.col(x).alias(f"{x}{suffix}") for x in stats.columns if x != on])
-    return df.join(renamed, on=on, how="left")
+    return df.join(bounded(renamed), on=on, how="left")
 
 
 def join_features(df: DataFrame, right: DataFrame, on) -> DataFrame:
@@ -51,7 +75,7 @@ def join_features(df: DataFrame, right: DataFrame, on) -> DataFrame:
 def flag_if_in(df: DataFrame, keys: DataFrame, on: str, out: str = "flag") -> DataFrame:
     """JO6: 0/1 flag whether the row's key appears in ``keys`` (semi-join)."""
     k = keys.select(on).distinct().withColumn(out, F.lit(1))
-    return df.join(k, on=on, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+    return df.join(bounded(k), on=on, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 
 def align_scores(long: DataFrame, key: str = "key", model: str = "model", value: str = "p",

@@ -131,4 +131,4 @@ def with_weight(df: DataFrame, y: str, weights: dict | str = "balanced", out: st
     cs = class_sizes(df, y)
     tot = cs.agg(F.sum("_n_class").alias("_tot"), F.count(F.lit(1)).alias("_k"))
     cs = cs.crossJoin(tot).select(y, (F.col("_tot") / (F.col("_k") * F.col("_n_class"))).alias(out))
-    return df.join(cs, y, "left")  # one row per class; AQE broadcasts it
+    return df.join(F.broadcast(cs), y, "left")  # one row per label value (a 0/1 label: two rows)
