@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfold.functions.exprs import as_list, c, safe_div
+from tabfold.functions.exprs import as_list, c, hash_unit, safe_div
 from tabfold.functions.ranking import prefix_sums
 from tabfold.operators.joins import bounded
 
@@ -155,14 +155,20 @@ def fit_target_encode(df: DataFrame, col: str, y: str, min_samples_leaf: float =
 
 
 def apply_target_encode(df: DataFrame, table: DataFrame, prior: DataFrame, col: str, out: str,
-                        noise_level: float = 0.0, seed: int = 0) -> DataFrame:
+                        noise_level: float = 0.0, seed: int = 0, key: str | None = None) -> DataFrame:
     """Unseen or null levels get the prior. Optional multiplicative noise
-    x * (1 + level * N(0,1)), keyed by ``seed`` (``randn`` is per-row)."""
+    x * (1 + level * N(0,1)); the normal draw is keyed by md5(key, seed)
+    (Box-Muller of two keyed uniforms), so reruns and retries agree."""
     t = table.select(F.col("level").alias(col), F.col("smoothed").alias(out))
     x = df.join(bounded(t), on=col, how="left").crossJoin(F.broadcast(prior))  # prior: one row
     x = x.withColumn(out, F.coalesce(F.col(out), F.col("prior"))).drop("prior")
     if noise_level:
-        x = x.withColumn(out, F.col(out) * (1 + noise_level * F.randn(seed)))
+        if key is None:
+            raise ValueError("keyed noise needs the row key")
+        u1 = F.greatest(hash_unit(key, f"{seed}:n1"), F.lit(1e-300))
+        u2 = hash_unit(key, f"{seed}:n2")
+        z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+        x = x.withColumn(out, F.col(out) * (1 + noise_level * z))
     return x
 
 
