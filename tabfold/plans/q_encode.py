@@ -174,8 +174,8 @@ def q_e11(spark, d):
 
 
 @register("e13_woe_share_form", EMP + """,
-g AS (SELECT priority AS level, sum(CAST(y = 0 AS BIGINT)) AS non_event, sum(CAST(y = 1 AS BIGINT)) AS event
-      FROM train GROUP BY priority),
+g AS (SELECT priority AS level, CAST(sum(CAST(y = 0 AS BIGINT)) AS BIGINT) AS non_event,
+             CAST(sum(CAST(y = 1 AS BIGINT)) AS BIGINT) AS event FROM train GROUP BY priority),
 t AS (SELECT sum(CAST(y = 0 AS BIGINT)) AS non, sum(CAST(y = 1 AS BIGINT)) AS ev FROM train),
 s AS (SELECT level, non_event, event, non_event / t.non AS sn, event / t.ev AS se FROM g CROSS JOIN t),
 w AS (SELECT *, CASE WHEN non_event > 0 AND event > 0 THEN ln(sn / se) ELSE 0.0 END AS woe FROM s)
@@ -190,8 +190,8 @@ def q_e13(spark, d):
 
 @register("e14_woe_odds_tail", EMP + """,
 x AS (SELECT least(nation, 20) AS level, y FROM train),
-g AS (SELECT level, sum(CAST(y = 0 AS BIGINT)) + CAST(level = 20 AS BIGINT) AS ne,
-             sum(CAST(y = 1 AS BIGINT)) + CAST(level = 20 AS BIGINT) AS ev FROM x GROUP BY level)
+g AS (SELECT level, CAST(sum(CAST(y = 0 AS BIGINT)) + CAST(level = 20 AS BIGINT) AS BIGINT) AS ne,
+             CAST(sum(CAST(y = 1 AS BIGINT)) + CAST(level = 20 AS BIGINT) AS BIGINT) AS ev FROM x GROUP BY level)
 SELECT level, ne AS non_event, ev AS event, round(ne / (ne + ev), 6) AS perc_non_event,
        round(ev / (ne + ev), 6) AS perc_event,
        round(CASE WHEN ne > 0 AND ev > 0 THEN ln(ne / ev) END, 6) AS woe FROM g
@@ -260,7 +260,7 @@ def q_e17(spark, d):
 q AS (SELECT list_sort(list_distinct(quantile_cont(price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99, 1.0]))) AS edges FROM train),
 b AS (SELECT t.y, q.edges, CASE WHEN t.price = q.edges[1] THEN 1
              ELSE len(list_filter(q.edges, lambda x: x < t.price)) END AS bin FROM train t CROSS JOIN q),
-g AS (SELECT bin AS level, sum(CAST(y = 0 AS BIGINT)) AS ne, sum(CAST(y = 1 AS BIGINT)) AS ev,
+g AS (SELECT bin AS level, CAST(sum(CAST(y = 0 AS BIGINT)) AS BIGINT) AS ne, CAST(sum(CAST(y = 1 AS BIGINT)) AS BIGINT) AS ev,
              any_value(edges[bin]) AS lower, any_value(edges[bin + 1]) AS upper FROM b GROUP BY bin)
 SELECT CAST(level AS INTEGER) AS level, ne AS non_event, ev AS event, round(ne / (ne + ev), 6) AS perc_non_event,
        round(ev / (ne + ev), 6) AS perc_event,

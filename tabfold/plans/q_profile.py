@@ -183,7 +183,7 @@ def q_p4(spark, d):
 
 
 @register("p5_null_report", EMP + "\nUNION ALL ".join(
-    f"SELECT '{n}' AS \"column\", sum(CAST({n} IS NULL AS BIGINT)) AS nulls, "
+    f"SELECT '{n}' AS \"column\", CAST(sum(CAST({n} IS NULL AS BIGINT)) AS BIGINT) AS nulls, "
     f"round(sum(CAST({n} IS NULL AS BIGINT)) * 100.0 / count(*), 6) AS pct FROM emp" for n, _ in EMP_TYPES))
 def q_p5(spark, d):
     """Null count and percent per column."""
@@ -198,7 +198,8 @@ def q_p8(spark, d):
 
 
 @register("p6_blank_report", EMP + "\nUNION ALL ".join(
-    f"SELECT '{x}' AS \"column\", coalesce(sum(CAST(trim({x}) = '' AS BIGINT)), 0) AS blanks FROM emp" for x in TXT))
+    f"SELECT '{x}' AS \"column\", CAST(coalesce(sum(CAST(trim({x}) = '' AS BIGINT)), 0) AS BIGINT) AS blanks FROM emp"
+    for x in TXT))
 def q_p6(spark, d):
     """Blank strings per text column."""
     return P.blank_report(entity(spark, d), TXT)
