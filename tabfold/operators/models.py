@@ -99,17 +99,23 @@ def importances(model: PipelineModel, feats) -> list[tuple[str, float]]:
 # ------------------------------------------------------------------ CV / OOF
 
 def cv_oof(kind: str, train: DataFrame, test: DataFrame | None, feats, y: str, key, fold: str = "fold",
-           weight: str | None = None, cutoff: float = 0.5, **params) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+           weight: str | None = None, cutoff: float = 0.5, parallelism: int = 3,
+           **params) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """For each fold k: fit on fold != k, score fold k (out-of-fold)
     and the test rows. Returns (oof (key, fold, p), test (key, p = mean over
     folds), fold metrics (fold, auc, f1)). The training table is persisted
-    once for the k fits."""
+    once; up to ``parallelism`` fold fits run as concurrent Spark jobs (as
+    ``CrossValidator(parallelism=...)`` does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     keys = as_list(key)
     train = train.persist()
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())  # k values
-    oofs, tests, mets = [], [], []
-    for k in folds:
-        m = fit(kind, train.where(F.col(fold) != k), feats, y, weight, **params)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = list(pool.map(lambda k: fit(kind, train.where(F.col(fold) != k), feats, y, weight, **params),
+                               folds))
+    oofs, tests = [], []
+    for k, m in zip(folds, models):
         part = train.where(F.col(fold) == k)
         o = score(m, part, [*keys, y]).withColumn(fold, F.lit(k))
         oofs.append(o)
