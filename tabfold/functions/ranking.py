@@ -24,12 +24,16 @@ from tabfold.functions.exprs import as_list, c
 from tabfold.session import cut_lineage
 
 
-def hashed_rank(df: DataFrame, hash_col: str, by=None, tiebreak=None, prefix: int = 3,
+def hashed_rank(df: DataFrame, hash_col: str, by=None, tiebreak=None, prefix: int = 4,
                 out: str = "rank") -> DataFrame:
     """0-based rank of each row inside ``by`` ordered by (hash_col, tiebreak).
 
     ``hash_col`` must be a lowercase hex string (md5). Exact: equals
     ``row_number() over (partition by by order by hash_col, tiebreak) - 1``.
+    With ``prefix`` = 4 hex digits a group is cut into up to 65,536
+    sub-buckets: a group of 3e11 rows sorts ~4.6e6 rows per window partition
+    (spillable), while the counts/offsets table stays <= 65,536 rows per group.
+    Raise ``prefix`` for even larger groups.
     """
     by = as_list(by)
     tiebreak = as_list(tiebreak)
