@@ -12,6 +12,8 @@ from tabfold.sources.tables import (ENTITY_SQL, TEST_SQL, TRAIN_SQL, entity, tab
                                     with_ctes)
 
 EMP = with_ctes(ENTITY_SQL, TRAIN_SQL, TEST_SQL)
+# SQL twin of functions.exprs.hash_unit: 13 hex digits of md5(key || seed) / 16**13
+HU = "CAST(('0x' || substr(md5(CAST(key AS VARCHAR) || '{seed}'), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
 
 
 # ------------------------------------------------------------------ F
@@ -190,7 +192,18 @@ def q_f25(spark, d):
     return FE.rank_gauss(entity(spark, d), "acctbal", "key")
 
 
-@register("f24_swap_noise")
+@register("f24_swap_noise", EMP + """,
+e AS (SELECT key, price, acctbal FROM emp),
+pos AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(key AS VARCHAR) || '7'), key) - 1 AS pos FROM e),
+n AS (SELECT count(*) AS n FROM e),
+u AS (SELECT pos.*, """ + HU.format(seed="7:price:swap") + """ AS ups,
+        floor(""" + HU.format(seed="7:price:donor") + """ * n) AS dp,
+        """ + HU.format(seed="7:acctbal:swap") + """ AS uas,
+        floor(""" + HU.format(seed="7:acctbal:donor") + """ * n) AS da FROM pos CROSS JOIN n)
+SELECT u.key, round(CASE WHEN ups < 0.15 THEN p1.price ELSE u.price END, 6) AS price,
+       round(CASE WHEN uas < 0.15 THEN p2.acctbal ELSE u.acctbal END, 6) AS acctbal
+FROM u LEFT JOIN pos p1 ON p1.pos = u.dp LEFT JOIN pos p2 ON p2.pos = u.da
+""")
 def q_f24(spark, d):
     """Swap noise: 15 % of values per column replaced by a keyed donor row's value."""
     e = entity(spark, d).select("key", "price", "acctbal")
@@ -291,9 +304,16 @@ def q_r3(spark, d):
     return R.oversample(tr.select("key", "y"), "y", 3)
 
 
-@register("r4_bootstrap")
+@register("r4_bootstrap", EMP + """,
+t AS (SELECT key, y, """ + HU.format(seed="3") + """ AS u FROM train),
+pmf AS (SELECT i, exp(i * ln(1.5) - 1.5 - lgamma(i + 1)) AS p FROM range(0, 60) r(i)),
+cdf AS (SELECT i, sum(p) OVER (ORDER BY i) AS c FROM pmf),
+k AS (SELECT t.key, t.y, (SELECT min(i) FROM cdf WHERE c >= t.u) AS k FROM t)
+SELECT key, y, CAST(unnest(range(1, k + 1)) AS INTEGER) AS _copy FROM k WHERE k > 0
+""")
 def q_r4(spark, d):
-    """Keyed Poisson(1.5) bootstrap counts (rows-only: inverse CDF in a pandas UDF)."""
+    """Keyed Poisson(1.5) bootstrap: each row repeated k times, k the inverse
+    Poisson CDF (pandas UDF) at md5(key, seed)."""
     tr, _ = train_test(spark, d)
     return R.bootstrap(tr.select("key", "y"), "key", 1.5, seed=3)
 

@@ -66,20 +66,69 @@ def q_x2(spark, d):
     return X.class_diff(tr, X2_FEATS, "y")
 
 
-@register("x3_drop_same_distribution")
+Z_CRIT = 1.9599639845400536  # two-sided normal quantile for alpha = 0.05: p > 0.05 <=> |z| < Z_CRIT
+
+
+def _class_diff_sql(src: str, feats: list[str], mean_src: str | None = None) -> str:
+    """(feature, diff, diff_norm) of ``class_diff`` over a CTE with a 0/1 ``y``."""
+    ms = mean_src or src
+    return f"""(SELECT g.feature, CASE WHEN non01 = 0 AND nd = 2 THEN abs(m0 - m1) ELSE abs(d0 - d1) END AS diff,
+  abs((CASE WHEN non01 = 0 AND nd = 2 THEN abs(m0 - m1) ELSE abs(d0 - d1) END) / nullif(mu.mu, 0)) AS diff_norm
+FROM (SELECT feature, avg(value) FILTER (WHERE y = 0) AS m0, avg(value) FILTER (WHERE y = 1) AS m1,
+        median(value) FILTER (WHERE y = 0) AS d0, median(value) FILTER (WHERE y = 1) AS d1,
+        count(*) FILTER (WHERE value NOT IN (0.0, 1.0)) AS non01, count(DISTINCT value) AS nd
+      FROM ({_melt_sql(src, feats)}) WHERE y IS NOT NULL GROUP BY feature) g
+JOIN (SELECT feature, avg(value) AS mu FROM ({_melt_sql(ms, feats)}) GROUP BY feature) mu ON g.feature = mu.feature)"""
+
+
+def _ranksum_sql(src: str, feats: list[str]) -> str:
+    """(feature, n0, n1, z) of ``ranksum`` over a CTE with a 0/1 ``y``."""
+    return f"""(SELECT feature, n0, n1, (s - n0 * (n0 + n1 + 1) / 2.0) / sqrt(n0 * n1 * (n0 + n1 + 1) / 12.0) AS z
+FROM (SELECT feature, sum(c0 * ar) AS s, sum(c0) AS n0, sum(c1) AS n1 FROM (
+  SELECT *, coalesce(sum(c) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING
+         AND 1 PRECEDING), 0) + (c + 1) / 2.0 AS ar FROM (
+    SELECT feature, value, count(*) FILTER (WHERE y = 0) AS c0, count(*) FILTER (WHERE y = 1) AS c1,
+           count(*) AS c FROM ({_melt_sql(src, feats)}) WHERE y IS NOT NULL GROUP BY 1, 2)) GROUP BY feature))"""
+
+
+X3_FEATS = X2_FEATS + ["key_mod"]
+X3_SRC = "t3 AS (SELECT *, CAST(rating = 5 AS INTEGER) AS is_top, key % 7 AS key_mod FROM train)"
+
+
+@register("x3_drop_same_distribution", EMP + ",\n" + X3_SRC + f"""
+SELECT d.feature, round(diff, 6) AS diff, round(diff_norm, 6) AS diff_norm,
+  CASE WHEN diff = 0 AND NOT (n0 >= 20 AND n1 >= 20 AND abs(z) >= {Z_CRIT}) THEN 'no_difference'
+       ELSE 'small_difference' END AS rule
+FROM {_class_diff_sql('t3', X3_FEATS)} d JOIN {_ranksum_sql('t3', X3_FEATS)} r ON d.feature = r.feature
+WHERE NOT (n0 >= 20 AND n1 >= 20 AND abs(z) >= {Z_CRIT}) AND (diff = 0 OR diff_norm < 0.5)
+""")
 def q_x3(spark, d):
-    """Features with no class difference by the rank-sum / difference rules."""
+    """Features with no class difference: (diff = 0 or diff_norm < 0.5) and
+    rank-sum p > 0.05 (the oracle states p > 0.05 as |z| < 1.96)."""
     tr, _ = train_test(spark, d)
     tr = tr.withColumn("is_top", (F.col("rating") == 5).cast("int")).withColumn("key_mod", F.col("key") % 7)
-    return X.same_distribution(tr, X2_FEATS + ["key_mod"], "y")
+    return X.same_distribution(tr, X3_FEATS, "y").select("feature", "diff", "diff_norm", "rule")
 
 
-@register("x4_train_test_drift")
+X4_FEATS = ["price", "acctbal", "rating", "nation", "yr", "yr_c"]
+X4_SRC = ("st AS (SELECT key, price, acctbal, rating, nation, yr, yr - 1998 AS yr_c, y FROM train "
+          "UNION ALL SELECT key, price, acctbal, rating, nation, yr, yr - 1998, NULL FROM test),\n"
+          "mk AS (SELECT *, CAST(y IS NOT NULL AS INTEGER) AS lab FROM st),\n"
+          "mk2 AS (SELECT * EXCLUDE (y), lab AS y FROM mk)")
+
+
+@register("x4_train_test_drift", EMP + ",\n" + X4_SRC + f"""
+SELECT d.feature, round(d.diff, 6) AS diff, round(d.diff_norm, 6) AS diff_norm, round(c.diff_norm, 6) AS class_diff_norm
+FROM {_class_diff_sql('mk2', X4_FEATS)} d JOIN {_ranksum_sql('mk2', X4_FEATS)} r ON d.feature = r.feature
+JOIN {_class_diff_sql('st', X4_FEATS, mean_src='st')} c ON d.feature = c.feature
+WHERE n0 >= 20 AND n1 >= 20 AND abs(z) >= {Z_CRIT} AND d.diff_norm > 1 AND c.diff_norm = 0
+""")
 def q_x4(spark, d):
-    """Features whose train and test distributions differ without a class signal."""
+    """Features whose train and test distributions differ (p < 0.05, diff_norm > 1)
+    while the labelled rows show no class difference (the year centred on 1998 drifts)."""
     tr, te = train_test(spark, d)
-    st = U.stack_train_test(tr, te).drop("is_train")
-    return X.drift_report(st, ["price", "acctbal", "rating", "nation", "yr"], "y")
+    st = U.stack_train_test(tr, te).drop("is_train").withColumn("yr_c", F.col("yr") - 1998)
+    return X.drift_report(st, X4_FEATS, "y").select("feature", "diff", "diff_norm", "class_diff_norm")
 
 
 IV_SQL = EMP + """,
