@@ -172,6 +172,44 @@ def apply_target_encode(df: DataFrame, table: DataFrame, prior: DataFrame, col:
     return x
 
 
+def fit_target_encode_oof(df: DataFrame, col: str, y: str, fold: str, min_samples_leaf: float = 1.0,
+                          smoothing: float = 1.0) -> DataFrame:
+    """E12 out of fold: a row in fold k is encoded with statistics of the
+    rows in the other folds only (no target leakage). One aggregation per
+    (level, fold); the other-fold statistics are the level totals minus the
+    fold's own, so k folds cost one pass, not k. Returns
+    ``(level, fold, smoothed)`` plus ``(fold, prior)`` rows with level NULL."""
+    yy = F.col(y).cast("double")
+    lf = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("level"), F.col(fold).alias("fold")) \
+        .agg(F.sum(yy).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    lv = lf.groupBy("level").agg(F.sum("_s").alias("_ls"), F.sum("_n").alias("_ln"))
+    fo = df.groupBy(F.col(fold).alias("fold")).agg(F.sum(yy).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
+    tot = fo.agg(F.sum("_fs").alias("_ts"), F.sum("_fn").alias("_tn"))
+    pri = fo.crossJoin(F.broadcast(tot)).select(  # one row per fold
+        "fold", ((F.col("_ts") - F.col("_fs")) / (F.col("_tn") - F.col("_fn"))).alias("prior"))
+    # every (level, fold) pair, including folds where the level does not occur
+    grid = lv.crossJoin(F.broadcast(pri.select("fold", "prior")))  # levels x k folds
+    x = grid.join(lf, ["level", "fold"], "left").fillna(0, ["_s", "_n"])
+    n = F.col("_ln") - F.col("_n")
+    mean = safe_div(F.col("_ls") - F.col("_s"), n.cast("double"))
+    w = 1.0 / (1.0 + F.exp(-(n - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
+    sm = F.when(n > 0, F.col("prior") * (1 - w) + mean * w).otherwise(F.col("prior"))
+    return x.select("level", "fold", sm.alias("smoothed")).unionByName(
+        pri.select(F.lit(None).cast(x.schema["level"].dataType).alias("level"), "fold",
+                   F.col("prior").alias("smoothed")))
+
+
+def apply_target_encode_oof(df: DataFrame, table: DataFrame, col: str, fold: str, out: str) -> DataFrame:
+    """Join the out-of-fold encoding on (level, fold); unseen or null levels
+    get the fold's prior."""
+    t = bounded(table)
+    lvl = t.where(F.col("level").isNotNull()).select(F.col("level").alias(col), F.col("fold").alias(fold),
+                                                     F.col("smoothed").alias(out))
+    pri = t.where(F.col("level").isNull()).select(F.col("fold").alias(fold), F.col("smoothed").alias("_prior"))
+    x = df.join(lvl, [col, fold], "left").join(pri, fold, "left")
+    return x.withColumn(out, F.coalesce(F.col(out), F.col("_prior"))).drop("_prior")
+
+
 # ---------------------------------------------------------------- E13-E15 WOE
 
 def fit_woe(df: DataFrame, col: str, y: str, kind: str = "share") -> DataFrame:

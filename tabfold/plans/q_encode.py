@@ -285,3 +285,24 @@ def q_e19(spark, d):
     mm = e.filter(F.col("part") == "train").agg(F.min("acctbal").alias("lo"), F.max("acctbal").alias("hi"))
     return e.crossJoin(F.broadcast(mm)).select(  # one-row side
         "key", F.expr("width_bucket(acctbal, lo, hi, 10)").cast("long").alias("acctbal_wbin"))
+
+
+@register("e12b_target_encode_out_of_fold", EMP + """,
+f AS (SELECT key, nation, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(key AS VARCHAR) || '5'), key) - 1)
+             % 5 AS INTEGER) AS fold FROM train),
+enc AS (SELECT f.key, f.nation, f.fold,
+          (SELECT avg(y) FROM f o WHERE o.fold <> f.fold) AS prior,
+          (SELECT count(*) FROM f o WHERE o.fold <> f.fold AND o.nation = f.nation) AS n,
+          (SELECT avg(y) FROM f o WHERE o.fold <> f.fold AND o.nation = f.nation) AS mean FROM f),
+w AS (SELECT *, 1.0 / (1.0 + exp(-(n - 50) / 10.0)) AS w FROM enc)
+SELECT key, fold, round(CASE WHEN nation IS NULL OR n = 0 THEN prior ELSE prior * (1 - w) + mean * w END, 6) AS te_nation
+FROM w
+""")
+def q_e12b(spark, d):
+    """Smoothed target encoding out of fold: each train row is encoded from
+    the other four stratified folds only."""
+    from tabfold.operators import sampling as R
+    tr, _ = train_test(spark, d)
+    tr = R.add_fold(tr.select("key", "nation", "y"), "key", 5, seed=5, by="y")
+    t = E.fit_target_encode_oof(tr, "nation", "y", "fold", min_samples_leaf=50, smoothing=10)
+    return E.apply_target_encode_oof(tr, t, "nation", "fold", "te_nation").select("key", "fold", "te_nation")
