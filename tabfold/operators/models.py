@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,10 +20,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabfold.functions.exprs import as_list, hash_unit, order_hash
+from tabfold.functions.exprs import as_list, order_hash
 from tabfold.functions.ranking import hashed_rank
 from tabfold.operators import evaluate as V
 from tabfold.session import cut_lineage

@@ -11,7 +11,6 @@ from tabfold.operators import features as FE
 from tabfold.operators import models as M
 from tabfold.operators import neighbors as N
 from tabfold.operators import sampling as R
-from tabfold.operators import setops as U
 from tabfold.plans.registry import register
 from tabfold.plans.q_encode import PRIORITY_ORDER
 from tabfold.session import ensure_checkpoint_dir
