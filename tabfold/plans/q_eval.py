@@ -65,7 +65,8 @@ def _sweep_sql(src: str, start: float, step: float, n: int, op: str, by: str = "
            f"FROM (SELECT CAST({start!r} AS DOUBLE) + CAST(i AS DOUBLE) * CAST({step!r} AS DOUBLE) AS cutoff "
            f"FROM range(0, {n}) t(i)) g CROSS JOIN {src} s GROUP BY {gb}g.cutoff)")
     m = _metrics_sql(cnt, (by + ", cutoff") if by else "cutoff", rnd=rnd)
-    return (f"SELECT {k}cutoff, tp, fp, tn, fn, accuracy, precision, recall, f1 FROM ({m})")
+    cut = "round(cutoff, 6) AS cutoff" if rnd else "cutoff"
+    return (f"SELECT {k}{cut}, tp, fp, tn, fn, accuracy, precision, recall, f1 FROM ({m})")
 
 
 @register("v7_v9_cutoff_sweep", SW + _sweep_sql("(SELECT y, p_m1 AS p FROM sw WHERE split = 'oof')", 0.0, 0.01, 101, ">"))
@@ -86,7 +87,7 @@ def q_v7b(spark, d):
 @register("v8_best_cutoff", SL + """,
 sw8 AS (""" + _sweep_sql("(SELECT model, y, p FROM sl WHERE split = 'oof')", 0.0, 0.01, 101, ">", by="model",
                          rnd=False) + """)
-SELECT model, arg_min(cutoff, (-f1, cutoff)) AS cutoff, round(max(f1), 6) AS f1 FROM sw8 GROUP BY model
+SELECT model, round(arg_min(cutoff, (-f1, cutoff)), 6) AS cutoff, round(max(f1), 6) AS f1 FROM sw8 GROUP BY model
 """)
 def q_v8(spark, d):
     """Cutoff with the best F1 per model (first on ties)."""
@@ -98,7 +99,7 @@ def q_v8(spark, d):
 sh AS (SELECT avg(CAST(p_m1 > 0.3 AS DOUBLE)) AS share FROM sw WHERE split = 'oof'),
 kk AS (SELECT CAST(round(share * (SELECT count(*) FROM sw WHERE split = 'test')) AS BIGINT) AS k, share FROM sh),
 cum AS (SELECT p_m1 AS p, sum(count(*)) OVER (ORDER BY p_m1 DESC) AS c FROM sw WHERE split = 'test' GROUP BY p_m1)
-SELECT max(p) AS test_cutoff, round(any_value(share), 6) AS oof_share, any_value(k) AS k
+SELECT round(max(p), 6) AS test_cutoff, round(any_value(share), 6) AS oof_share, any_value(k) AS k
 FROM cum CROSS JOIN kk WHERE c >= k
 """)
 def q_v10(spark, d):
@@ -126,7 +127,7 @@ sc AS (SELECT p_m2 AS p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (
        FROM sw WHERE split = 'oof' GROUP BY 1),
 c AS (SELECT p, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp,
              sum(pos) OVER () AS tot_pos, sum(neg) OVER () AS tot_neg FROM sc)
-SELECT p AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(fp / tot_neg, 6) AS fpr,
+SELECT round(p, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(fp / tot_neg, 6) AS fpr,
        round(tp / tot_pos, 6) AS tpr FROM c
 """)
 def q_v12(spark, d):
@@ -140,7 +141,7 @@ sc AS (SELECT p_m3 AS p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (
        FROM sw WHERE split = 'oof' GROUP BY 1),
 c AS (SELECT p, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp,
              sum(pos) OVER () AS tot_pos FROM sc)
-SELECT p AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / tot_pos, 6) AS recall FROM c
+SELECT round(p, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / tot_pos, 6) AS recall FROM c
 """)
 def q_v13(spark, d):
     """Precision and recall at each distinct score threshold."""
@@ -315,7 +316,8 @@ BLEND_W = [i * 0.1 for i in range(11)]
 x AS (SELECT y, w, w * p_m1 + (1 - w) * p_m2 AS p FROM sw
       CROSS JOIN (SELECT CAST(i AS DOUBLE) * CAST(0.1 AS DOUBLE) AS w FROM range(0, 11) t(i)) WHERE split = 'oof'),
 sw16 AS (""" + _sweep_sql("x", 0.0, 0.02, 31, ">", by="w", rnd=False) + """)
-SELECT arg_min(w, (-f1, w, cutoff)) AS w, arg_min(cutoff, (-f1, w, cutoff)) AS cutoff, round(max(f1), 6) AS f1
+SELECT round(arg_min(w, (-f1, w, cutoff)), 6) AS w, round(arg_min(cutoff, (-f1, w, cutoff)), 6) AS cutoff,
+  round(max(f1), 6) AS f1
 FROM sw16
 """)
 def q_b16(spark, d):

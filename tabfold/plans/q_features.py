@@ -89,7 +89,7 @@ best AS (SELECT arg_max(lam, llf) AS lam FROM ll)"""
 
 
 @register("f12_boxcox_lambda_apply", BC_SQL + """
-SELECT e.key, best.lam AS lambda, round(CASE WHEN best.lam = 0 THEN ln(e.price + 1.0)
+SELECT e.key, round(best.lam, 6) AS lambda, round(CASE WHEN best.lam = 0 THEN ln(e.price + 1.0)
   ELSE (pow(e.price + 1.0, best.lam) - 1) / best.lam END, 6) AS price_bc FROM emp e CROSS JOIN best
 """)
 def q_f12(spark, d):

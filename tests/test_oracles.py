@@ -21,7 +21,8 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        # strict: both engines round with the same arithmetic, so values must be bit-identical
+        return None if math.isnan(v) else v + 0.0
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
