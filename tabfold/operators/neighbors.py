@@ -3,7 +3,7 @@
 Query and base rows are cut into blocks of bounded size (md5-keyed, so block
 membership is stable). Every (query block, base block) pair is one cogroup:
 the task computes that block's distance matrix with numpy and emits only the
-k best candidates per query row. A final per-query merge of at most
+k best candidates per query row (plus any tied with the k-th). A final per-query merge of at most
 k x (number of base blocks) candidates keeps the global top k. No group holds
 more than one block per side, and the shuffled rows are
 N x (base blocks) + M x (query blocks), never N x M.
@@ -43,15 +43,13 @@ def _topk_fn(k: int, exclude_self: bool):
             if exclude_self:
                 dist = np.where(qk[s:s + step, None] == bk[None, :], np.inf, dist)
             kk = min(k, dist.shape[1])
-            idx = np.argpartition(dist, kk - 1, axis=1)[:, :kk] if kk < dist.shape[1] else \
-                np.tile(np.arange(dist.shape[1]), (dist.shape[0], 1))
-            rows = np.repeat(np.arange(dist.shape[0]), idx.shape[1])
-            cols = idx.ravel()
-            d = dist[rows, cols]
-            ok = np.isfinite(d)
-            out_q.append(qk[s + rows[ok]])
-            out_n.append(bk[cols[ok]])
-            out_d.append(d[ok])
+            # every candidate within the k-th smallest distance (ties included), so the
+            # final (dist, key) ordering is exact even when distances tie at the cut
+            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+            out_q.append(qk[s + rows])
+            out_n.append(bk[cols])
+            out_d.append(dist[rows, cols])
         return pd.DataFrame({"qkey": np.concatenate(out_q).astype("int64"),
                              "nkey": np.concatenate(out_n).astype("int64"),
                              "dist": np.concatenate(out_d).astype("float64")})

@@ -64,7 +64,8 @@ def null_report(df: DataFrame, cols=None) -> DataFrame:
                  *[F.sum(F.col(x).isNull().cast("long")).alias(x) for x in cols])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(x).alias("column"), F.col(x).alias("nulls"),
-                 (F.col(x) * 100.0 / F.col("_n")).alias("pct")) for x in cols])))
+                 (F.col(x) * 100.0 / F.col("_n")).alias("pct")) for x in cols]))) \
+        .orderBy(F.col("nulls").desc(), "column")
 
 
 def null_columns(df: DataFrame) -> DataFrame:
