@@ -28,6 +28,14 @@ def _blocks(df: DataFrame, key: str, n_blocks: int, name: str, seed: str) -> Dat
 
 
 def _topk_fn(k: int, exclude_self: bool):
+    """Exact top-k per query row of one (query block, base block) pair.
+
+    Squared distances come from one BLAS product (|q|^2 + |b|^2 - 2 q.b);
+    every pair within a rounding margin of the k-th value is re-measured
+    exactly as sqrt(sum((q - b)^2)), and all pairs within the exact k-th
+    distance are emitted (ties included). The margin (1e-9 of the squared
+    norms) is far above the expansion's float error, so no true neighbour is
+    lost."""
     def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({"qkey": [], "nkey": [], "dist": []})
@@ -35,21 +43,38 @@ def _topk_fn(k: int, exclude_self: bool):
         bv = np.stack(b["vec"].to_numpy()).astype("float64")
         qk = q["key"].to_numpy()
         bk = b["key"].to_numpy()
+        qn = (qv * qv).sum(axis=1)
+        bn = (bv * bv).sum(axis=1)
         out_q, out_n, out_d = [], [], []
-        step = max(1, 2_000_000 // max(1, bv.shape[0] * bv.shape[1]))
+        step = max(1, 20_000_000 // bv.shape[0])  # rows of the squared-distance chunk
         for s in range(0, len(qv), step):
-            diff = qv[s:s + step, None, :] - bv[None, :, :]
-            dist = np.sqrt((diff * diff).sum(axis=2))
+            qs = qv[s:s + step]
+            d2 = qn[s:s + step, None] + bn[None, :] - 2.0 * (qs @ bv.T)
             if exclude_self:
-                dist = np.where(qk[s:s + step, None] == bk[None, :], np.inf, dist)
-            kk = min(k, dist.shape[1])
-            # every candidate within the k-th smallest distance (ties included), so the
-            # final (dist, key) ordering is exact even when distances tie at the cut
-            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
-            out_q.append(qk[s + rows])
-            out_n.append(bk[cols])
-            out_d.append(dist[rows, cols])
+                d2 = np.where(qk[s:s + step, None] == bk[None, :], np.inf, d2)
+            kk = min(k, d2.shape[1])
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            margin = 1e-9 * (qn[s:s + step] + bn.max()) + 1e-12
+            rows, cols = np.nonzero((d2 <= (kth + margin)[:, None]) & np.isfinite(d2))
+            if len(rows) == 0:
+                continue
+            diff = qs[rows] - bv[cols]
+            exact = np.sqrt((diff * diff).sum(axis=1))
+            # exact k-th distance per row among the candidates, then keep ties
+            order = np.lexsort((exact, rows))
+            r_sorted, e_sorted = rows[order], exact[order]
+            starts = np.searchsorted(r_sorted, np.unique(r_sorted))
+            counts = np.diff(np.append(starts, len(r_sorted)))
+            kth_exact = e_sorted[starts + np.minimum(counts, kk) - 1]
+            keep_rows = np.repeat(np.unique(r_sorted), counts)
+            limit = np.repeat(kth_exact, counts)
+            sel = e_sorted <= limit
+            c_sorted = cols[order]
+            out_q.append(qk[s + keep_rows[sel]])
+            out_n.append(bk[c_sorted[sel]])
+            out_d.append(e_sorted[sel])
+        if not out_q:
+            return pd.DataFrame({"qkey": [], "nkey": [], "dist": []})
         return pd.DataFrame({"qkey": np.concatenate(out_q).astype("int64"),
                              "nkey": np.concatenate(out_n).astype("int64"),
                              "dist": np.concatenate(out_d).astype("float64")})
@@ -57,13 +82,21 @@ def _topk_fn(k: int, exclude_self: bool):
     return fn
 
 
+def auto_block_rows(n: int) -> int:
+    """Rows per block: ~4 sqrt(n), within [2,000, 50,000]. Larger blocks mean
+    less replication (the shuffle is ~2 N M / block rows), bounded by what
+    one task holds (two blocks of vectors)."""
+    return int(min(50_000, max(2_000, math.ceil(4 * math.sqrt(max(n, 1))))))
+
+
 def knn(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, exclude_self: bool = True,
-        block_rows: int = 2000) -> DataFrame:
+        block_rows: int | None = None) -> DataFrame:
     """F22 core: the k nearest base rows of every query row by Euclidean
     distance: ``(qkey, j, nkey, dist)``, j = 1..k, ties by neighbour key. The
     row itself is excluded by key (not by skipping rank 0)."""
     nq = query.count()
     nb = base.count()
+    block_rows = block_rows or auto_block_rows(max(nq, nb))
     qb = max(1, math.ceil(nq / block_rows))
     bb = max(1, math.ceil(nb / block_rows))
     q = _blocks(query.select(F.col(key).cast("long").alias("key"),
@@ -81,7 +114,7 @@ def knn(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, exclude_s
 
 
 def knn_distances(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, exclude_self: bool = True,
-                  block_rows: int = 2000) -> DataFrame:
+                  block_rows: int | None = None) -> DataFrame:
     """distance to the 1st..k-th nearest base row as columns ``d1..dk``."""
     nb = knn(query, base, key, vec, k, exclude_self, block_rows)
     return nb.groupBy("qkey").pivot("j", list(range(1, k + 1))).agg(F.first("dist")) \
@@ -89,7 +122,7 @@ def knn_distances(query: DataFrame, base: DataFrame, key: str, vec: str, k: int,
 
 
 def knn_vote(query: DataFrame, base: DataFrame, key: str, vec: str, label: str, k: int,
-             weighted: bool = False, exclude_self: bool = True, block_rows: int = 2000) -> DataFrame:
+             weighted: bool = False, exclude_self: bool = True, block_rows: int | None = None) -> DataFrame:
     """M9: class by (distance-weighted) vote of the k nearest base rows; ties
     go to the smaller class. Also returns the share of votes for the winner."""
     nb = knn(query, base, key, vec, k, exclude_self, block_rows)
@@ -103,7 +136,7 @@ def knn_vote(query: DataFrame, base: DataFrame, key: str, vec: str, label: str,
 
 
 def smote(df: DataFrame, key: str, vec: str, label: str, minority, k: int = 5, seed=0,
-          block_rows: int = 2000) -> DataFrame:
+          block_rows: int | None = None) -> DataFrame:
     """One synthetic row per minority row: x + u * (neighbour - x), with
     the neighbour drawn among its k minority neighbours and u in [0, 1), both
     keyed by md5(key, seed)."""

@@ -221,3 +221,23 @@ def test_smote_points_lie_between_neighbours(spark):
         x0, x1 = r["v"]
         assert x1 == pytest.approx(2 * x0)  # stays on the line
         assert abs(x0 - r["source_key"]) <= 2 + 1e-9
+
+
+def test_knn_tie_goes_to_smaller_key(spark):
+    pts = spark.createDataFrame([(0, [0.0]), (5, [-1.0]), (3, [1.0]), (9, [4.0])], "id long, v array<double>")
+    nb = N.knn(pts.where("id = 0"), pts, "id", "v", 1, block_rows=1).collect()
+    assert [(r["nkey"], r["dist"]) for r in nb] == [(3, 1.0)]
+
+
+def test_knn_matches_numpy_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(300, 8)), 2)  # rounded: exact duplicates and ties occur
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    got = N.knn(df, df, "id", "v", 4, block_rows=70).toPandas()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(300):
+        order = sorted(range(300), key=lambda j: (d[i, j], j))[:4]
+        g = got[got.qkey == i].sort_values("j")
+        assert list(g.nkey) == order
+        assert np.allclose(g.dist.values, d[i, order])
