@@ -128,6 +128,14 @@ def fit_boxcox(df: DataFrame, cols, lambdas: list[float] | None = None, shift: f
         .select("column", "b.lambda", "b.llf")
 
 
+def skewed_columns(df: DataFrame, cols, threshold: float = 0.5) -> list[str]:
+    """F12 selection: columns whose |population skewness| exceeds ``threshold``
+    (one aggregation pass; the short list comes back to the driver)."""
+    cols = as_list(cols)
+    row = df.agg(*[F.skewness(F.col(k).cast("double")).alias(k) for k in cols]).first()
+    return [k for k in cols if row[k] is not None and abs(row[k]) > threshold]
+
+
 def apply_boxcox(df: DataFrame, fitted: DataFrame, col: str, out: str | None = None, shift: float = 1.0) -> DataFrame:
     lam = fitted.where(F.col("column") == col).select(F.col("lambda").alias("_lam"))
     x = df.crossJoin(F.broadcast(lam))  # one row

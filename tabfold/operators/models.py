@@ -78,6 +78,13 @@ def score(model: PipelineModel, df: DataFrame, key, out: str = "p") -> DataFrame
     return x.select(*as_list(key), p.alias(out))
 
 
+def logistic_params(c: float, n_rows: int, l1: bool = False) -> dict:
+    """M1: sklearn-style inverse strength ``C`` as MLlib parameters:
+    regParam = 1 / (C * n) (MLlib averages the loss over rows), elastic net 1
+    for an L1 penalty, 0 for L2."""
+    return {"regParam": 1.0 / (c * n_rows), "elasticNetParam": 1.0 if l1 else 0.0}
+
+
 def save(model: PipelineModel, path: str) -> None:
     """S9."""
     model.write().overwrite().save(path)
@@ -165,9 +172,13 @@ def grid_search(kind: str, df: DataFrame, feats, y: str, grid: dict, fold: str =
 
 
 def random_search(kind: str, df: DataFrame, feats, y: str, space: dict, n: int, seed: int = 0,
-                  train_ratio: float = 0.75, metric: str = "auc") -> DataFrame:
+                  train_ratio: float = 0.75, metric: str = "auc", max_seconds: float | None = None) -> DataFrame:
     """``n`` random points of the parameter space (seeded), each fit on a
-    train part and scored on the rest (TrainValidationSplit), best first."""
+    train part and scored on the rest (TrainValidationSplit), best first.
+    With ``max_seconds`` the points are tried one at a time and the search
+    stops starting new ones once the wall-clock budget is spent."""
+    if max_seconds is not None:
+        return _random_search_capped(kind, df, feats, y, space, n, seed, train_ratio, metric, max_seconds)
     rnd = random.Random(seed)
     data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
     est = estimator(kind, y)
@@ -184,6 +195,27 @@ def random_search(kind: str, df: DataFrame, feats, y: str, space: dict, n: int,
     return out.orderBy(F.col(metric).desc(), *space.keys())
 
 
+def _random_search_capped(kind, df, feats, y, space, n, seed, train_ratio, metric, max_seconds) -> DataFrame:
+    import time
+
+    rnd = random.Random(seed)
+    data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
+    ev = F1Evaluator(y) if metric == "f1" else BinaryClassificationEvaluator(labelCol=y)
+    start = time.monotonic()
+    rows = []
+    for _ in range(n):
+        if rows and time.monotonic() - start > max_seconds:
+            break
+        est = estimator(kind, y)
+        pm = {est.getParam(k): rnd.choice(v) for k, v in space.items()}
+        tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=[pm], evaluator=ev, trainRatio=train_ratio,
+                                   seed=seed)
+        m = tvs.fit(data)
+        rows.append(tuple([str(pm[est.getParam(k)]) for k in space] + [float(m.validationMetrics[0])]))
+    out = df.sparkSession.createDataFrame(rows, ", ".join([f"{k} string" for k in space] + [f"{metric} double"]))
+    return out.orderBy(F.col(metric).desc(), *space.keys())
+
+
 def compare_learners(train: DataFrame, valid: DataFrame, feats, y: str, kinds: dict[str, dict],
                      key="key", cutoff: float = 0.5) -> DataFrame:
     """Fit several learners, table of AUC and F1 on the validation rows."""

@@ -102,9 +102,19 @@ def q_m13(spark, d):
 
 @register("m14_random_search")
 def q_m14(spark, d):
-    """Three seeded random points of a forest space, train/validation split."""
+    """Up to three seeded random points of a forest space, train/validation
+    split, with a 120 s wall-clock budget for starting new points."""
     tr, _, feats = model_frames(spark, d)
-    return M.random_search("forest", tr, feats, "y", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 5]}, 3, seed=4)
+    return M.random_search("forest", tr, feats, "y", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 5]}, 3, seed=4,
+                           max_seconds=120.0)
+
+
+@register("m1b_logistic_c_l1")
+def q_m1b(spark, d):
+    """L1 logistic regression with sklearn-style C = 1.0 mapped to MLlib's regParam = 1 / (C n)."""
+    tr, te, feats = model_frames(spark, d)
+    m = M.fit("logistic", tr, feats, "y", **M.logistic_params(1.0, tr.count(), l1=True))
+    return M.score(m, te, "key")
 
 
 @register("m15_cv_oof_scores")

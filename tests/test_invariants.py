@@ -241,3 +241,17 @@ def test_knn_matches_numpy_brute_force(spark):
         g = got[got.qkey == i].sort_values("j")
         assert list(g.nkey) == order
         assert np.allclose(g.dist.values, d[i, order])
+
+
+def test_skewed_columns_selects_by_abs_skew(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"sym": rng.normal(size=500), "right": rng.exponential(size=500),
+                        "left": -rng.exponential(size=500)})
+    assert FE.skewed_columns(spark.createDataFrame(pdf), ["sym", "right", "left"], 0.5) == ["right", "left"]
+
+
+def test_boxcox_grid_recovers_log_for_lognormal(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": np.exp(rng.normal(size=3000)) - 1.0})  # x + 1 is log-normal: lambda ~ 0
+    lam = FE.fit_boxcox(spark.createDataFrame(pdf), ["x"]).first()["lambda"]
+    assert abs(lam) <= 0.1
