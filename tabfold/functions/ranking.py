@@ -24,6 +24,17 @@ from tabfold.functions.exprs import as_list, c
 from tabfold.session import cut_lineage
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join where NULL keys match NULL keys (group keys may be NULL)."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[F.col(c) for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def hashed_rank(df: DataFrame, hash_col: str, by=None, tiebreak=None, prefix: int = 4,
                 out: str = "rank") -> DataFrame:
     """0-based rank of each row inside ``by`` ordered by (hash_col, tiebreak).
@@ -43,7 +54,7 @@ def hashed_rank(df: DataFrame, hash_col: str, by=None, tiebreak=None, prefix: in
     w = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     # bounded by |groups| * 16**prefix rows
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    x = x.join(offsets, on=[*by, b], how="inner")
+    x = join_null_safe(x, offsets, [*by, b])
     w2 = Window.partitionBy(*by, b).orderBy(c(hash_col), *[c(t) for t in tiebreak])
     return x.withColumn(out, (F.row_number().over(w2) - 1 + F.col("_off")).cast("long")).drop(b, "_off")
 
@@ -71,9 +82,40 @@ def prefix_sums(counts: DataFrame, order_cols, sum_cols: list[str], by=None,
     wr = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_range.select("_rid", *by, *[F.coalesce(F.sum(f"_r_{s}").over(wr), F.lit(0))
                                            .alias(f"_o_{s}") for s in sum_cols])
-    x = ranged.join(offs, ["_rid", *by])
+    x = join_null_safe(ranged, offs, ["_rid", *by])
     end = 0 if inclusive else -1
     w = Window.partitionBy("_rid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     for s in sum_cols:
         x = x.withColumn(f"{s}{suffix}", F.coalesce(F.sum(s).over(w), F.lit(0)) + F.col(f"_o_{s}"))
     return x.drop("_rid", *[f"_o_{s}" for s in sum_cols])
+
+
+def quantiles(df: DataFrame, cols, probs: list[float], by=None) -> DataFrame:
+    """Exact quantiles (linear interpolation, like ``quantile_cont`` and
+    pandas ``quantile``) of several columns, per ``by`` group, without holding
+    any group in one task: counts per (group, column, value) from a partial
+    aggregate, range-split running counts, then the two order statistics
+    around position (n - 1) p as a conditional ``min`` (again partial).
+    Returns ``(by..., column, q0..q{k-1})``."""
+    cols, by = as_list(cols), as_list(by)
+    long = df.select(*[F.col(b) for b in by], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_s")) \
+        .select(*by, "_s._col", "_s._v").where(F.col("_v").isNotNull())
+    keys = [*by, "_col"]
+    cnt = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(cnt, "_v", ["_c"], by=keys, inclusive=True)
+    tot = cum.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))
+    x = join_null_safe(cum, tot, keys)
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        aggs.append(F.min(F.when(F.col("_c_cum") >= F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"))
+        aggs.append(F.min(F.when(F.col("_c_cum") >= F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"))
+    g = x.groupBy(*keys).agg(*aggs)
+    outs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        f = h - F.floor(h)
+        outs.append(F.when(f == 0, F.col(f"_lo{i}"))
+                    .otherwise(F.col(f"_lo{i}") * (1 - f) + F.col(f"_hi{i}") * f).alias(f"q{i}"))
+    return g.select(*by, F.col("_col").alias("column"), *outs)

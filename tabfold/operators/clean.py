@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, hash_unit, numeric_columns
+from tabfold.functions.ranking import quantiles
 from tabfold.operators.joins import bounded
 from tabfold.session import cut_lineage
 
@@ -40,11 +41,19 @@ def fit_mode(df: DataFrame, cols) -> DataFrame:
     return out
 
 
+def _one_row_quantile(df: DataFrame, cols: list[str], p: float) -> DataFrame:
+    """One row, one column per input column: its exact p-quantile."""
+    q = quantiles(df, cols, [p])
+    return q.groupBy().pivot("column", cols).agg(F.first("q0"))
+
+
 def fit_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
-    """Median per column (exact linear interpolation, or the sketch)."""
+    """Median per column (exact linear interpolation via the scale-safe
+    ``quantiles``, or the bounded-memory sketch)."""
     cols = as_list(cols)
-    f = (lambda x: F.median(F.col(x))) if exact else (lambda x: F.percentile_approx(F.col(x), 0.5, 10000))
-    return df.agg(*[f(x).alias(x) for x in cols])
+    if exact:
+        return _one_row_quantile(df, cols, 0.5)
+    return df.agg(*[F.percentile_approx(F.col(x), 0.5, 10000).alias(x) for x in cols])
 
 
 def fit_mean(df: DataFrame, cols) -> DataFrame:
@@ -133,8 +142,8 @@ def blank_to(df: DataFrame, col: str, value=None) -> DataFrame:
 
 
 def fit_cap(df: DataFrame, cols, q: float = 0.99) -> DataFrame:
-    """Upper cap at the q-quantile, one-row table."""
-    return df.agg(*[F.percentile(F.col(x), q).alias(x) for x in as_list(cols)])
+    """Upper cap at the (exact) q-quantile, one-row table."""
+    return _one_row_quantile(df, as_list(cols), q)
 
 
 def apply_cap(df: DataFrame, caps: DataFrame, cols) -> DataFrame:

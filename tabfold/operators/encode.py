@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, hash_unit, safe_div
-from tabfold.functions.ranking import prefix_sums
+from tabfold.functions.ranking import prefix_sums, quantiles
 from tabfold.operators.joins import bounded
 
 MAX_DUMMY_LEVELS = 1000  # one-hot widens the schema; refuse beyond this
@@ -298,8 +298,12 @@ def fit_quantile_edges(df: DataFrame, col: str, probs: list[float], exact: bool
                        accuracy: int = 10000) -> DataFrame:
     """Unique quantile edges, one-row ``edges`` array (exact by default;
     ``exact=False`` uses the bounded-memory sketch)."""
+    if exact:
+        q = quantiles(df, [col], probs)
+        arr = F.array(*[F.col(f"q{i}") for i in range(len(probs))])
+        return q.select(F.array_sort(F.array_distinct(arr)).alias("edges"))
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    q = F.percentile(F.col(col), arr) if exact else F.percentile_approx(F.col(col), arr, accuracy)
+    q = F.percentile_approx(F.col(col), arr, accuracy)
     return df.agg(F.array_sort(F.array_distinct(q.cast("array<double>"))).alias("edges"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, erfinv, hash_unit, safe_div
-from tabfold.functions.ranking import hashed_rank, prefix_sums
+from tabfold.functions.ranking import hashed_rank, join_null_safe, prefix_sums, quantiles
 from tabfold.functions.exprs import order_hash
 from tabfold.operators.joins import bounded
 
@@ -149,11 +149,14 @@ def apply_boxcox(df: DataFrame, fitted: DataFrame, col: str, out: str | None = N
 def group_stats(df: DataFrame, cats, value: str, aggs=("min", "mean", "median", "max", "std")) -> DataFrame:
     """statistics of ``value`` per level of each category, joined back
     with names ``<value>_<agg>_<cat>``."""
-    fns = {"min": F.min, "mean": F.avg, "median": F.median, "max": F.max, "std": F.stddev_samp,
-           "count": F.count}
+    fns = {"min": F.min, "mean": F.avg, "max": F.max, "std": F.stddev_samp, "count": F.count}
     out = df
     for k in as_list(cats):
-        t = df.groupBy(k).agg(*[fns[a](F.col(value)).alias(f"{value}_{a}_{k}") for a in aggs])
+        t = df.groupBy(k).agg(*[fns[a](F.col(value)).alias(f"{value}_{a}_{k}") for a in aggs if a != "median"])
+        if "median" in aggs:  # exact and scale-safe (no group held by one task)
+            med = quantiles(df, [value], [0.5], by=k).select(k, F.col("q0").alias(f"{value}_median_{k}"))
+            t = join_null_safe(t, med, [k], "left")
+        t = t.select(k, *[f"{value}_{a}_{k}" for a in aggs])
         out = out.join(bounded(t), on=k, how="left")
     return out
 

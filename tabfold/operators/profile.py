@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, melt_one_row, numeric_columns, safe_div
+from tabfold.functions.ranking import join_null_safe, quantiles
+from tabfold.operators.joins import bounded
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -19,21 +21,26 @@ def shape(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """Count, mean, std (sample), min, quartiles, max per numeric column.
-    ``exact=False`` uses the bounded-memory quantile sketch."""
+    Quartiles are exact and scale-safe (``ranking.quantiles``); ``exact=False``
+    uses the bounded-memory sketch instead."""
     cols = as_list(cols) or numeric_columns(df)
     aggs, metrics = [], {}
     for x in cols:
         v = F.col(x).cast("double")
-        q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000))
         aggs += [F.count(v).alias(f"{x}__count"), F.avg(v).alias(f"{x}__mean"),
-                 F.stddev_samp(v).alias(f"{x}__std"), F.min(v).alias(f"{x}__min"),
-                 q.alias(f"{x}__q"), F.max(v).alias(f"{x}__max")]
-        metrics[x] = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+                 F.stddev_samp(v).alias(f"{x}__std"), F.min(v).alias(f"{x}__min"), F.max(v).alias(f"{x}__max")]
+        if not exact:
+            aggs.append(F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(f"{x}__q"))
+        metrics[x] = ["count", "mean", "std", "min", "max"]
     one = df.agg(*aggs)
-    one = one.select("*", *[F.col(f"{x}__q")[i].alias(f"{x}__{n}")
-                            for x in cols for i, n in enumerate(["q25", "q50", "q75"])])
-    return melt_one_row(one, metrics)
+    base = melt_one_row(one, metrics)
+    if exact:
+        q = quantiles(df, cols, [0.25, 0.5, 0.75]).select(
+            "column", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    else:
+        q = one.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column"), *[
+            F.col(f"{x}__q")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])]) for x in cols])))
+    return base.join(q, "column", "left")
 
 
 def describe_strings(df: DataFrame, cols) -> DataFrame:
@@ -220,23 +227,24 @@ def skewness(df: DataFrame, cols) -> DataFrame:
 
 
 def box_summary(df: DataFrame, col: str, by=None, k: float = 1.5) -> DataFrame:
-    """Five numbers, IQR fences and outlier count per group. Quantiles
-    per group first (small), then a join to count rows outside the fences."""
+    """Five numbers, IQR fences and outlier count per group. Quartiles
+    come from the scale-safe exact ``quantiles``; the fences (one row per
+    group) are joined back to count the rows outside them."""
     by = as_list(by)
     v = F.col(col).cast("double")
-    q = df.groupBy(*by).agg(
-        F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.max(v).alias("max"), F.count(v).alias("n"))
-    q = q.select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "max", "n")
+    mm = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    qs = quantiles(df, [col], [0.25, 0.5, 0.75], by=by).select(
+        *by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    q = join_null_safe(mm, qs, by) if by else mm.crossJoin(qs)
     q = q.withColumn("lo_fence", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     base = df.select(*by, v.alias("_v"))
-    joined = base.join(q.select(*by, "lo_fence", "hi_fence"), by, "inner") if by \
-        else base.crossJoin(F.broadcast(q.select("lo_fence", "hi_fence")))
+    fences = q.select(*by, "lo_fence", "hi_fence")
+    joined = join_null_safe(base, bounded(fences), by) if by else base.crossJoin(F.broadcast(fences))
     out = joined.groupBy(*by).agg(
         F.count_if((F.col("_v") < F.col("lo_fence")) | (F.col("_v") > F.col("hi_fence"))).alias("outliers"))
-    return q.join(out, by, "left") if by else q.crossJoin(out)
+    res = join_null_safe(q, out, by, "left") if by else q.crossJoin(out)
+    return res.select(*by, "min", "q1", "median", "q3", "max", "n", "lo_fence", "hi_fence", "outliers")
 
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, by=None) -> DataFrame:

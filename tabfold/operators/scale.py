@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, safe_div
+from tabfold.functions.ranking import quantiles
 
 
 def fit_minmax(df: DataFrame, cols) -> DataFrame:
@@ -26,13 +27,9 @@ def fit_standard(df: DataFrame, cols, ddof: int = 0) -> DataFrame:
 def fit_robust(df: DataFrame, cols, q_lo: float = 0.25, q_hi: float = 0.75) -> DataFrame:
     """K3: median and inter-quartile range (exact percentiles)."""
     cols = as_list(cols)
-    aggs = []
-    for k in cols:
-        q = F.percentile(F.col(k).cast("double"), F.array(F.lit(q_lo), F.lit(0.5), F.lit(q_hi)))
-        aggs.append(q.alias(f"{k}__q"))
-    one = df.agg(*aggs)
-    return one.select(*[F.col(f"{k}__q")[1].alias(f"{k}__a") for k in cols],
-                      *[(F.col(f"{k}__q")[2] - F.col(f"{k}__q")[0]).alias(f"{k}__s") for k in cols])
+    q = quantiles(df, cols, [q_lo, 0.5, q_hi])  # exact, scale-safe; one row per column
+    wide = q.groupBy().pivot("column", cols).agg(F.first("q1").alias("a"), F.first(F.col("q2") - F.col("q0")).alias("s"))
+    return wide.select(*[F.col(f"{k}_a").alias(f"{k}__a") for k in cols], *[F.col(f"{k}_s").alias(f"{k}__s") for k in cols])
 
 
 def apply_scaler(df: DataFrame, fitted: DataFrame, cols, kind: str) -> DataFrame:

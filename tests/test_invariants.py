@@ -255,3 +255,27 @@ def test_boxcox_grid_recovers_log_for_lognormal(spark):
     pdf = pd.DataFrame({"x": np.exp(rng.normal(size=3000)) - 1.0})  # x + 1 is log-normal: lambda ~ 0
     lam = FE.fit_boxcox(spark.createDataFrame(pdf), ["x"]).first()["lambda"]
     assert abs(lam) <= 0.1
+
+
+def test_exact_quantiles_match_numpy_with_hot_and_null_groups(spark):
+    from tabfold.functions.ranking import quantiles
+    rng = np.random.default_rng(5)
+    n = 3000
+    g = np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", None], n))
+    pdf = pd.DataFrame({"g": g, "x": np.round(rng.normal(size=n) * 10, 1), "z": rng.integers(0, 5, n).astype(float)})
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles(df, ["x", "z"], probs, by="g").toPandas()
+    for (grp, col), sub in pdf.assign(g=pdf.g.fillna("<null>")).melt(id_vars="g", var_name="column").groupby(["g", "column"]):
+        row = got[(got.g.fillna("<null>") == grp) & (got.column == col)]
+        assert len(row) == 1
+        for i, p in enumerate(probs):
+            assert row[f"q{i}"].iloc[0] == pytest.approx(np.quantile(sub.value.values, p), abs=1e-9)
+
+
+def test_ranks_keep_null_group_keys(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(40)], "key long, y int") \
+        .withColumn("h", order_hash("key", 2))
+    assert hashed_rank(df, "h", by="y", tiebreak="key").count() == 40
+    pdf = pd.DataFrame({"g": [None, None, "a", "a"], "v": [1, 2, 1, 2], "c": [1, 1, 1, 1]})
+    assert prefix_sums(spark.createDataFrame(pdf, "g string, v long, c long"), "v", ["c"], by="g").count() == 4
