@@ -10,9 +10,9 @@ row in one task. The helpers here keep each task bounded:
   that small table, and added to a row number inside each sub-bucket.
 * ``prefix_sums`` computes running totals over a table that is *already
   aggregated* per distinct ordering value (e.g. counts per distinct score). It
-  range-partitions that table, cuts lineage so the partition ids are stable,
-  sums each range, offsets the ranges (one row per range) and finishes with a
-  window that is partitioned by range id.
+  range-partitions that table, checkpoints it (so the partition ids read as
+  data are stable), sums each range, offsets the ranges (one row per range)
+  and finishes with a window that is partitioned by range id.
 """
 
 from __future__ import annotations
@@ -24,6 +24,13 @@ from tabfold.functions.exprs import as_list, c
 from tabfold.session import cut_lineage
 
 
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """Materialise a range-partitioned frame whose partition ids are used as
+    data, so both of its readers see the same ids: a reliable checkpoint in
+    the shared checkpoint folder (lineage cut, nothing held in memory)."""
+    return cut_lineage(df)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join where NULL keys match NULL keys (group keys may be NULL)."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -76,7 +83,7 @@ def prefix_sums(counts: DataFrame, order_cols, sum_cols: list[str], by=None,
     order = [F.col(o).asc() if ascending else F.col(o).desc() for o in order_cols]
     ranged = counts.repartitionByRange(n, *[F.col(b) for b in by], *order) \
         .withColumn("_rid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = pin_partitions(ranged)
     per_range = ranged.groupBy("_rid", *by).agg(*[F.sum(s).alias(f"_r_{s}") for s in sum_cols])
     # at most (#ranges + #groups) rows
     wr = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)

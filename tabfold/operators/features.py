@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,7 +245,7 @@ def swap_noise(df: DataFrame, cols, key: str, p: float, seed: int = 0) -> DataFr
     equi-join on a row position (no pairs are enumerated)."""
     cols = as_list(cols)
     pos = hashed_rank(df.withColumn("_h", order_hash(key, seed)), "_h", tiebreak=key, out="_pos").drop("_h")
-    pos = pos.cache()  # used as row table and as donor table
+    pos = pos.persist(StorageLevel.DISK_ONLY)  # used as row table and as donor table
     n = pos.agg(F.count(F.lit(1)).alias("_N"))
     out = pos.crossJoin(F.broadcast(n))
     for i, k in enumerate(cols):

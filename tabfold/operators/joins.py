@@ -4,7 +4,7 @@ Strategy: a fitted table (one row per level) is small in practice but its
 size depends on the data, so it is never broadcast blindly, and it is not
 left to a shuffle join either (that would shuffle the whole big side just to
 meet a few hundred rows). ``bounded`` materialises the fitted table once
-(persisted; recomputed from lineage if an executor is lost), counts it, and
+(persisted on local disk; recomputed from lineage if an executor is lost), counts it, and
 adds the broadcast hint only when rows x row width is under a byte budget.
 Beyond the budget the join stays a shuffle join (AQE may still convert it).
 One-row tables (priors, min/max) are broadcast directly: one row is a bound.
@@ -33,8 +33,9 @@ def row_width(df: DataFrame) -> int:
 
 def bounded(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Materialise a fitted table and broadcast it only if its checked size
-    (count x row width) is within ``max_bytes``."""
-    t = table.persist(StorageLevel.MEMORY_AND_DISK)
+    (count x row width) is within ``max_bytes``. Kept on local disk, not in
+    executor memory, so many fitted tables in one session cost no heap."""
+    t = table.persist(StorageLevel.DISK_ONLY)
     n = t.count()
     return F.broadcast(t) if n * row_width(t) <= max_bytes else t
 
@@ -42,7 +43,7 @@ def bounded(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame
 def checked_broadcast(table: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``table`` only if a count proves it has at most ``max_rows``
     (and it fits the byte budget)."""
-    t = table.persist(StorageLevel.MEMORY_AND_DISK)
+    t = table.persist(StorageLevel.DISK_ONLY)
     n = t.count()
     return F.broadcast(t) if n <= max_rows and n * row_width(t) <= MAX_BROADCAST_BYTES else t
 
