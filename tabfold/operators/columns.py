@@ -15,6 +15,17 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(mapping)
 
 
+def with_key(df: DataFrame, key) -> DataFrame:
+    """Declare ``key`` as the row key; one aggregation proves it unique
+    (distinct keys == rows), otherwise a repeated key is reported."""
+    keys = as_list(key)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(k) for k in keys]).alias("d")).first()
+    if row["n"] != row["d"]:
+        dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).first()
+        raise ValueError(f"key {keys} is not unique ({row['n']} rows, {row['d']} keys), e.g. {tuple(dup)}")
+    return df
+
+
 def sanitize_name(name: str) -> str:
     """Collapse blanks, replace quote, ampersand, >, %, ? by '_'."""
     name = re.sub(r"\s+", "_", name.strip())

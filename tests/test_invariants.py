@@ -279,3 +279,11 @@ def test_ranks_keep_null_group_keys(spark):
     assert hashed_rank(df, "h", by="y", tiebreak="key").count() == 40
     pdf = pd.DataFrame({"g": [None, None, "a", "a"], "v": [1, 2, 1, 2], "c": [1, 1, 1, 1]})
     assert prefix_sums(spark.createDataFrame(pdf, "g string, v long, c long"), "v", ["c"], by="g").count() == 4
+
+
+def test_with_key_rejects_repeats(spark):
+    from tabfold.operators.columns import with_key
+    ok = spark.createDataFrame([(1,), (2,)], "k long")
+    assert with_key(ok, "k").count() == 2
+    with pytest.raises(ValueError, match="not unique"):
+        with_key(spark.createDataFrame([(1,), (1,)], "k long"), "k")
