@@ -24,6 +24,15 @@ from tabfold.functions.exprs import as_list, c
 from tabfold.session import cut_lineage
 
 
+def range_partition(df: DataFrame, order: list, ranges: int | None = None) -> DataFrame:
+    """Range-partition by ``order`` and expose the range id as ``_rid``.
+    Without ``ranges`` the count is left to adaptive execution, which sizes
+    ranges by bytes (coalescing only merges neighbouring ranges, so ids stay
+    in order): many ranges for big inputs, one for a tiny table."""
+    x = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return x.withColumn("_rid", F.spark_partition_id())
+
+
 def pin_partitions(df: DataFrame) -> DataFrame:
     """Materialise a range-partitioned frame whose partition ids are used as
     data, so both of its readers see the same ids: a reliable checkpoint in
@@ -76,13 +85,10 @@ def prefix_sums(counts: DataFrame, order_cols, sum_cols: list[str], by=None,
     ``<col><suffix>`` = total over rows ordered at or before (``inclusive``) or
     strictly before this row.
     """
-    spark = counts.sparkSession
     by = as_list(by)
     order_cols = as_list(order_cols)
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(o).asc() if ascending else F.col(o).desc() for o in order_cols]
-    ranged = counts.repartitionByRange(n, *[F.col(b) for b in by], *order) \
-        .withColumn("_rid", F.spark_partition_id())
+    ranged = range_partition(counts, [F.col(b) for b in by] + order, ranges)
     ranged = pin_partitions(ranged)
     per_range = ranged.groupBy("_rid", *by).agg(*[F.sum(s).alias(f"_r_{s}") for s in sum_cols])
     # at most (#ranges + #groups) rows

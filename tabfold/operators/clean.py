@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, hash_unit, numeric_columns
-from tabfold.functions.ranking import pin_partitions, quantiles
+from tabfold.functions.ranking import pin_partitions, quantiles, range_partition
 from tabfold.operators.joins import bounded
 
 
@@ -73,9 +73,7 @@ def ffill(df: DataFrame, cols, order, by=None, ranges: int | None = None) -> Dat
     Rows are range-partitioned on (by, order) so a hot group is split over
     several tasks; the last non-null of each earlier range is carried in."""
     cols, order, by = as_list(cols), as_list(order), as_list(by)
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pin_partitions(df.repartitionByRange(n, *[F.col(b) for b in by], *[c(o) for o in order])
-                            .withColumn("_rid", F.spark_partition_id()))
+    ranged = pin_partitions(range_partition(df, [F.col(b) for b in by] + [c(o) for o in order], ranges))
     okey = F.struct(*[c(o) for o in order])
     per = ranged.groupBy("_rid", *by).agg(*[
         F.max_by(F.col(x), F.when(F.col(x).isNotNull(), okey)).alias(f"_last_{x}") for x in cols])
