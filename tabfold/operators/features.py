@@ -193,8 +193,8 @@ def rank_in_group(df: DataFrame, keys, value: str, key: str, out: str | None = N
     name = out or f"{value}_pct_rank"
     cnt = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(cnt, value, ["_n"], by=keys, inclusive=False)  # rows strictly smaller
-    size = cnt.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    t = cum.join(size, keys).select(*keys, value, F.coalesce(
+    size = cnt.groupBy(*keys).agg(F.sum("_n").alias("_size"))  # one row per group
+    t = join_null_safe(cum, bounded(size), keys).select(*keys, value, F.coalesce(
         safe_div(F.col("_n_cum").cast("double"), (F.col("_size") - 1).cast("double")), F.lit(0.0)).alias(name))
     return df.join(bounded(t), on=[*keys, value], how="left")
 
