@@ -55,3 +55,13 @@ def test_onehot_refuses_unbounded_levels(spark):
         assert "more than 10 levels" in str(ex)
     else:
         raise AssertionError("expected a refusal")
+
+
+def test_no_row_at_a_time_python_udf_in_headline_plans(spark):
+    import bench
+    qs = se.queries()
+    for name in bench.HEADLINE:
+        if name == "m15_cv_oof_scores":
+            continue  # reads its checkpointed result back
+        plan = _plan(qs[name](spark, SF_SMALL))
+        assert "BatchEvalPython" not in plan, name
