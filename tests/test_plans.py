@@ -65,3 +65,21 @@ def test_no_row_at_a_time_python_udf_in_headline_plans(spark):
             continue  # reads its checkpointed result back
         plan = _plan(qs[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in plan, name
+
+
+def test_hot_key_is_spread_over_many_tasks(spark):
+    """One key holds a third of all rows: the rank helper's sub-buckets and the
+    range partitions behind running sums both split it, so no task holds it."""
+    from tabfold.functions.ranking import range_partition
+    n = 30000
+    df = spark.range(n).select(F.col("id").alias("key"),
+                               F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(
+                                   (F.col("id") % 97).cast("string")).alias("g"))
+    # hashed_rank: rows per (group, md5 sub-bucket) window partition
+    x = df.withColumn("h", order_hash("key", 1))
+    per_bucket = x.groupBy("g", F.conv(F.substring("h", 1, 4), 16, 10).alias("b")).count()
+    assert per_bucket.where("g = 'HOT'").agg(F.max("count")).first()[0] <= 10  # of 10,000 hot rows
+    # prefix sums / quantiles: range partitions over (group, value)
+    r = range_partition(df, [F.col("g"), F.col("key")], ranges=16)
+    shares = r.where("g = 'HOT'").groupBy("_rid").count().toPandas()
+    assert len(shares) >= 4 and shares["count"].max() <= 0.5 * (n // 3)
