@@ -287,3 +287,22 @@ def test_with_key_rejects_repeats(spark):
     assert with_key(ok, "k").count() == 2
     with pytest.raises(ValueError, match="not unique"):
         with_key(spark.createDataFrame([(1,), (1,)], "k long"), "k")
+
+
+def test_blends_stay_within_model_range(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, m, float(rng.uniform(0.01, 0.99))) for k in range(200) for m in ("a", "b", "c")]
+    long = spark.createDataFrame(rows, "key long, model string, p double")
+    rng_t = long.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    for how, w in [("mean", None), ("mean", {"a": 2, "b": 1, "c": 3}), ("hmean", None), ("gmean", None)]:
+        b = B.blend(long, how, weights=w).join(rng_t, "key")
+        assert b.where("p_blend < lo - 1e-12 OR p_blend > hi + 1e-12").count() == 0, how
+
+
+def test_imputation_leaves_no_nulls_and_keeps_values(spark, employees):
+    tr = employees.where("part = 'train'")
+    for fitted in (C.fit_mode(tr, ["rating"]), C.fit_median(tr, ["rating"]), C.fit_mean(tr, ["rating"])):
+        out = C.apply_fill(employees, fitted, ["rating"])
+        assert out.where("rating IS NULL").count() == 0
+        kept = out.join(employees.select("id", F.col("rating").alias("r0")), "id").where("r0 IS NOT NULL")
+        assert kept.where("rating != r0").count() == 0
