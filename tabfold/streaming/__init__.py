@@ -1,0 +1 @@
+"""Structured Streaming: batch-fitted tables applied to arriving rows."""
