@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabfold.llm.sharding import shard_documents
+from tabfold.llm.simhash import simhash_groups
 from tabfold.llm.urls import RULES, judge_urls
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document: 3-word shingles, 2 bits."""
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and trust propagation over every page."""
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
@@ -27,5 +33,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op5_url_filters, op7_sharding)}
+    op3_simhash, op5_url_filters, op7_sharding)}
 ORACLES: dict[str, str] = {}
