@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabfold.llm.embeddings import embedding_groups
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
 from tabfold.llm.urls import RULES, judge_urls
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of every vector: same label, cosine 0.93 or more."""
+    return embedding_groups(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: 3-word shingles, 2 bits."""
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -33,5 +39,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_simhash, op5_url_filters, op7_sharding)}
+    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding)}
 ORACLES: dict[str, str] = {}
