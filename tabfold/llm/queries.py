@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabfold.llm.common import scratch_path
 
 from tabfold.llm.embeddings import embedding_groups
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
+from tabfold.llm.token_files import read_documents, write_token_files
 from tabfold.llm.urls import RULES, judge_urls
 
 
@@ -38,6 +43,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read from the id files through the index."""
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "token-files")
+    shards = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    if shards.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    back = read_documents(docs, "doc_id", shards, path)
+    return back.select(F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding)}
+    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding, op8_token_files)}
 ORACLES: dict[str, str] = {}
