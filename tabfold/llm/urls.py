@@ -57,16 +57,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -
     lists every host; the seeds sum to 1, or are all 0."""
     ranks = seeds.select("host", F.col("seed").alias("score"))
     written = None
-    for i in range(rounds):
+    for _ in range(rounds):
         come = ranks.join(edges, ranks.host == edges.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("come"))
         lost = ranks.join(edges.select("src").distinct(), ranks.host == F.col("src"), "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         ranks = (seeds.join(come, seeds.host == come.dst, "left").crossJoin(F.broadcast(lost))  # one row
                  .select("host", ((1 - damping) * F.col("seed") + damping * (F.coalesce("come", F.lit(0.0)) + F.col("seed") * F.col("lost"))).alias("score")))
-        if i % 2 == 1 or i == rounds - 1:
-            ranks = stored(ranks, "ranks")
-            if written is not None:
-                dropped(written)
-            written = ranks
+        ranks = stored(ranks, "ranks")  # a short plan and lineage each round
+        if written is not None:
+            dropped(written)
+        written = ranks
     return ranks
 
 
