@@ -8,58 +8,76 @@ and each batch sends only new chunks to the tokenizer.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 
 class ChunkEncoder:
     """``encode(chunks) -> list of id lists`` with memory. ``split(text)`` gives the
-    chunks whose ids, joined, are the text's. At most ``most`` chunks are kept (about
-    150 bytes each); beyond that it starts anew, which changes no result. Chunks over
-    ``longest`` characters are never kept."""
+    chunks whose ids, joined, are the text's. Beyond ``most`` chunks (about 150 bytes
+    each) the less used half is forgotten, and after a chunk of over ``longest``
+    characters everything; neither changes a result."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: Callable[[str], list[str]], most: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: Callable[[str], list[str]], most: int = 500_000, longest: int = 10_000):
         self.encode, self.split, self.most, self.longest = encode, split, most, longest
-        self.forget()
+        self.keep([])
 
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.size = np.zeros(1 << 16, np.int64)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+    def keep(self, chunks: list[str]) -> None:
+        """Start anew with these known chunks."""
+        old = [self.code[c] for c in chunks] if chunks else []
+        sizes = self.size[old] if chunks else np.zeros(0, np.int64)
+        ids = self.gather(np.array(old, np.int64)) if chunks else np.zeros(0, np.uint32)
+        hits = self.hits[old] // 2 if chunks else np.zeros(0, np.int64)
+        self.code = dict(zip(chunks, range(len(chunks))))
+        room = max(1 << 16, 2 * len(chunks))
+        self.size, self.start, self.hits = (np.zeros(room, np.int64) for _ in range(3))
+        self.size[:len(chunks)], self.hits[:len(chunks)] = sizes, hits
+        self.start[:len(chunks)] = np.cumsum(sizes) - sizes
+        self.used = len(ids)
+        self.ids = np.zeros(max(1 << 18, 2 * len(ids)), np.uint32)
+        self.ids[:len(ids)] = ids
+
+    def gather(self, codes: np.ndarray) -> np.ndarray:
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.start[codes] - (ends - sizes), sizes)]
 
     def learn(self, chunks: list[str]) -> None:
         found = self.encode(chunks)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         n, k = int(sizes.sum()), len(self.code)
         while len(self.size) < k + len(chunks):
-            self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
+            self.size, self.start, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.hits))
         while len(self.ids) < self.used + n:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.size[k:k + len(chunks)] = sizes
         self.start[k:k + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used:self.used + n] = np.fromiter((i for f in found for i in f), np.uint32, n)
+        self.ids[self.used:self.used + n] = np.fromiter(chain.from_iterable(found), np.uint32, n)
         self.used += n
         self.code.update(zip(chunks, range(k, k + len(chunks))))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.code) > self.most:
-            self.forget()
         parts = [self.split(t) for t in texts]
-        code = self.code
-        new = {c for p in parts for c in p if c not in code}
-        if new:
-            self.learn(sorted(new))
-        n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.fromiter((code[c] for p in parts for c in p), np.int64, int(n_parts.sum()))
-        sizes = self.size[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.start[codes] - (ends - sizes), sizes)]
-        ends = np.concatenate([[0], ends])
-        at = np.concatenate([[0], np.cumsum(n_parts)])
-        if any(len(c) > self.longest for c in new):
-            self.forget()
+        flat = list(chain.from_iterable(parts))
+        codes = list(map(self.code.get, flat))
+        longest = 0
+        if None in codes:
+            new = sorted({c for c, k in zip(flat, codes) if k is None})
+            self.learn(new)
+            longest = max(map(len, new))
+            codes = list(map(self.code.__getitem__, flat))
+        codes = np.array(codes, np.int64)
+        self.hits[:len(self.code)] += np.bincount(codes, minlength=len(self.code))
+        ids = self.gather(codes)
+        ends = np.concatenate([[0], np.cumsum(self.size[codes])])
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        if longest > self.longest:
+            self.keep([])
+        elif len(self.code) > self.most:
+            used = self.hits[:len(self.code)]
+            half = set(np.argpartition(-used, self.most // 2)[:self.most // 2].tolist())
+            self.keep([c for c, k in self.code.items() if k in half])
         return ids, ends[at[1:]] - ends[at[:-1]]

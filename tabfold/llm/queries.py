@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabfold.llm.common import scratch_path
 
 from tabfold.llm.embeddings import embedding_groups
+from tabfold.llm.sentencepiece_codec import encode_documents
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
 from tabfold.llm.token_files import read_documents, write_token_files
@@ -53,6 +54,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, decoded and compared."""
+    out = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    as_text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", "n_tokens", F.crc32(as_text).alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), "round_trip", "parity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding, op8_token_files)}
+    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding, op8_token_files, op9_sentencepiece)}
 ORACLES: dict[str, str] = {}
