@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabfold.llm.common import scratch_path
 
 from tabfold.llm.embeddings import embedding_groups
+from tabfold.llm.quality import classify, fit_classifier
 from tabfold.llm.sentencepiece_codec import encode_documents
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
@@ -61,6 +62,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.crc32(as_text).alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), "round_trip", "parity")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and decision for every document."""
+    docs = table(spark, sf_dir, "documents")
+    classifier = fit_classifier(docs, table(spark, sf_dir, "labels"))
+    return classify(docs.select("doc_id", "text"), classifier).select("doc_id", "p_low", "p_toxic", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding, op8_token_files, op9_sentencepiece)}
+    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
 ORACLES: dict[str, str] = {}
