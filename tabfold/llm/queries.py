@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabfold.llm.common import scratch_path
 
+from tabfold.llm.decontamination import contaminated
 from tabfold.llm.embeddings import embedding_groups
 from tabfold.llm.quality import classify, fit_classifier
 from tabfold.llm.sentencepiece_codec import encode_documents
@@ -39,6 +40,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled into shards 0 to 7, from the written shards."""
     out = shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
@@ -70,5 +76,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_simhash, op5_url_filters, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
+    op2_embedding_dedup, op3_simhash, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
 ORACLES: dict[str, str] = {}
