@@ -16,6 +16,7 @@ from tabfold.llm.quality import classify, fit_classifier
 from tabfold.llm.sentencepiece_codec import encode_documents
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
+from tabfold.llm.substrings import substring_report
 from tabfold.llm.token_files import read_documents, write_token_files
 from tabfold.llm.urls import RULES, judge_urls
 
@@ -24,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier place has, too."""
+    out = substring_report(table(spark, sf_dir, "documents"))
+    ends = lambda e: F.coalesce(F.transform("spans", lambda v: v[e]), F.array().cast("array<int>"))
+    return out.select("doc_id", "n_spans", "n_removed", ends("s").alias("starts"), ends("e").alias("ends"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of every vector: same label, cosine 0.93 or more."""
     return embedding_groups(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
@@ -76,5 +84,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_simhash, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
+    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
 ORACLES: dict[str, str] = {}
