@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,12 @@ def dropped(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that no DataFrame refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def set_aside(df: DataFrame, reserved: list[str]) -> DataFrame:
     """Rename input columns that clash (in any case) with an operator's own
     columns: ``x`` becomes ``x_in``, or ``x_in_in`` where that is taken too."""

@@ -17,6 +17,7 @@ from tabfold.llm.sentencepiece_codec import encode_documents
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
 from tabfold.llm.substrings import substring_report
+from tabfold.llm.suffixes import suffix_dedup
 from tabfold.llm.token_files import read_documents, write_token_files
 from tabfold.llm.urls import RULES, judge_urls
 
@@ -42,6 +43,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start elsewhere, too."""
+    return suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and trust propagation over every page."""
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
@@ -84,5 +90,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
+    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
 ORACLES: dict[str, str] = {}
