@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, hash_unit, numeric_columns
-from tabfold.functions.ranking import pin_partitions, quantiles, range_partition
+from tabfold.functions.ranking import join_null_safe, pin_partitions, quantiles, range_partition
 from tabfold.operators.joins import bounded
+from tabfold.operators.profile import corr_matrix
 
 
 # ------------------------------------------------------------- constants
@@ -80,7 +81,7 @@ def ffill(df: DataFrame, cols, order, by=None, ranges: int | None = None) -> Dat
     w = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select("_rid", *by, *[F.last(f"_last_{x}", ignorenulls=True).over(w).alias(f"_carry_{x}")
                                       for x in cols])  # at most #ranges + #groups rows
-    x = ranged.join(carry, ["_rid", *by], "left")
+    x = join_null_safe(ranged, carry, ["_rid", *by], "left")
     wi = Window.partitionBy("_rid", *by).orderBy(*[c(o) for o in order]) \
         .rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({k: F.coalesce(F.last(F.col(k), ignorenulls=True).over(wi), F.col(f"_carry_{k}"))
@@ -203,25 +204,19 @@ def high_null_columns(df: DataFrame, label: str, threshold: float = 0.67) -> Dat
 
 
 def correlated_columns(df: DataFrame, cols, threshold: float = 0.985) -> list[str]:
-    """C20: greedy in column order: for each kept column i, later-listed or
-    earlier-listed columns j with corr(i, j) > threshold are dropped unless
-    already dropped. The d x d matrix is one aggregation pass; the greedy
-    pass runs over that small matrix on the driver."""
+    """C20: columns to drop. The columns are walked in order; one that is still
+    kept removes every partner whose correlation with it exceeds ``threshold``.
+    The walk is over the strong pairs of the correlation table."""
     cols = as_list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-                   for a, b in pairs]).first()
-    corr = {}
-    for a, b in pairs:
-        v = row[f"{a}__{b}"]
-        corr[(a, b)] = corr[(b, a)] = v
-    dropped: list[str] = []
-    for i in cols:
-        for j in cols:
-            v = corr.get((i, j))
-            if i != j and v is not None and v > threshold and j not in dropped and i not in dropped:
-                dropped.append(j)
-    return dropped
+    strong = corr_matrix(df, cols).where((F.col("corr") > threshold) & (F.col("col_a") != F.col("col_b")))
+    partners: dict[str, set[str]] = {}
+    for r in strong.select("col_a", "col_b").collect():  # at most one row per pair of columns
+        partners.setdefault(r["col_a"], set()).add(r["col_b"])
+    gone: dict[str, None] = {}
+    for kept in cols:
+        if kept not in gone:
+            gone |= dict.fromkeys(x for x in cols if x in partners.get(kept, ()) and x not in gone)
+    return list(gone)
 
 
 def low_variance(df: DataFrame, cols=None, threshold: float = 0.01) -> DataFrame:

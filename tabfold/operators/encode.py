@@ -3,6 +3,8 @@ training rows; ``apply_*`` joins it (or maps it) onto any rows."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from tabfold.functions.exprs import as_list, c, hash_unit, safe_div
 from tabfold.functions.ranking import prefix_sums, quantiles
 from tabfold.operators.joins import bounded
 
-MAX_DUMMY_LEVELS = 1000  # one-hot widens the schema; refuse beyond this
 
 
 # ---------------------------------------------------------------- E1-E4 codes
@@ -84,17 +85,22 @@ def apply_freq_rank(df: DataFrame, fitted: DataFrame, col: str, out: str) -> Dat
 
 # ---------------------------------------------------------------- E8/E9 one-hot
 
-def fit_onehot(df: DataFrame, cols, max_levels: int = MAX_DUMMY_LEVELS) -> dict[str, list]:
+def fit_onehot(df: DataFrame, cols) -> dict[str, list]:
     """Fitted level lists (sorted). The schema of the output depends on
-    them, so they come to the driver; a column with more than ``max_levels``
-    levels is refused instead of truncated."""
-    out = {}
-    for x in as_list(cols):
-        lv = df.select(x).where(F.col(x).isNotNull()).distinct().limit(max_levels + 1).collect()
-        if len(lv) > max_levels:
-            raise ValueError(f"{x}: more than {max_levels} levels; use a count or target encoder")
-        out[x] = sorted(r[0] for r in lv)
-    return out
+    them, so they come to the driver; for columns with very many levels
+    ``sparse_onehot`` gives one vector column instead."""
+    return {x: sorted(r[0] for r in df.select(x).where(F.col(x).isNotNull()).distinct().collect())
+            for x in as_list(cols)}
+
+
+def sparse_onehot(df: DataFrame, cols, out: str = "onehot") -> PipelineModel:
+    """E8 in sparse form, for any number of levels: a fitted pipeline that adds
+    one sparse vector column ``out``; unseen levels are all zero."""
+    cols = as_list(cols)
+    index = StringIndexer(inputCols=cols, outputCols=[f"_i_{x}" for x in cols], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"_i_{x}" for x in cols], outputCols=[f"_h_{x}" for x in cols], dropLast=True)
+    join = VectorAssembler(inputCols=[f"_h_{x}" for x in cols], outputCol=out)
+    return Pipeline(stages=[index, hot, join]).fit(df)
 
 
 def dummy_name(col: str, level) -> str:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c, safe_div
-from tabfold.functions.ranking import prefix_sums
+from tabfold.functions.ranking import join_null_safe, prefix_sums
+from tabfold.operators.joins import bounded
 
 
 def _z(x: Column) -> Column:
@@ -95,14 +96,14 @@ def sweep(df: DataFrame, y: str, p: str, start: float, step: float, n: int,
     # dense bucket ids 0..n per group (groups x grid rows: bounded by the grid)
     buckets = spark.range(n + 1).select(F.col("id").alias("_b"))
     dense = tot.select(*by).crossJoin(F.broadcast(buckets)) if by else buckets
-    dense = dense.join(cnt, [*by, "_b"], "left").fillna(0, ["_pos", "_neg"])
+    dense = join_null_safe(dense, cnt, [*by, "_b"], "left").fillna(0, ["_pos", "_neg"])
     # rows predicted positive at cutoff i are those with bucket > i: suffix sums
     w = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, 0)
     suf = dense.select(*by, (F.col("_b") - 1).alias("i"), F.sum("_pos").over(w).alias("tp"),
                        F.sum("_neg").over(w).alias("fp"))
     grid = grid_values(spark, start, step, n)
     keyed = tot.crossJoin(F.broadcast(grid)) if by else grid.crossJoin(F.broadcast(tot))
-    out = keyed.join(suf, [*by, "i"], "inner").select(*by, "cutoff", "tp", "fp", "_P", "_N")
+    out = join_null_safe(keyed, suf, [*by, "i"]).select(*by, "cutoff", "tp", "fp", "_P", "_N")
     out = out.select(*by, "cutoff", "tp", "fp", (F.col("_N") - F.col("fp")).alias("tn"),
                      (F.col("_P") - F.col("tp")).alias("fn"))
     return metrics_from_counts(out, keep=[*by, "cutoff"]).select(
@@ -144,7 +145,7 @@ def roc_points(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
     sc = score_counts(df, y, p, by)
     cum = prefix_sums(sc, "p", ["pos", "neg"], by=by or None, ascending=False, inclusive=True)
     tot = sc.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    x = cum.join(tot, by) if by else cum.crossJoin(F.broadcast(tot))
+    x = join_null_safe(cum, bounded(tot), by) if by else cum.crossJoin(F.broadcast(tot))
     return x.select(*by, F.col("p").alias("threshold"), F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp"),
                     safe_div(F.col("neg_cum").cast("double"), F.col("_N")).alias("fpr"),
                     safe_div(F.col("pos_cum").cast("double"), F.col("_P")).alias("tpr"))
@@ -152,12 +153,9 @@ def roc_points(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
 
 def pr_points(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
     """Precision and recall at each distinct score threshold (p >= t)."""
-    r = roc_points(df, y, p, by)
-    by = as_list(by)
-    tot = score_counts(df, y, p, by).groupBy(*by).agg(F.sum("pos").alias("_P"))
-    x = r.join(tot, by) if by else r.crossJoin(F.broadcast(tot))
-    return x.select(*by, "threshold", safe_div(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"),
-                    safe_div(F.col("tp").cast("double"), F.col("_P")).alias("recall"))
+    return roc_points(df, y, p, by).select(
+        *as_list(by), "threshold", safe_div(F.col("tp").cast("double"), F.col("tp") + F.col("fp")).alias("precision"),
+        F.col("tpr").alias("recall"))
 
 
 def average_precision(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
@@ -187,7 +185,7 @@ def battery(df: DataFrame, y: str, p: str, cutoff: float, by) -> DataFrame:
     m = f1_at(df, y, p, cutoff, by=by).select(*by, F.col("precision").alias("precision_1"),
                                               F.col("recall").alias("recall_1"), F.col("f1").alias("f1_1"),
                                               "precision_0", "recall_0", "f1_0")
-    return m.join(auc(df, y, p, by=by).withColumnRenamed("auc", "roc_auc"), by)
+    return join_null_safe(m, auc(df, y, p, by=by).withColumnRenamed("auc", "roc_auc"), by)
 
 
 def positive_share(df: DataFrame, pred, by=None) -> DataFrame:

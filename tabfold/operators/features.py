@@ -8,7 +8,6 @@ windows partitioned by the level (which would put a hot level in one task).
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -201,16 +200,14 @@ def rank_in_group(df: DataFrame, keys, value: str, key: str, out: str | None = N
 
 # ------------------------------------------------------------ dense cube
 
-def dense_counts(df: DataFrame, keys, max_cells: int = 10_000_000) -> DataFrame:
+def dense_counts(df: DataFrame, keys) -> DataFrame:
     """counts over ALL combinations of the keys' levels (zero cells
     included) plus log1p. The level sets are distinct-value tables; their
-    product is the output itself, checked against ``max_cells`` first."""
+    product is the output itself, so the caller chooses the keys; a level set
+    is broadcast only where its measured size allows."""
     keys = as_list(keys)
     levels = [df.select(k).where(F.col(k).isNotNull()).distinct() for k in keys]
-    sizes = [lv.count() for lv in levels]
-    if math.prod(sizes) > max_cells:
-        raise ValueError(f"dense cube would have {math.prod(sizes)} cells > {max_cells}")
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), levels)  # product of small level sets
+    grid = reduce(lambda a, b: a.crossJoin(bounded(b)), levels)
     cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(cnt, keys, "left").select(
         *keys, F.coalesce(F.col("n"), F.lit(0)).alias("n"), F.log1p(F.coalesce(F.col("n"), F.lit(0))).alias("log1p_n"))

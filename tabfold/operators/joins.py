@@ -4,48 +4,53 @@ Strategy: a fitted table (one row per level) is small in practice but its
 size depends on the data, so it is never broadcast blindly, and it is not
 left to a shuffle join either (that would shuffle the whole big side just to
 meet a few hundred rows). ``bounded`` materialises the fitted table once
-(persisted on local disk; recomputed from lineage if an executor is lost), counts it, and
-adds the broadcast hint only when rows x row width is under a byte budget.
+(in the shared checkpoint folder), measures it, and adds the broadcast hint only
+when its measured bytes are under a budget.
 Beyond the budget the join stays a shuffle join (AQE may still convert it).
 One-row tables (priors, min/max) are broadcast directly: one row is a bound.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list
+from tabfold.session import cut_lineage
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def row_width(df: DataFrame) -> int:
-    """Upper-ish estimate of one row in bytes (Spark's default type sizes,
-    strings counted at 64 bytes)."""
-    width = 8
-    for f in df.schema.fields:
-        name = f.dataType.typeName()
-        width += 64 if name in ("string", "binary") else 256 if name in ("array", "map", "struct") else 8
-    return width
+def measured(table: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a table: 8 bytes a fixed-width field, strings, binaries and
+    nested values by the length they have."""
+    size = F.lit(16).cast("long")
+    for f in table.schema.fields:
+        x = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            n = F.octet_length(x)
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            n = F.length(F.to_json(F.struct(x)))
+        else:
+            n = F.lit(8)
+        size = size + F.coalesce(n, F.lit(8))
+    rows, total = table.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows, total or 0
 
 
 def bounded(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Materialise a fitted table and broadcast it only if its checked size
-    (count x row width) is within ``max_bytes``. Kept on local disk, not in
-    executor memory, so many fitted tables in one session cost no heap."""
-    t = table.persist(StorageLevel.DISK_ONLY)
-    n = t.count()
-    return F.broadcast(t) if n * row_width(t) <= max_bytes else t
+    """Materialise a fitted table in the checkpoint folder and broadcast it only if
+    its measured bytes are within ``max_bytes``."""
+    t = cut_lineage(table)
+    return F.broadcast(t) if measured(t)[1] <= max_bytes else t
 
 
 def checked_broadcast(table: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``table`` only if a count proves it has at most ``max_rows``
     (and it fits the byte budget)."""
-    t = table.persist(StorageLevel.DISK_ONLY)
-    n = t.count()
-    return F.broadcast(t) if n <= max_rows and n * row_width(t) <= MAX_BROADCAST_BYTES else t
+    t = cut_lineage(table)
+    rows, size = measured(t)
+    return F.broadcast(t) if rows <= max_rows and size <= MAX_BROADCAST_BYTES else t
 
 
 def lookup(df: DataFrame, table: DataFrame, on, defaults: dict | None = None,

@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as RG
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabfold.functions.exprs import as_list, order_hash
 from tabfold.functions.ranking import hashed_rank
 from tabfold.operators import evaluate as V
+from tabfold.operators.joins import bounded
 from tabfold.session import cut_lineage
 
 PROBABILISTIC = {
@@ -221,8 +222,8 @@ def compare_learners(train: DataFrame, valid: DataFrame, feats, y: str, kinds: d
     """Fit several learners, table of AUC and F1 on the validation rows."""
     out = None
     for name, params in kinds.items():
-        kind = params.pop("kind", name)
-        m = fit(kind, train, feats, y, **params)
+        kind = params.get("kind", name)
+        m = fit(kind, train, feats, y, **{k: v for k, v in params.items() if k != "kind"})
         s = score(m, valid, [key, y])
         met = V.f1_at(s, y, "p", cutoff).select("f1").crossJoin(V.auc(s, y, "p")) \
             .withColumn("learner", F.lit(name))
@@ -380,23 +381,19 @@ def adaboost_score(ensemble, df: DataFrame, key: str) -> DataFrame:
 
 def fit_discriminant(df: DataFrame, feats, y: str, quadratic: bool = False) -> dict:
     """Class priors, means and covariances from one grouped aggregation
-    (sums and cross products per class); the d x d algebra runs on the small
+    (means and centred covariances per class); the d x d algebra runs on the small
     result. LDA pools the covariance; QDA keeps one per class."""
     feats = as_list(feats)
     d = len(feats)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(f).cast("double")).alias(f"s_{i}") for i, f in enumerate(feats)]
-    aggs += [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"x_{i}_{j}")
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.col(f).cast("double")).alias(f"m_{i}") for i, f in enumerate(feats)]
+    aggs += [F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"x_{i}_{j}")
              for i, a in enumerate(feats) for j, b in enumerate(feats) if j >= i]
     rows = {int(r[y]): r for r in df.groupBy(y).agg(*aggs).collect()}  # one row per class
     stats = {}
     for k, r in rows.items():
         n = r["n"]
-        mu = np.array([r[f"s_{i}"] for i in range(d)]) / n
-        xx = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                xx[i, j] = xx[j, i] = r[f"x_{i}_{j}"]
-        cov = (xx - n * np.outer(mu, mu)) / (n - 1)
+        mu = np.array([r[f"m_{i}"] for i in range(d)])
+        cov = np.array([[r[f"x_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
         stats[k] = (n, mu, cov)
     ntot = sum(s[0] for s in stats.values())
     if not quadratic:
@@ -452,19 +449,17 @@ def fm_factors(df: DataFrame, keys, target: str, factor_size: int = 2, seed: int
     back per level: bias (linear weight) and ``factor_size`` factors.
     Returns ``(key, level, bias, f0, f1, ...)``."""
     keys = as_list(keys)
-    levels = {k: sorted(r[0] for r in df.select(k).distinct().collect()) for k in keys}  # small level sets
-    cols, names = [], []
-    for k in keys:
-        for v in levels[k]:
-            cols.append((F.col(k) == F.lit(v)).cast("double").alias(f"_{k}_{v}"))
-            names.append((k, v))
-    x = df.select(F.col(target).cast("double").alias(target), *cols)
-    m = fit("fm_regressor", x, [c for c in x.columns if c != target], target, factorSize=factor_size,
-            seed=seed, **params)
+    indexer = StringIndexer(inputCols=keys, outputCols=[f"_i_{k}" for k in keys], stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"_i_{k}" for k in keys], outputCols=[f"_h_{k}" for k in keys], dropLast=False)
+    x = df.select(F.col(target).cast("double").alias(target), *[F.col(k).cast("string").alias(k) for k in keys])
+    indexed = indexer.fit(x)
+    x = hot.fit(indexed.transform(x)).transform(indexed.transform(x))
+    m = fit("fm_regressor", x, [f"_h_{k}" for k in keys], target, factorSize=factor_size, seed=seed, **params)
     fm = m.stages[-1]
     lin = fm.linear.toArray()
     fac = fm.factors.toArray()
-    rows = [(k, str(v), float(lin[i]), *[float(fac[i, j]) for j in range(factor_size)])
+    names = [(k, v) for k, labels in zip(keys, indexed.labelsArray) for v in labels]
+    rows = [(k, v, float(lin[i]), *[float(fac[i, j]) for j in range(factor_size)])
             for i, (k, v) in enumerate(names)]
     schema = "key string, level string, bias double, " + ", ".join(f"f{j} double" for j in range(factor_size))
     return df.sparkSession.createDataFrame(rows, schema)
@@ -476,7 +471,8 @@ def attach_level_vectors(df: DataFrame, table: DataFrame, keys) -> DataFrame:
     for k in as_list(keys):
         t = table.where(F.col("key") == k).drop("key")
         t = t.select(F.col("level").alias(f"_{k}_lvl"), *[F.col(c).alias(f"{k}_{c}") for c in t.columns if c != "level"])
-        out = out.join(t, out[k].cast("string") == t[f"_{k}_lvl"], "left").drop(f"_{k}_lvl")
+        t = bounded(t)
+        out = out.join(t, out[k].cast("string") == F.col(f"_{k}_lvl"), "left").drop(f"_{k}_lvl")
     return out
 
 

@@ -117,9 +117,9 @@ def uniques(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col, dropna: bool = False) -> DataFrame:
-    """Count and share per value; nulls kept unless ``dropna``."""
+    """Count and share per value; rows with any null kept unless ``dropna``."""
     cols = as_list(col)
-    x = df.where(F.greatest(*[F.col(k).isNotNull() for k in cols])) if dropna else df
+    x = df.na.drop("any", subset=cols) if dropna else df
     g = x.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     tot = x.agg(F.count(F.lit(1)).alias("_tot"))
     return g.crossJoin(F.broadcast(tot)).select(*cols, "n", (F.col("n") / F.col("_tot")).alias("share"))
@@ -254,7 +254,7 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, by=None)
     g = df.where(F.col(col).isNotNull()).groupBy(*by, b).agg(F.count(F.lit(1)).alias("n"))
     tot = g.groupBy(*by).agg(F.sum("n").alias("_t"))
     width = (hi - lo) / bins
-    j = g.join(tot, by) if by else g.crossJoin(F.broadcast(tot))
+    j = join_null_safe(g, bounded(tot), by) if by else g.crossJoin(F.broadcast(tot))
     return j.select(*by, "bin", "n", (F.col("n") / F.col("_t") / F.lit(width)).alias("density"))
 
 

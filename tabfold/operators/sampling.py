@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabfold.functions.exprs import as_list, hash_unit, order_hash
-from tabfold.functions.ranking import hashed_rank, prefix_sums
+from tabfold.functions.ranking import hashed_rank, join_null_safe, prefix_sums
+from tabfold.operators.joins import bounded
 
 
 def _ranked(df: DataFrame, key: str, seed, by=None) -> DataFrame:
@@ -88,7 +89,7 @@ def split(df: DataFrame, key: str, fractions: list[float], seed=42, by=None, nam
     by = as_list(by)
     x = _ranked(df, key, seed, by=by or None)
     n = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else x.agg(F.count(F.lit(1)).alias("_n"))
-    x = x.join(n, by) if by else x.crossJoin(F.broadcast(n))
+    x = join_null_safe(x, bounded(n), by) if by else x.crossJoin(F.broadcast(n))
     cum, expr = 0.0, None
     for i, frac in enumerate(fractions):
         cum += frac

@@ -164,17 +164,17 @@ def q_f17(spark, d):
 
 
 @register("f18_dense_contingency", """
-WITH p AS (SELECT p_brand, p_type, p_size % 10 AS size_mod FROM part),
+WITH p AS (SELECT p_brand, p_type, p_size FROM part),
 grid AS (SELECT * FROM (SELECT DISTINCT p_brand FROM p) CROSS JOIN (SELECT DISTINCT p_type FROM p)
-         CROSS JOIN (SELECT DISTINCT size_mod FROM p)),
-cnt AS (SELECT p_brand, p_type, size_mod, count(*) AS n FROM p GROUP BY 1, 2, 3)
-SELECT g.p_brand, g.p_type, g.size_mod, coalesce(c.n, 0) AS n, round(ln(1 + coalesce(c.n, 0)), 6) AS log1p_n
-FROM grid g LEFT JOIN cnt c USING (p_brand, p_type, size_mod)
+         CROSS JOIN (SELECT DISTINCT p_size FROM p)),
+cnt AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT g.p_brand, g.p_type, g.p_size, coalesce(c.n, 0) AS n, round(ln(1 + coalesce(c.n, 0)), 6) AS log1p_n
+FROM grid g LEFT JOIN cnt c USING (p_brand, p_type, p_size)
 """)
 def q_f18(spark, d):
-    """Counts over all brand x type x size-bucket combinations, zeros included."""
-    p = table(spark, d, "part").select("p_brand", "p_type", (F.col("p_size") % 10).alias("size_mod"))
-    return FE.dense_counts(p, ["p_brand", "p_type", "size_mod"])
+    """Counts over all brand x type x size combinations, zeros included."""
+    p = table(spark, d, "part").select("p_brand", "p_type", "p_size")
+    return FE.dense_counts(p, ["p_brand", "p_type", "p_size"])
 
 
 @register("f25a_rank_scaled", EMP + """

@@ -13,7 +13,7 @@ from tabfold.operators import neighbors as N
 from tabfold.operators import sampling as R
 from tabfold.plans.registry import register
 from tabfold.plans.q_encode import PRIORITY_ORDER
-from tabfold.session import ensure_checkpoint_dir
+from tabfold.sources.files import scratch_path
 from tabfold.sources.tables import entity, scores_long, table
 
 BASE_FEATS = ["price_k", "acctbal_k", "rating", "nation", "prio_ord"]
@@ -74,14 +74,14 @@ def q_m10(spark, d):
 def q_m11(spark, d):
     """Linear discriminant: class moments in one grouped pass, score as a column expression."""
     tr, te, feats = model_frames(spark, d)
-    return M.discriminant_score(M.fit_discriminant(tr, BASE_FEATS, "y"), te, "key")
+    return M.discriminant_score(M.fit_discriminant(tr, feats, "y"), te, "key")
 
 
 @register("m11b_qda_score")
 def q_m11b(spark, d):
     """Quadratic discriminant: one covariance per class."""
     tr, te, feats = model_frames(spark, d)
-    return M.discriminant_score(M.fit_discriminant(tr, BASE_FEATS, "y", quadratic=True), te, "key")
+    return M.discriminant_score(M.fit_discriminant(tr, feats, "y", quadratic=True), te, "key")
 
 
 @register("m12_compare_learners")
@@ -102,11 +102,9 @@ def q_m13(spark, d):
 
 @register("m14_random_search")
 def q_m14(spark, d):
-    """Up to three seeded random points of a forest space, train/validation
-    split, with a 120 s wall-clock budget for starting new points."""
+    """Three seeded random points of a forest space, train/validation split."""
     tr, _, feats = model_frames(spark, d)
-    return M.random_search("forest", tr, feats, "y", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 5]}, 3, seed=4,
-                           max_seconds=120.0)
+    return M.random_search("forest", tr, feats, "y", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 5]}, 3, seed=4)
 
 
 @register("m1b_logistic_c_l1")
@@ -153,7 +151,7 @@ def q_m18(spark, d):
     """Fit, save to the shared checkpoint folder, load back and score in batch."""
     tr, te, feats = model_frames(spark, d)
     m = M.fit("tree", tr, feats, "y", maxDepth=4)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/m18_tree"
+    path = scratch_path(spark, "m18-tree")
     M.save(m, path)
     return M.score(M.load(path), te, "key")
 
@@ -171,7 +169,7 @@ def q_x9(spark, d):
     """Add features in importance order, keep if validation F1 rises."""
     tr, _, feats = model_frames(spark, d)
     m = M.fit("tree", tr, feats, "y", maxDepth=4)
-    order = [n for n, _ in sorted(M.importances(m, feats), key=lambda t: (-t[1], t[0]))][:4]
+    order = [n for n, _ in sorted(M.importances(m, feats), key=lambda t: (-t[1], t[0]))]
     return M.forward_select("logistic", tr.where(F.col("fold") != 0), tr.where(F.col("fold") == 0), order, "y",
                             cutoff=0.35)
 
@@ -181,14 +179,15 @@ def q_x10(spark, d):
     """AUC drop on fold 0 after a keyed permutation of each column."""
     tr, _, feats = model_frames(spark, d)
     m = M.fit("tree", tr.where(F.col("fold") != 0), feats, "y", maxDepth=4)
-    return M.permutation_importance(m, tr.where(F.col("fold") == 0), BASE_FEATS[:3], "y", "key", seed=5)
+    return M.permutation_importance(m, tr.where(F.col("fold") == 0), feats, "y", "key", seed=5)
 
 
 @register("x11_importance_table")
 def q_x11(spark, d):
     """Importances averaged over fold models, with percent of the total."""
     tr, _, feats = model_frames(spark, d)
-    models = [M.fit("tree", tr.where(F.col("fold") != k), feats, "y", maxDepth=4) for k in range(3)]
+    models = [M.fit("tree", tr.where(F.col("fold") != k), feats, "y", maxDepth=4)
+              for k in sorted(r["fold"] for r in tr.select("fold").distinct().collect())]
     return M.importance_table(models, feats, spark)
 
 
@@ -231,26 +230,26 @@ def q_b12(spark, d):
     base = oof.select("key", "y", "fold", "model", "p")
     o3_in = base.unionByName(lvl2.select("key", "y", "fold", "model", "p"))
     t3_in = test.select("key", "model", "p").unionByName(t2.withColumn("model", F.lit("l2")).select("key", "model", "p"))
-    o3, _, _ = M.stack(o3_in, t3_in, ["m1", "l2"], "y", kind="logistic")
+    o3, _, _ = M.stack(o3_in, t3_in, ["m1", "m2", "m3", "l2"], "y", kind="logistic")
     return o3
 
 
 @register("f19_fm_level_factors")
 def q_f19(spark, d):
-    """Factorisation machine on the dense brand x type x size-bucket counts:
+    """Factorisation machine on the dense brand x type x size counts:
     bias and two factors per level."""
-    p = table(spark, d, "part").select("p_brand", "p_type", (F.col("p_size") % 10).alias("size_mod"))
-    dense = FE.dense_counts(p, ["p_brand", "p_type", "size_mod"])
-    return M.fm_factors(dense, ["p_brand", "p_type", "size_mod"], "log1p_n", factor_size=2, seed=1, maxIter=30)
+    p = table(spark, d, "part").select("p_brand", "p_type", "p_size")
+    dense = FE.dense_counts(p, ["p_brand", "p_type", "p_size"])
+    return M.fm_factors(dense, ["p_brand", "p_type", "p_size"], "log1p_n", factor_size=2, seed=1, maxIter=30)
 
 
 @register("f20_attach_level_vectors")
 def q_f20(spark, d):
     """Level factors joined onto every part row by each key."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", (F.col("p_size") % 10).alias("size_mod"))
-    dense = FE.dense_counts(p.drop("p_partkey"), ["p_brand", "p_type", "size_mod"])
-    t = M.fm_factors(dense, ["p_brand", "p_type", "size_mod"], "log1p_n", factor_size=2, seed=1, maxIter=30)
-    return M.attach_level_vectors(p, t, ["p_brand", "p_type", "size_mod"])
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    dense = FE.dense_counts(p.drop("p_partkey"), ["p_brand", "p_type", "p_size"])
+    t = M.fm_factors(dense, ["p_brand", "p_type", "p_size"], "log1p_n", factor_size=2, seed=1, maxIter=30)
+    return M.attach_level_vectors(p, t, ["p_brand", "p_type", "p_size"])
 
 
 @register("f23_reconstruction_error")

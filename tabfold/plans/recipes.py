@@ -18,6 +18,7 @@ from tabfold.operators import sampling as R
 from tabfold.operators import scale as K
 from tabfold.operators import select as X
 from tabfold.operators import setops as U
+from tabfold.operators.joins import bounded
 from tabfold.plans.registry import register
 from tabfold.sources import files as S
 from tabfold.sources.tables import entity, scores_long, train_test
@@ -79,15 +80,16 @@ def z3_group_feature_table(spark: SparkSession, d: str) -> DataFrame:
     drop constant, no-signal and drifting columns, and apply the IV bounds."""
     tr, te = train_test(spark, d)
     st = U.stack_train_test(tr, te)
-    st = J.drop_rows(st, {"yr": [1995]})
     st = st.withColumn("seg_prio", FE.cross("segment", "priority")) \
            .withColumn("price_per_nation", FE.ratio("price", F.col("nation") + 1))
+    only_train = U.level_diff(st.where("is_train = 1"), st.where("is_train = 0"), "seg_prio")
+    st = st.join(bounded(only_train), "seg_prio", "left_anti")
     codes = E.fit_factorize(st, "seg_prio", "key").select(F.col("level").alias("seg_prio"),
                                                             F.col("code").alias("seg_prio_code"))
-    st = st.join(codes, "seg_prio", "left")
+    st = st.join(bounded(codes), "seg_prio", "left")
     cnt = E.fit_count_encode(st, "segment").select(F.col("level").alias("segment"),
                                                    F.col("value").alias("segment_counts"))
-    st = st.join(cnt, "segment", "left")
+    st = st.join(bounded(cnt), "segment", "left")
     st = FE.group_stats(st, ["segment", "priority"], "acctbal", aggs=("min", "mean", "max", "std"))
     st = C.fill_const(st, {"rating": 0})
     num = [c for c, t in st.dtypes if t in ("int", "bigint", "double") and c not in ("key", "y", "is_train")]
@@ -97,8 +99,8 @@ def z3_group_feature_table(spark: SparkSession, d: str) -> DataFrame:
     drift = {r[0] for r in X.drift_report(st, [c for c in num if c not in const], "y").collect()}
     keep = [c for c in num if c not in const | same | drift]
     iv = E.information_value(lab, keep, "y").withColumnRenamed("column", "feature")
-    too_strong = {r[0] for r in iv.where(F.col("iv") > 0.8).collect()}
-    final = [c for c in keep if c not in too_strong]
+    within = {r["feature"] for r in X.select_by_iv(iv, 1e-4, 0.8).collect()}
+    final = [c for c in keep if c in within]
     return st.select("key", "y", "is_train", *final)
 
 
@@ -170,6 +172,9 @@ def z6_score_blend(spark: SparkSession, d: str) -> DataFrame:
     return dec
 
 
+MIN_BASE_F1 = 0.2  # base models below it are left out of the stack
+
+
 @register("z7_three_level_stack")
 def z7_three_level_stack(spark: SparkSession, d: str) -> DataFrame:
     """Pick base models by recorded OOF F1, align by key, level-2 and
@@ -177,12 +182,12 @@ def z7_three_level_stack(spark: SparkSession, d: str) -> DataFrame:
     sl = scores_long(spark, d)
     oof, test = sl.where(F.col("split") == "oof"), sl.where(F.col("split") == "test")
     rec = V.f1_at(oof, "y", "p", 0.25, by="model").select("model", "f1")
-    models = [r["model"] for r in B.select_models(rec, "f1", 0.0).collect()]  # small metric table
+    models = [r["model"] for r in B.select_models(rec, "f1", MIN_BASE_F1).collect()]  # small metric table
     o2, t2, _ = M.stack(oof.where(F.col("model").isin(models)), test.where(F.col("model").isin(models)), models, "y")
     o3_in = oof.select("key", "y", "fold", "model", "p").unionByName(
         o2.withColumn("model", F.lit("l2")).select("key", "y", "fold", "model", "p"))
     t3_in = test.select("key", "model", "p").unionByName(t2.withColumn("model", F.lit("l2")).select("key", "model", "p"))
-    _, _, met = M.stack(o3_in, t3_in, [models[0], "l2"], "y", cutoff=0.3)
+    _, _, met = M.stack(o3_in, t3_in, [*models, "l2"], "y", cutoff=0.3)
     return met
 
 
@@ -198,8 +203,8 @@ def z8_pairwise_target_table(spark: SparkSession, d: str) -> DataFrame:
     for i, a in enumerate(cats):
         for b in cats[i + 1:]:
             t = E.fit_target_mean(lab, [a, b], "y").select(a, b, F.col("mean").alias(f"tm_{a}_{b}"))
-            out = out.join(t, [a, b], "left")
-    out = FE.pairwise_means(out, ["segment", "priority"], ["price", "acctbal"])
+            out = out.join(bounded(t), [a, b], "left")
+    out = FE.pairwise_means(out, cats, ["price", "acctbal"])
     lv = E.fit_onehot(lab, ["segment"])
     return E.apply_onehot(out, lv)
 
