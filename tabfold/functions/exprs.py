@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,19 +75,40 @@ def melt_one_row(row_df: DataFrame, metrics: dict[str, list[str]], name_col: str
     return row_df.select(F.inline(F.array(*structs)))
 
 
-@F.pandas_udf(T.DoubleType())
-def erfinv(x: pd.Series) -> pd.Series:
-    """Inverse error function, vectorised per Arrow batch (no scipy here)."""
-    nd = NormalDist()
-
-    def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
-            return None
-        if v <= -1.0 or v >= 1.0:
-            return math.copysign(math.inf, v)
-        return nd.inv_cdf((v + 1.0) / 2.0) / math.sqrt(2.0)
-
-    return x.map(one).astype("float64")
+# Fixed values of the published rational approximation of the normal quantile
+# (central part a/b, tails c/d, relative error below 1.2e-9).
+_A = "-3.969683028665376E1 2.209460984245205E2 -2.759285104469687E2 1.383577518672690E2 -3.066479806614716E1 2.506628277459239E0"
+_B = "-5.447609879822406E1 1.615858368580409E2 -1.556989798598866E2 6.680131188771972E1 -1.328068155288572E1 1E0"
+_C = "-7.784894002430293E-3 -3.223964580411365E-1 -2.400758277161838E0 -2.549732539343734E0 4.374664141464968E0 2.938163982698783E0"
+_D = "7.784695709041462E-3 3.224671290700398E-1 2.445134137142996E0 3.754408661907416E0 1E0"
+
+
+def _horner(coefficients: str, x: str) -> str:
+    first, *rest = coefficients.split()
+    out = f"({first})"
+    for k in rest:
+        out = f"({out} * {x} + ({k}))"
+    return out
+
+
+def erfinv_sql(x: str) -> str:
+    """Inverse error function of a double column as SQL text that Spark and
+    DuckDB evaluate alike; infinite at -1 and 1, NULL for NULL."""
+    p = f"(({x} + 1E0) / 2E0)"
+    r = f"(({p} - 5E-1) * ({p} - 5E-1))"
+
+    def tail(q: str) -> str:
+        t = f"sqrt(-2E0 * ln({q}))"
+        return f"({_horner(_C, t)} / {_horner(_D, t)})"
+
+    return (f"(CASE WHEN {x} <= -1E0 THEN CAST('-Infinity' AS DOUBLE) WHEN {x} >= 1E0 THEN CAST('Infinity' AS DOUBLE) "
+            f"WHEN {p} < 2.425E-2 THEN {tail(p)} WHEN {p} > 9.7575E-1 THEN -{tail(f'(1E0 - {p})')} "
+            f"ELSE ({p} - 5E-1) * {_horner(_A, r)} / {_horner(_B, r)} END / sqrt(2E0))")
+
+
+def erfinv(col_name: str) -> F.Column:
+    """Inverse error function of a column (given by name), JVM-side."""
+    return F.expr(erfinv_sql(f"`{col_name}`"))
 
 
 @F.pandas_udf(T.DoubleType())

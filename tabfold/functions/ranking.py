@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfold.functions.exprs import as_list, c
+from tabfold.operators.joins import bounded
 from tabfold.session import cut_lineage
 
 
@@ -95,12 +96,13 @@ def prefix_sums(counts: DataFrame, order_cols, sum_cols: list[str], by=None,
     wr = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_range.select("_rid", *by, *[F.coalesce(F.sum(f"_r_{s}").over(wr), F.lit(0))
                                            .alias(f"_o_{s}") for s in sum_cols])
-    x = join_null_safe(ranged, offs, ["_rid", *by])
+    # the window first, on its own keys; the offsets then join without moving rows
     end = 0 if inclusive else -1
     w = Window.partitionBy("_rid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    for s in sum_cols:
-        x = x.withColumn(f"{s}{suffix}", F.coalesce(F.sum(s).over(w), F.lit(0)) + F.col(f"_o_{s}"))
-    return x.drop("_rid", *[f"_o_{s}" for s in sum_cols])
+    x = ranged.withColumns({f"{s}{suffix}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sum_cols})
+    x = join_null_safe(x, bounded(offs), ["_rid", *by])
+    return x.withColumns({f"{s}{suffix}": F.col(f"{s}{suffix}") + F.col(f"_o_{s}") for s in sum_cols}) \
+        .drop("_rid", *[f"_o_{s}" for s in sum_cols])
 
 
 def quantiles(df: DataFrame, cols, probs: list[float], by=None) -> DataFrame:
@@ -117,8 +119,8 @@ def quantiles(df: DataFrame, cols, probs: list[float], by=None) -> DataFrame:
     keys = [*by, "_col"]
     cnt = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     cum = prefix_sums(cnt, "_v", ["_c"], by=keys, inclusive=True)
-    tot = cum.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))
-    x = join_null_safe(cum, tot, keys)
+    tot = cnt.groupBy(*keys).agg(F.sum("_c").alias("_n"))  # one row per group and column
+    x = join_null_safe(cum, bounded(tot), keys)
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1).cast("double") * F.lit(float(p))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabfold.functions.exprs import as_list, c, hash_unit, safe_div
 from tabfold.functions.ranking import prefix_sums, quantiles
 from tabfold.operators.joins import bounded
+from tabfold.session import cut_lineage
 
 
 
@@ -29,19 +30,19 @@ def fit_label(df: DataFrame, cols) -> DataFrame:
 
 
 def apply_label(df: DataFrame, fitted: DataFrame, cols, null_code: int | None = None,
-                suffix: str = "") -> DataFrame:
-    """Replace each column by its code (null levels -> ``null_code``)."""
+                suffix: str = "", unseen_code: int | None = None) -> DataFrame:
+    """Replace each column by its code; null levels get ``null_code``,
+    levels that the fit did not see ``unseen_code`` (none: null)."""
     out = df
     fitted = bounded(fitted)
     for x in as_list(cols):
         t = fitted.where(F.col("column") == x).select(
             F.col("level").alias("_lvl"), F.col("code").alias(f"{x}{suffix}__code"))
         out = out.join(t, out[x].cast("string") == t["_lvl"], "left").drop("_lvl")
-        code = F.col(f"{x}{suffix}__code")
-        if null_code is not None:
-            code = F.coalesce(code, F.lit(null_code))
+        other = F.when(F.col(x).isNull(), F.lit(null_code)).otherwise(F.lit(unseen_code)).cast("int")
+        out = out.withColumn(f"{x}{suffix}__code", F.coalesce(F.col(f"{x}{suffix}__code"), other))
         out = out.drop(x) if not suffix else out
-        out = out.withColumn(f"{x}{suffix}", code).drop(f"{x}{suffix}__code")
+        out = out.withColumnRenamed(f"{x}{suffix}__code", f"{x}{suffix}")
     return out
 
 
@@ -135,6 +136,12 @@ def fit_count_encode(df: DataFrame, col: str, scale: bool = True) -> DataFrame:
                                  F.lit(0.0)).alias("value"))
 
 
+def apply_count_encode(df: DataFrame, fitted: DataFrame, col: str, out: str, default: float = 0.0) -> DataFrame:
+    """Attach the fitted value of each level; unseen and null levels get ``default``."""
+    t = bounded(fitted.select(F.col("level").alias(col), F.col("value").alias(out)))
+    return df.join(t, on=col, how="left").withColumn(out, F.coalesce(out, F.lit(default)))
+
+
 # ---------------------------------------------------------------- E11/E12 target
 
 def fit_target_mean(df: DataFrame, keys, y: str) -> DataFrame:
@@ -144,6 +151,12 @@ def fit_target_mean(df: DataFrame, keys, y: str) -> DataFrame:
                                  F.count(F.lit(1)).alias("n"))
 
 
+def apply_target_mean(df: DataFrame, fitted: DataFrame, keys, out: str) -> DataFrame:
+    """Attach the fitted label mean of each key combination (unseen: null)."""
+    keys = as_list(keys)
+    return df.join(bounded(fitted.select(*keys, F.col("mean").alias(out))), on=keys, how="left")
+
+
 def fit_target_encode(df: DataFrame, col: str, y: str, min_samples_leaf: float = 1.0,
                       smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Smoothed target encoding.
@@ -151,9 +164,12 @@ def fit_target_encode(df: DataFrame, col: str, y: str, min_samples_leaf: float =
     w = 1 / (1 + exp(-(n - min_samples_leaf) / smoothing));
     value = prior * (1 - w) + mean * w. Returns (per-level table, one-row prior).
     """
-    prior = df.agg(F.avg(F.col(y).cast("double")).alias("prior"))
-    st = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("level")).agg(
-        F.avg(F.col(y).cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    # one pass over the rows: the level table, its NULL level included, gives the prior
+    st = cut_lineage(df.groupBy(F.col(col).alias("level")).agg(
+        F.avg(F.col(y).cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col(y).cast("double")).alias("_s"), F.count(y).alias("_c")))
+    prior = cut_lineage(st.agg((F.sum("_s") / F.sum("_c")).alias("prior")))
+    st = st.where(F.col("level").isNotNull()).drop("_s", "_c")
     w = 1.0 / (1.0 + F.exp(-(F.col("n") - F.lit(min_samples_leaf)) / F.lit(float(smoothing))))
     table = st.crossJoin(F.broadcast(prior)).select(  # prior: one row
         "level", "mean", "n", (F.col("prior") * (1 - w) + F.col("mean") * w).alias("smoothed"))

@@ -227,10 +227,9 @@ def rank_scaled(df: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def rank_gauss(df: DataFrame, col: str, key: str) -> DataFrame:
-    """erfinv of the centred scaled rank, centred again. erfinv is an
-    Arrow-batched pandas UDF (no JVM built-in exists)."""
+    """erfinv of the centred scaled rank, centred again."""
     r = rank_scaled(df, col, key)
-    g = r.withColumn("_g", erfinv(F.col(f"{col}_rank")))
+    g = r.withColumn("_g", erfinv(f"{col}_rank"))
     m = g.agg(F.avg("_g").alias("_m"))
     return g.crossJoin(F.broadcast(m)).select(key, (F.col("_g") - F.col("_m")).alias(f"{col}_gauss"))
 

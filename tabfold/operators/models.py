@@ -9,6 +9,7 @@ persisted feature table; their results are unioned, never collected.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -16,10 +17,10 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as RG
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,51 +145,75 @@ def cv_oof(kind: str, train: DataFrame, test: DataFrame | None, feats, y: str, k
     return oof.select(*keys, fold, y, "p"), test_scores, metrics
 
 
-class F1Evaluator(MulticlassClassificationEvaluator):
-    """F1 of class 1 at the model's own decision (cutoff 0.5)."""
+class CutoffF1(Evaluator):
+    """F1 of class 1 of the decision ``p > cutoff``; ``"best"``: at the best
+    cutoff of a grid from 0 to 1 by 0.01, chosen on the rows it is given."""
 
-    def __init__(self, y: str):
-        super().__init__(labelCol=y, predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
+    def __init__(self, y: str, cutoff: float | str = 0.5):
+        super().__init__()
+        self.y, self.cutoff = y, cutoff
 
+    def _evaluate(self, dataset: DataFrame) -> float:
+        s = dataset.select(F.col(self.y).cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+        if self.cutoff == "best":
+            found = V.best_cutoff(V.sweep(s, "y", "p", 0.0, 0.01, 101))
+        else:
+            found = V.f1_at(s, "y", "p", self.cutoff)
+        return float(found.first()["f1"] or 0.0)
 
-def grid_search(kind: str, df: DataFrame, feats, y: str, grid: dict, fold: str = "fold",
-                metric: str = "f1", parallelism: int = 2) -> DataFrame:
-    """Full Cartesian grid, k folds given by ``fold`` (no random split),
-    metric f1 (class 1) or auc; returns one row per grid point, best first."""
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def _evaluator(y: str, metric: str, cutoff: float | str) -> Evaluator:
+    return CutoffF1(y, cutoff) if metric == "f1" else BinaryClassificationEvaluator(labelCol=y)
+
+
+def _cv_table(kind: str, df: DataFrame, feats, y: str, names: list[str], points: list[dict], fold: str,
+              metric: str, cutoff: float | str, weight: str | None, parallelism: int) -> DataFrame:
+    """Mean metric over the given folds for each parameter point, best first."""
     data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
-    est = estimator(kind, y)
-    pg = ParamGridBuilder()
-    for name, values in grid.items():
-        pg = pg.addGrid(est.getParam(name), values)
-    maps = pg.build()
-    ev = F1Evaluator(y) if metric == "f1" else BinaryClassificationEvaluator(labelCol=y)
+    est = estimator(kind, y, weight)
+    maps = [{est.getParam(n): p[n] for n in names} for p in points]
     k = data.select(fold).distinct().count()  # foldCol needs numFolds = number of folds
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold, numFolds=k,
-                        parallelism=parallelism)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(y, metric, cutoff), foldCol=fold,
+                        numFolds=k, parallelism=parallelism)
     model = cv.fit(data.withColumn(fold, F.col(fold).cast("int")))
-    rows = [tuple([str(pm[est.getParam(n)]) for n in grid] + [float(m)]) for pm, m in zip(maps, model.avgMetrics)]
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, ", ".join([f"{n} string" for n in grid] + [f"{metric} double"]))
-    return out.orderBy(F.col(metric).desc(), *grid.keys())
+    rows = [tuple([str(p[n]) for n in names] + [float(m)]) for p, m in zip(points, model.avgMetrics)]
+    out = df.sparkSession.createDataFrame(rows, ", ".join([f"{n} string" for n in names] + [f"{metric} double"]))
+    return out.orderBy(F.col(metric).desc(), *names)
+
+
+def grid_search(kind: str, df: DataFrame, feats, y: str, grid: dict, fold: str = "fold", metric: str = "f1",
+                cutoff: float | str = 0.5, weight: str | None = None, parallelism: int = 2) -> DataFrame:
+    """Full Cartesian grid, k folds given by ``fold`` (no random split),
+    metric f1 (class 1, of ``p > cutoff`` or at the best cutoff) or auc,
+    optional class weights; one row per grid point, best first."""
+    names = list(grid)
+    points = [dict(zip(names, values)) for values in itertools.product(*grid.values())]
+    return _cv_table(kind, df, feats, y, names, points, fold, metric, cutoff, weight, parallelism)
 
 
 def random_search(kind: str, df: DataFrame, feats, y: str, space: dict, n: int, seed: int = 0,
-                  train_ratio: float = 0.75, metric: str = "auc", max_seconds: float | None = None) -> DataFrame:
-    """``n`` random points of the parameter space (seeded), each fit on a
-    train part and scored on the rest (TrainValidationSplit), best first.
-    With ``max_seconds`` the points are tried one at a time and the search
-    stops starting new ones once the wall-clock budget is spent."""
+                  train_ratio: float = 0.75, metric: str = "auc", max_seconds: float | None = None,
+                  fold: str | None = None, cutoff: float | str = 0.5, weight: str | None = None,
+                  parallelism: int = 2) -> DataFrame:
+    """``n`` random points of the parameter space (seeded), best first.
+    With ``fold`` each point is scored over the given folds; else each is fit
+    on a train part and scored on the rest (TrainValidationSplit). With
+    ``max_seconds`` the points are tried one at a time and the search stops
+    starting new ones once the wall-clock budget is spent."""
+    rnd = random.Random(seed)
+    if fold:
+        points = [{k: rnd.choice(v) for k, v in space.items()} for _ in range(n)]
+        return _cv_table(kind, df, feats, y, list(space), points, fold, metric, cutoff, weight, parallelism)
     if max_seconds is not None:
         return _random_search_capped(kind, df, feats, y, space, n, seed, train_ratio, metric, max_seconds)
-    rnd = random.Random(seed)
     data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
-    est = estimator(kind, y)
-    maps = []
-    for _ in range(n):
-        maps.append({est.getParam(k): rnd.choice(v) for k, v in space.items()})
-    ev = F1Evaluator(y) if metric == "f1" else BinaryClassificationEvaluator(labelCol=y)
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=maps, evaluator=ev, trainRatio=train_ratio,
-                               seed=seed)
+    est = estimator(kind, y, weight)
+    maps = [{est.getParam(k): rnd.choice(v) for k, v in space.items()} for _ in range(n)]
+    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(y, metric, cutoff),
+                               trainRatio=train_ratio, seed=seed)
     model = tvs.fit(data)
     rows = [tuple([str(pm[est.getParam(k)]) for k in space] + [float(m)])
             for pm, m in zip(maps, model.validationMetrics)]
@@ -201,7 +226,7 @@ def _random_search_capped(kind, df, feats, y, space, n, seed, train_ratio, metri
 
     rnd = random.Random(seed)
     data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
-    ev = F1Evaluator(y) if metric == "f1" else BinaryClassificationEvaluator(labelCol=y)
+    ev = _evaluator(y, metric, 0.5)
     start = time.monotonic()
     rows = []
     for _ in range(n):
@@ -244,6 +269,24 @@ def best_rounds(df: DataFrame, feats, y: str, valid_col: str, max_iter: int = 50
         .withColumn("is_best", F.col("rounds") == best)
 
 
+def best_rounds_cv(df: DataFrame, feats, y: str, fold: str = "fold", max_iter: int = 50,
+                   **params) -> tuple[DataFrame, PipelineModel]:
+    """M17 over given folds: the mean validation loss after each round, the best
+    round count (first minimum of the mean), and the learner refitted on all
+    rows with it. Returns (round table, model)."""
+    data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
+    losses = []
+    for k in sorted(r[fold] for r in df.select(fold).distinct().collect()):
+        est = C.GBTClassifier(featuresCol="features", labelCol=y, maxIter=max_iter, **params)
+        model = est.fit(data.where(F.col(fold) != k))
+        losses.append(model.evaluateEachIteration(data.where(F.col(fold) == k)))
+    mean = np.mean(losses, axis=0)
+    best = int(mean.argmin()) + 1
+    table = df.sparkSession.createDataFrame([(i + 1, float(v), i + 1 == best) for i, v in enumerate(mean)],
+                                            "rounds int, valid_loss double, is_best boolean")
+    return table, fit("gbt", df, feats, y, maxIter=best, **params)
+
+
 # ------------------------------------------------------------------ selection by model
 
 def select_by_importance(model: PipelineModel, feats, min_importance: float = 1e-6) -> list[str]:

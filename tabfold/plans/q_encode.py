@@ -59,12 +59,7 @@ def q_e4(spark, d):
     tr = e.filter(F.col("part") == "train")
     cols = ["priority", "segment", "edu"]
     fitted = E.fit_label(tr, cols)
-    x = e.select("key", *cols)
-    for col in cols:  # null -> -1 but unseen (non-null, no code) stays null
-        t = fitted.where(F.col("column") == col).select(F.col("level").alias("_l"), F.col("code").alias("_c"))
-        x = x.join(t, x[col] == t["_l"], "left").withColumn(
-            col, F.coalesce(F.col("_c"), F.when(F.col(col).isNull(), F.lit(-1)))).drop("_l", "_c")
-    return x
+    return E.apply_label(e.select("key", *cols), fitted, cols, null_code=-1)
 
 
 @register("e2_label_encode_train_test", EMP + "," + LEVELS_SQL.format(
@@ -149,9 +144,7 @@ def q_e10(spark, d):
     """Level counts on train, min-max scaled, attached to all rows."""
     e = entity(spark, d)
     t = E.fit_count_encode(e.filter(F.col("part") == "train"), "nation")
-    t = t.select(F.col("level").alias("nation"), F.col("value").alias("nation_count"))
-    # unseen levels: null count -> scaled value of 0 after coalesce on the scaled scale
-    return e.join(t, "nation", "left").select("key", F.coalesce("nation_count", F.lit(0.0)).alias("nation_count"))
+    return E.apply_count_encode(e, t, "nation", "nation_count").select("key", "nation_count")
 
 
 @register("e11_target_mean_pairs", EMP + """,
@@ -165,12 +158,9 @@ def q_e11(spark, d):
     """Label mean per pair of categories, fitted on train, joined on both keys."""
     e = entity(spark, d)
     tr = e.filter(F.col("part") == "train")
-    a = E.fit_target_mean(tr, ["segment", "priority"], "y").select(
-        "segment", "priority", F.col("mean").alias("tm_segment_priority"))
-    b = E.fit_target_mean(tr, ["segment", "nation"], "y").select(
-        "segment", "nation", F.col("mean").alias("tm_segment_nation"))
-    return e.join(a, ["segment", "priority"], "left").join(b, ["segment", "nation"], "left") \
-        .select("key", "tm_segment_priority", "tm_segment_nation")
+    for keys in (["segment", "priority"], ["segment", "nation"]):
+        e = E.apply_target_mean(e, E.fit_target_mean(tr, keys, "y"), keys, "tm_" + "_".join(keys))
+    return e.select("key", "tm_segment_priority", "tm_segment_nation")
 
 
 @register("e13_woe_share_form", EMP + """,

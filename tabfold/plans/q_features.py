@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabfold.functions.exprs import erfinv_sql
 from tabfold.operators import features as FE
 from tabfold.operators import sampling as R
 from tabfold.operators import scale as K
@@ -186,9 +187,14 @@ def q_f25a(spark, d):
     return FE.rank_scaled(entity(spark, d), "acctbal", "key")
 
 
-@register("f25_rank_gauss")
+@register("f25_rank_gauss", EMP + """,
+r AS (SELECT key, (CAST(row_number() OVER (ORDER BY acctbal, key) - 1 AS DOUBLE) / count(*) OVER ()
+  - (count(*) OVER () - 1) / (2.0 * count(*) OVER ())) * 2.0 AS v FROM emp),
+g AS (SELECT key, """ + erfinv_sql("v") + """ AS g FROM r)
+SELECT key, round(g - avg(g) OVER (), 6) AS acctbal_gauss FROM g
+""")
 def q_f25(spark, d):
-    """Rank-gauss: erfinv of the centred rank, centred (erfinv: pandas UDF)."""
+    """Rank-gauss: erfinv of the centred rank, centred."""
     return FE.rank_gauss(entity(spark, d), "acctbal", "key")
 
 

@@ -39,7 +39,7 @@ def q_s4(spark, d):
             name = "train" if sp == "oof" else "test"
             S.write_csv(sl.where((F.col("model") == m) & (F.col("split") == sp)).select("key", "p"),
                         f"{root}/{m}_{name}_scores")
-    df = S.read_scores(spark, f"{root}/*_scores", "key long, p double")
+    df = S.read_scores(spark, f"{root}/*_scores", "key string, p double")
     df = df.withColumn("model", F.regexp_extract("file", r"/(m[0-9]+)_(train|test)_scores/", 1)) \
         .withColumn("split", F.when(F.col("file").contains("_train_"), "oof").otherwise("test"))
     df = S.tag_family(df, {"train_scores": "_train_scores", "test_scores": "_test_scores"})
@@ -53,7 +53,7 @@ def q_s6(spark, d):
     """Key + 0/1 decision written as CSV part files, read back."""
     s = scores_wide(spark, d).where(F.col("split") == "test").withColumn("is_positive", V.decide("p_m1", 0.3))
     path = S.write_submission(s, S.scratch_path(spark, "s6"), "key", "is_positive")
-    return S.read_csv(spark, path, "key long, is_positive int")
+    return S.read_csv(spark, path, "key string, is_positive int")
 
 
 @register("s7_write_oof_partitioned", with_ctes(SCORES_LONG_SQL) + """

@@ -100,11 +100,19 @@ def q_m13(spark, d):
     return M.grid_search("tree", tr, feats, "y", {"maxDepth": [2, 4], "minInstancesPerNode": [1, 50]})
 
 
+@register("m13b_grid_search_best_cutoff")
+def q_m13b(spark, d):
+    """2-point grid with balanced class weights, F1 at each fold's best cutoff."""
+    tr, _, feats = model_frames(spark, d)
+    return M.grid_search("logistic", R.with_weight(tr, "y", "balanced"), feats, "y", {"regParam": [0.01, 0.1]},
+                         cutoff="best", weight="weight")
+
+
 @register("m14_random_search")
 def q_m14(spark, d):
-    """Three seeded random points of a forest space, train/validation split."""
+    """Three seeded random points of a forest space, AUC over the given folds."""
     tr, _, feats = model_frames(spark, d)
-    return M.random_search("forest", tr, feats, "y", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 5]}, 3, seed=4)
+    return M.random_search("forest", tr, feats, "y", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 5]}, 3, seed=4, fold="fold")
 
 
 @register("m1b_logistic_c_l1")
@@ -146,6 +154,23 @@ def q_m17(spark, d):
     return M.best_rounds(tr.withColumn("valid", F.col("fold") == 0), feats, "y", "valid", max_iter=12, maxDepth=3)
 
 
+@register("m17b_best_rounds_cv_refit")
+def q_m17b(spark, d):
+    """Rounds by the mean validation loss over 5 folds; the refitted learner scores the test rows."""
+    tr, te, feats = model_frames(spark, d)
+    _, model = M.best_rounds_cv(tr, feats, "y", max_iter=8, maxDepth=3, seed=1)
+    return M.score(model, te, "key")
+
+
+@register("m5b_gbt_early_stopping")
+def q_m5b(spark, d):
+    """Boosting that stops when the loss on fold 0 no longer falls."""
+    tr, te, feats = model_frames(spark, d)
+    m = M.fit("gbt", tr.withColumn("valid", F.col("fold") == 0), feats, "y", maxIter=30, maxDepth=3, seed=1,
+              validationIndicatorCol="valid", validationTol=0.001)
+    return M.score(m, te, "key")
+
+
 @register("m18_save_load_score")
 def q_m18(spark, d):
     """Fit, save to the shared checkpoint folder, load back and score in batch."""

@@ -87,9 +87,7 @@ def z3_group_feature_table(spark: SparkSession, d: str) -> DataFrame:
     codes = E.fit_factorize(st, "seg_prio", "key").select(F.col("level").alias("seg_prio"),
                                                             F.col("code").alias("seg_prio_code"))
     st = st.join(bounded(codes), "seg_prio", "left")
-    cnt = E.fit_count_encode(st, "segment").select(F.col("level").alias("segment"),
-                                                   F.col("value").alias("segment_counts"))
-    st = st.join(bounded(cnt), "segment", "left")
+    st = E.apply_count_encode(st, E.fit_count_encode(st, "segment"), "segment", "segment_counts")
     st = FE.group_stats(st, ["segment", "priority"], "acctbal", aggs=("min", "mean", "max", "std"))
     st = C.fill_const(st, {"rating": 0})
     num = [c for c, t in st.dtypes if t in ("int", "bigint", "double") and c not in ("key", "y", "is_train")]
@@ -161,7 +159,7 @@ def z6_score_blend(spark: SparkSession, d: str) -> DataFrame:
         for sp in ("oof", "test"):
             S.write_csv(sl.where((F.col("model") == m) & (F.col("split") == sp)).select("key", "y", "p"),
                         f"{root}/{m}_{sp}")
-    long = S.read_scores(spark, f"{root}/*", "key long, y int, p double")
+    long = S.read_scores(spark, f"{root}/*", "key string, y int, p double")
     long = long.withColumn("model", F.regexp_extract("file", r"/(m[0-9]+)_(oof|test)/", 1)) \
         .withColumn("split", F.regexp_extract("file", r"/(m[0-9]+)_(oof|test)/", 2))
     blend = B.blend(long, "hmean", key=["key", "split", "y"])
@@ -202,8 +200,7 @@ def z8_pairwise_target_table(spark: SparkSession, d: str) -> DataFrame:
     lab = st.where(F.col("is_train") == 1)
     for i, a in enumerate(cats):
         for b in cats[i + 1:]:
-            t = E.fit_target_mean(lab, [a, b], "y").select(a, b, F.col("mean").alias(f"tm_{a}_{b}"))
-            out = out.join(bounded(t), [a, b], "left")
+            out = E.apply_target_mean(out, E.fit_target_mean(lab, [a, b], "y"), [a, b], f"tm_{a}_{b}")
     out = FE.pairwise_means(out, cats, ["price", "acctbal"])
     lv = E.fit_onehot(lab, ["segment"])
     return E.apply_onehot(out, lv)

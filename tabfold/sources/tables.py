@@ -84,17 +84,17 @@ def _p(w) -> F.Column:
 
 
 def line_key() -> F.Column:
-    """Unique line-item key: 60 bits of the md5 of its integer columns
-    (order, line number, part, supplier, quantity) -- (order, line) alone
-    repeats in this data."""
+    """Unique line-item key: md5 text of its integer columns (order, line
+    number, part, supplier, quantity) -- (order, line) alone repeats in this
+    data."""
     txt = F.concat_ws("|", *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey",
                                                                 "l_suppkey")],
                       F.col("l_quantity").cast("bigint").cast("string"))
-    return F.conv(F.substring(F.md5(txt), 1, 15), 16, 10).cast("long")
+    return F.md5(txt)
 
 
-LINE_KEY_SQL = ("('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-                "CAST(l_quantity AS BIGINT))), 1, 15))::BIGINT")
+LINE_KEY_SQL = ("md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+                "CAST(l_quantity AS BIGINT)))")
 
 
 def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

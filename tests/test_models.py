@@ -85,3 +85,26 @@ def test_adaboost_weights_and_scores(spark, frames):
     assert 1 <= len(ens) <= 3 and all(a > 0 for _, a in ens)
     s = M.adaboost_score(ens, te, "key")
     assert s.count() == te.count() and s.where("p <= 0 OR p >= 1").count() == 0
+
+
+def test_cutoff_metric_equals_the_sweep(frames):
+    tr, _, feats = frames
+    grid = M.grid_search("tree", tr, feats, "y", {"maxDepth": [3]}, cutoff=0.4).first()["f1"]
+    best = M.grid_search("tree", tr, feats, "y", {"maxDepth": [3]}, cutoff="best").first()["f1"]
+    fixed, free = [], []
+    for k in range(5):
+        m = M.fit("tree", tr.where(F.col("fold") != k), feats, "y", maxDepth=3)
+        s = M.score(m, tr.where(F.col("fold") == k), ["key", "y"])
+        fixed.append(V.f1_at(s, "y", "p", 0.4).first()["f1"] or 0.0)
+        free.append(V.best_cutoff(V.sweep(s, "y", "p", 0.0, 0.01, 101)).first()["f1"])
+    assert grid == pytest.approx(np.mean(fixed)) and best == pytest.approx(np.mean(free)) and best >= grid
+
+
+def test_best_rounds_over_folds_and_refit(frames):
+    tr, te, feats = frames
+    table, model = M.best_rounds_cv(tr, feats, "y", max_iter=4, maxDepth=2, seed=1)
+    rows = table.collect()
+    best = [r for r in rows if r["is_best"]]
+    assert len(rows) == 4 and len(best) == 1 and best[0]["valid_loss"] == min(r["valid_loss"] for r in rows)
+    assert model.stages[-1].getNumTrees == best[0]["rounds"]
+    assert M.score(model, te, "key").count() == te.count()
