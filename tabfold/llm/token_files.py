@@ -1,14 +1,16 @@
 """Token-id output: raw id payloads with a minimal perfect hash index over the keys.
 
 Layout below ``path``: ``payload/shard-K.bin`` holds the ids of the shard's
-documents as little-endian unsigned 32-bit integers, one document after the other,
-``payload/shard-K.idx`` the offsets (in ids, one more than documents, unsigned
-64-bit) and ``index/part-K.mph`` the index of the keys that hash to part K.
+documents as little-endian unsigned integers, one document after the other, of 16
+bits where the vocabulary fits, else 32; ``payload/shard-K.idx`` the offsets (in ids,
+one more than documents, unsigned 64-bit), ``index/part-K.mph`` the index of the keys
+that hash to part K and ``index/meta.json`` the number of parts and the width of ids.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import math
 import os
 import re
@@ -194,6 +196,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, key: str
     if not size:
         return spark.createDataFrame([], "shard int, n_docs long, n_ids long, first_doc long, start long")
     n_shards = max(1, math.ceil(size / shard_bytes))
+    vocabulary = Tokenizer.from_file(tokenizer_file).get_vocab_size()
+    width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = byte_bpe_encoder(tokenizer_file), TaskContext.get().partitionId()
@@ -203,7 +207,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, key: str
                 part = b.slice(k, 256)
                 ids, n = encode(part.column(1).to_pylist())
                 ends = np.cumsum(n)
-                payload.write(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+                payload.write(np.insert(ids, ends, end_id).astype(width).tobytes())
                 sizes.append(n + 1)
                 keys.append(part.column(0).to_numpy())
         if not sizes:
@@ -231,7 +235,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, key: str
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [len(pdf)]})
 
     done = entries.withColumn("part", part_of(F.col("key"), n_parts)).groupBy("part").applyInPandas(index, "part int, n long")
-    put(f"{path}/index/parts", str(n_parts).encode())
+    put(f"{path}/index/meta.json", json.dumps({"parts": n_parts, "width": width}).encode())
     stored(done, "parts")
     return shards
 
@@ -249,7 +253,8 @@ def read_documents(keys: DataFrame, key: str, shards: DataFrame, path: str) -> D
 
     Each key costs one look-up in its index part and one slice of a payload; keys
     are dealt out by index part, then by shard."""
-    n_parts = int(get(f"{path}/index/parts"))
+    meta = json.loads(get(f"{path}/index/meta.json"))
+    n_parts, width = meta["parts"], meta["width"]
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
         first, count = lookup_part(get(f"{path}/index/part-{pdf['part'].iloc[0]}.mph"), pdf["key"].to_numpy().view(np.uint64))
@@ -272,10 +277,10 @@ def read_documents(keys: DataFrame, key: str, shards: DataFrame, path: str) -> D
 
     def read_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = pdf["shard"].iloc[0]
-        ids = np.frombuffer(get(f"{path}/payload/shard-{shard}.bin"), "<u4")
+        ids = np.frombuffer(get(f"{path}/payload/shard-{shard}.bin"), width)
         offsets = np.frombuffer(get(f"{path}/payload/shard-{shard}.idx"), "<u8").astype(np.int64)
         a, z = offsets[pdf["at"]], offsets[pdf["at"] + 1]
         return pd.DataFrame({"key": pdf["key"], "doc": pdf["doc"], "start": pdf["shard_start"] + a, "n_tokens": z - a,
-                             "ids": [ids[i:j].tobytes() for i, j in zip(a, z)]})
+                             "ids": [ids[i:j].astype("<u4").tobytes() for i, j in zip(a, z)]})
 
     return placed.groupBy("shard").applyInPandas(read_shard, "key long, doc long, start long, n_tokens long, ids binary")
