@@ -9,13 +9,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from tabfold.llm.chunks import ChunkEncoder
+from tabfold.llm.chunks import ChunkEncoder, Ids, by_bytes, ids_of, joined_ids, library_threads, mixed
 from tabfold.llm.common import set_aside
 
 OWN = ["ids", "n_tokens", "decoded", "round_trip", "parity"]
@@ -127,17 +128,15 @@ def apart_at_marks(m: Model) -> bool:
             and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in m.pieces))
 
 
+#: texts that are not plain: spaces twice in a row or at an end, or the marker itself
+ODD = f"  |^ | $|{MARK}"
+
+
 def split_at_marks(text: str) -> list[str]:
     """Chunks of a text, each with its leading spaces but one: a chunk is what is
     encoded with the model's own prefix before it. Spaces at the end stay with the
     last chunk."""
-    if not text:
-        return []
-    if MARK in text:
-        text = text.replace(MARK, " ")
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [c[1:] for c in re.findall(r" +[^ ]+(?: +\Z)?| +\Z", " " + text)]
+    return [c[1:] for c in re.findall(r" +[^ ]+(?: +\Z)?| +\Z", " " + text.replace(MARK, " "))]
 
 
 class Codec:
@@ -148,11 +147,13 @@ class Codec:
     the model doesn't allow chunks."""
 
     def __init__(self, data: bytes, threads: int = 1):
+        library_threads(threads)
         self.model = Model.parse(data)
         self.tokenizer = build_tokenizer(self.model)
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
-        self.chunks = ChunkEncoder(self.compared, split_at_marks) if apart_at_marks(self.model) else None
+        self.chunks = ChunkEncoder(self.encode_chunks, lambda texts: pc.split_pattern(texts, " "), ODD, split_at_marks) if apart_at_marks(self.model) else None
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.differing = 0
 
     def compared(self, texts: list[str]) -> list[list[int]]:
@@ -161,12 +162,17 @@ class Codec:
         self.differing += sum(a != b for a, b in zip(ours, theirs))
         return ours
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+    def encode_chunks(self, chunks: list[str]) -> Ids:
+        plain = np.array([c != "" and " " not in c for c in chunks])
+        # the model puts a marker before a text, as joined_ids puts a space
+        found = joined_ids([c for c, p in zip(chunks, plain) if p], " ", lambda texts: self.compared([t[1:] for t in texts]), self.opens)
+        return found if plain.all() else mixed(plain, found, ids_of(self.compared([c for c, p in zip(chunks, plain) if not p])))
+
+    def encode(self, texts: pa.Array | list[str]) -> Ids:
+        """(ids of all texts, number of ids of each); a null text is an empty one."""
         if self.chunks:
             return self.chunks(texts)
-        found = self.compared(texts)
-        return np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)
+        return ids_of(self.compared([t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())]))
 
     def normal(self, text: str) -> str:
         """What the ids of a text decode to, where nothing is lost."""
@@ -211,21 +217,19 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_file, threads)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = [t or "" for t in part.column(len(names)).to_pylist()]
-                before = codec.differing
-                ids, n = codec.encode(texts)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                lists = [x.tolist() for x in np.split(ids, ends[1:-1])] if texts else []
-                ours, theirs = codec.decode(lists), codec.theirs.decode(lists)
-                same = codec.differing == before
-                whole = [a == b for a, b in zip(ours, map(codec.normal, texts))]
-                cols = [part.column(i) for i in range(len(names))] + [
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(n), pa.array(ours),
-                    pa.array(whole), pa.array([same and a == b for a, b in zip(ours, theirs)])]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, *OWN])
+        for part in by_bytes(batches, len(names), 2 << 20):
+            texts = [t or "" for t in part.column(len(names)).to_pylist()]
+            before = codec.differing
+            ids, n = codec.encode(part.column(len(names)))
+            ends = np.concatenate([[0], np.cumsum(n)])
+            lists = [x.tolist() for x in np.split(ids, ends[1:-1])]
+            ours, theirs = codec.decode(lists), codec.theirs.decode(lists)
+            same = codec.differing == before
+            whole = [a == b for a, b in zip(ours, map(codec.normal, texts))]
+            cols = [part.column(i) for i in range(len(names))] + [
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(n), pa.array(ours),
+                pa.array(whole), pa.array([same and a == b for a, b in zip(ours, theirs)])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *OWN])
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean").fields])
     return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)

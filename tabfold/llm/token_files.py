@@ -21,13 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabfold.llm.chunks import ChunkEncoder
+from tabfold.llm.chunks import ChunkEncoder, Ids, by_bytes, ids_of, joined_ids, library_threads, mixed
 from tabfold.llm.common import stored
 
 SHARD_BYTES = 24 << 20  #: text bytes of a shard on average
@@ -37,21 +38,59 @@ GROUP = 2  #: keys that share a seed in the hash index, on average
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def byte_bpe_split(text: str) -> list[str]:
-    """Chunks at single spaces between two characters that are no white space: the
-    byte-level pattern starts a new token at each of them."""
-    if not text:
-        return []
-    parts = re.split(r"(?<=\S) (?=\S)", text) if re.search(r"\s\s|^\s|\s$", text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+#: marks the first chunk of a text, which no space precedes
+FIRST = "\x01"
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: texts that are not plain: white space twice in a row or at an end, or the mark itself
+ODD = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|{FIRST}"
+
+
+def byte_bpe_split(texts: pa.Array) -> pa.Array:
+    """Chunks at single spaces and before single line ends, each between two
+    characters that are no white space: the byte-level pattern starts a new token
+    at each of them. Chunks are without the space before them; the first has a
+    mark, others may begin with their line end."""
+    marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
+    return pc.split_pattern(marked, " ")
+
+
+def byte_bpe_split_odd(text: str) -> list[str]:
+    if FIRST in text:
+        return [FIRST + text]
+    parts = re.split(r"(?<=\S) (?=\S)", text)
+    return [FIRST + parts[0], *parts[1:]]
 
 
 def byte_bpe_encoder(tokenizer_file: str) -> ChunkEncoder:
     """One encoder for each Python worker; special tokens in a text are ordinary text."""
     if tokenizer_file not in _ENCODERS:
+        library_threads(1)
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.encode_special_tokens = True
-        _ENCODERS[tokenizer_file] = ChunkEncoder(lambda chunks: [e.ids for e in tokenizer.encode_batch(chunks, add_special_tokens=False)], byte_bpe_split)
+        opens = {c: np.zeros(tokenizer.get_vocab_size(), bool) for c in "ĠĊ"}  # how a space and a line end are written
+        for token, i in tokenizer.get_vocab().items():
+            if token[0] in opens:
+                opens[token[0]][i] = True
+
+        def library(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+        def kind_of(c: str) -> int:
+            """0: after a space, 1: after a line end, 2: neither, or with white space at its ends."""
+            if c[0] == FIRST:
+                return 2
+            core = c.strip()
+            return 0 if c == core else 1 if c[0] == "\n" and c[1:] == core != "" else 2
+
+        def encode(chunks: list[str]) -> Ids:
+            kind = np.array([kind_of(c) for c in chunks], np.int8)
+            some = lambda k: [c for c, x in zip(chunks, kind) if x == k]
+            spaced = joined_ids(some(0), " ", library, opens["Ġ"])
+            lines = joined_ids([c[1:] for c in some(1)], "\n", library, opens["Ċ"])
+            rest = ids_of(library([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some(2)]))
+            return mixed(kind == 0, spaced, mixed((kind == 1)[kind != 0], lines, rest))
+
+        _ENCODERS[tokenizer_file] = ChunkEncoder(encode, byte_bpe_split, ODD, byte_bpe_split_odd)
     return _ENCODERS[tokenizer_file]
 
 
@@ -202,14 +241,16 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, key: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = byte_bpe_encoder(tokenizer_file), TaskContext.get().partitionId()
         payload, sizes, keys = io.BytesIO(), [], []
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids, n = encode(part.column(1).to_pylist())
-                ends = np.cumsum(n)
-                payload.write(np.insert(ids, ends, end_id).astype(width).tobytes())
-                sizes.append(n + 1)
-                keys.append(part.column(0).to_numpy())
+        for part in by_bytes(batches, 1):
+            ids, n = encode(part.column(1))
+            ends = np.cumsum(n + 1)
+            out = np.full(len(ids) + len(n), end_id, width)
+            text = np.ones(len(out), bool)
+            text[ends - 1] = False
+            out[text] = ids
+            payload.write(out.tobytes())
+            sizes.append(n + 1)
+            keys.append(part.column(0).to_numpy())
         if not sizes:
             return
         sizes, keys = np.concatenate(sizes), np.concatenate(keys)
@@ -247,9 +288,10 @@ def part_of(key, n_parts):
 # ---- reading ----
 
 def read_documents(keys: DataFrame, key: str, shards: DataFrame, path: str) -> DataFrame:
-    """Documents of the given keys from the files: (key, doc, start, ids), one row
-    for each document of a key, none for a key that the index does not know. ``doc``
-    counts documents from 0 in file order, ``start`` the ids of all before it.
+    """Documents of the given keys from the files: (key, doc, start, n_tokens, ids),
+    one row for each document of a key, none for a key that the index does not know.
+    ``doc`` counts documents from 0 in file order, ``start`` the ids of all before
+    it; ``ids`` are little-endian unsigned 32-bit integers.
 
     Each key costs one look-up in its index part and one slice of a payload; keys
     are dealt out by index part, then by shard."""
