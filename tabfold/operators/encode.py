@@ -30,9 +30,10 @@ def fit_label(df: DataFrame, cols) -> DataFrame:
 
 
 def apply_label(df: DataFrame, fitted: DataFrame, cols, null_code: int | None = None,
-                suffix: str = "", unseen_code: int | None = None) -> DataFrame:
+                suffix: str = "", unseen_code: int | None | str = "as null") -> DataFrame:
     """Replace each column by its code; null levels get ``null_code``,
-    levels that the fit did not see ``unseen_code`` (none: null)."""
+    levels that the fit did not see ``unseen_code`` (default: like nulls)."""
+    unseen_code = null_code if unseen_code == "as null" else unseen_code
     out = df
     fitted = bounded(fitted)
     for x in as_list(cols):

@@ -59,7 +59,7 @@ def q_e4(spark, d):
     tr = e.filter(F.col("part") == "train")
     cols = ["priority", "segment", "edu"]
     fitted = E.fit_label(tr, cols)
-    return E.apply_label(e.select("key", *cols), fitted, cols, null_code=-1)
+    return E.apply_label(e.select("key", *cols), fitted, cols, null_code=-1, unseen_code=None)
 
 
 @register("e2_label_encode_train_test", EMP + "," + LEVELS_SQL.format(
