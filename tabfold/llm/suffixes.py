@@ -60,28 +60,9 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def window_keys(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """64-bit hash of each run of ``length`` bytes: a polynomial over random values of
-    the bytes by prefix sums, then mixed."""
-    n = len(data)
-    if n < length:
-        return np.zeros(0, np.uint64)
-    base = _BASE[which]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[which][data] * powers(base, n))])
-    x = (total[length:] - total[:-length]) * powers(pow(base, -1, 1 << 64), n - length + 1)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 Keys = tuple[np.ndarray, ...]  #: one or two columns of 64 bits
 
 
-def keys_of(data: np.ndarray, at: np.ndarray, length: int, wide: bool) -> Keys:
-    """Keys of the strings that start at ``at``: 64 bits, or 128."""
-    return tuple(window_keys(data, length, w)[at] for w in range(1 + wide))
-
-
 def in_order(keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     """(order of the keys, whether each in that order differs from the one before)."""
     order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
@@ -90,6 +71,11 @@ def in_order(keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each pair of a first number and a count."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Block:
     """Texts one after the other, as read from the table of blocks."""
 
@@ -98,25 +84,40 @@ class Block:
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-
-    def room(self) -> np.ndarray:
-        """Bytes from each position to the end of its text."""
-        return np.repeat(self.ends, self.sizes) - np.arange(len(self.data))
+        self.sums: dict[int, np.ndarray] = {}
+
+    def keys(self, at: np.ndarray, length: int, wide: bool = False) -> Keys:
+        """Keys of the strings of ``length`` bytes at ``at``, 64 bits or 128: polynomials
+        over random values of the bytes, by prefix sums, then mixed."""
+        out = []
+        for w in range(1 + wide):
+            n, base = len(self.data), _BASE[w]
+            if w not in self.sums:
+                self.sums[w] = np.zeros(n + 1, np.uint64)
+                np.cumsum(_BYTE[w][self.data] * powers(base, n), out=self.sums[w][1:])
+            x = (self.sums[w][at + length] - self.sums[w][at]) * powers(pow(base, -1, 1 << 64), n)[at]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            out.append(x ^ (x >> np.uint64(29)))
+        return tuple(out)
 
     def sampled(self, length: int) -> np.ndarray:
         """Positions of the cover sample whose string of ``length - V + 1`` bytes fits."""
-        inside = np.arange(len(self.data)) - np.repeat(self.starts, self.sizes)
-        cover = np.zeros(V, bool)
-        cover[list(COVER)] = True
-        return np.flatnonzero(cover[inside % V] & (self.room() >= length - V + 1))
+        last = self.sizes - (length - V + 1)
+        cover = np.array(sorted(COVER), np.int64)
+        turns = max(int(last.max(initial=-1)), -1) // V + 1
+        inside = (np.arange(turns)[:, None] * V + cover).ravel()
+        count = np.searchsorted(inside, last, side="right")
+        return np.repeat(self.starts, count) + inside[spread(np.zeros(len(count), np.int64), count)]
 
     def long_ties(self, length: int, tied: np.ndarray) -> np.ndarray:
         """Positions whose string of ``length`` bytes fits and that have a tied sampled
-        position less than ``V`` ahead."""
-        n = len(self.data)
-        count = np.concatenate([[0], np.cumsum(np.bincount(tied, minlength=n))])
-        ahead = count[np.minimum(np.arange(n) + V, n)] - count[:n]
-        return np.flatnonzero((ahead > 0) & (self.room() >= length))
+        position less than ``V`` ahead in their text; ``tied`` is in order."""
+        text = np.searchsorted(self.ends, tied, side="right")
+        first = np.maximum(tied - V + 1, self.starts[text])
+        first[1:] = np.maximum(first[1:], tied[:-1] + 1)
+        count = np.minimum(tied, self.ends[text] - length) - first + 1
+        return spread(first, np.maximum(count, 0))
 
 
 def dealt(keys: Keys, buckets: int) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,9 +139,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def tied_keys(blocks: DataFrame, keys: Callable[[dict], Keys], wide: bool, total: int) -> tuple[DataFrame, int]:
-    """((block, ties), number of buckets): ``keys(block row)`` of all blocks are sorted one bucket at a time;
+    """((block, ties, n), number of buckets): ``keys(block row)`` of all blocks are sorted one bucket at a time;
     the answer has, for each block and bucket, a bit for each of the block's distinct
-    keys: whether it occurs anywhere else."""
+    keys: whether it occurs anywhere else; n counts those that do."""
     buckets = max(1, math.ceil(total / BUCKET_KEYS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +161,12 @@ def tied_keys(blocks: DataFrame, keys: Callable[[dict], Keys], wide: bool, total
         same = ~new[1:]
         tie[order[1:][same]] = True
         tie[order[:-1][same]] = True
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "ties": [np.packbits(t).tobytes() for t in np.split(tie, np.cumsum(sizes)[:-1])]})
+        parts = np.split(tie, np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "ties": [np.packbits(t).tobytes() for t in parts], "n": [int(t.sum()) for t in parts]})
 
     sent = blocks.mapInArrow(send, "bucket int, block long, k0 binary, " + "k1 binary, " * int(wide) + "often binary")
-    ties = sent.groupBy("bucket").applyInPandas(sort, "block long, bucket int, ties binary")
-    return stored(ties.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ties"))).alias("ties")), "ties"), buckets
+    ties = sent.groupBy("bucket").applyInPandas(sort, "block long, bucket int, ties binary, n long")
+    return stored(ties.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "ties"))).alias("ties"), F.sum("n").alias("n")), "ties"), buckets
 
 
 def read_ties(keys: Keys, answer: list[dict] | None, buckets: int) -> np.ndarray:
@@ -180,15 +182,14 @@ def read_ties(keys: Keys, answer: list[dict] | None, buckets: int) -> np.ndarray
 def with_answers(blocks: DataFrame, ties: DataFrame, name: str) -> DataFrame:
     """``blocks`` with the answers of their keys: broadcast while they are small, a bit a key."""
     size = ties.agg(F.sum(F.aggregate("ties", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["ties"])))).first()[0] or 0
-    ties = ties.withColumnRenamed("ties", name)
+    ties = ties.select("block", F.col("ties").alias(name))
     return blocks.join(F.broadcast(ties) if size <= BROADCAST_BYTES else ties, "block", "left")
 
 
 def covered(block: Block, at: np.ndarray, length: int) -> np.ndarray:
     """Mask of the bytes that a string of ``length`` bytes from one of ``at`` covers."""
-    step = np.zeros(len(block.data) + 1, np.int32)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + length, -1)
+    n = len(block.data)
+    step = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -230,7 +231,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     nothing but the work). A string that a third of all texts share goes out once from
     each block of texts, so no bucket grows with it.
 
-    Keys have 64 bits up to 2 ** 28 long ties, beyond it 128. Defined cases: a null text is
+    Keys have 64 bits up to about 2 ** 28 long ties (estimated from the tied samples), beyond
+    it 128. Defined cases: a null text is
     an empty one; texts below ``length`` bytes keep all; a null key and repeated rows each
     come back; an empty table gives no rows; a text over 2 GB is beyond the method
     (a row's limit); other columns are not read. Set ``keep_text=False`` to leave kept out.
@@ -252,7 +254,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def sample_keys(row: dict) -> Keys:
         block = Block(row["data"], row["sizes"])
-        return keys_of(block.data, block.sampled(length), length - V + 1, False)
+        return block.keys(block.sampled(length), length - V + 1)
 
     data = blocks.select("block", "sizes", "data")
     ranks, buckets = tied_keys(data, sample_keys, False, n_sampled)
@@ -261,21 +263,19 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def candidates(row: dict) -> tuple[Block, np.ndarray]:
         block = Block(row["data"], row["sizes"])
         at = block.sampled(length)
-        tie = read_ties(keys_of(block.data, at, length - V + 1, False), row["ranks"], buckets)
+        tie = read_ties(block.keys(at, length - V + 1), row["ranks"], buckets)
         return block, block.long_ties(length, at[tie])
 
     known = with_answers(data, ranks, "ranks")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([len(candidates(row)[1])], pa.int64())], names=["n"])
-
-    n_long = known.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    # in a run of ties every sampled position is tied, at its edges few are: about twice the run's share
+    n_tied = ranks.agg(F.sum("n")).first()[0] or 0
+    n_long = 2 * n_tied * V // len(COVER)
     wide = n_long > WIDE_FROM
 
     def long_keys(row: dict) -> Keys:
         block, at = candidates(row)
-        return keys_of(block.data, at, length, wide)
+        return block.keys(at, length, wide)
 
     ties, long_buckets = tied_keys(known, long_keys, wide, n_long)
     release(spark)
@@ -284,7 +284,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block, at = candidates(row)
-            gone = covered(block, at[read_ties(keys_of(block.data, at, length, wide), row["ties"], long_buckets)], length)
+            gone = covered(block, at[read_ties(block.keys(at, length, wide), row["ties"], long_buckets)], length)
             out = []
             for a, z in zip(block.starts, block.ends):
                 g = gone[a:z]

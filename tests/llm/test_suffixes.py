@@ -47,12 +47,24 @@ def test_cover():
 
 
 def test_keys_are_those_of_the_strings():
-    data = np.frombuffer(b"abcabcabcXabcabcabc" * 3, np.uint8)
-    for which in (0, 1):
-        k = S.window_keys(data, 9, which)
-        strings = [data[i:i + 9].tobytes() for i in range(len(data) - 8)]
-        assert all((k[i] == k[j]) == (strings[i] == strings[j]) for i in range(len(k)) for j in range(len(k)))
-    assert len(S.window_keys(data, 1000)) == 0
+    data = b"abcabcabcXabcabcabc" * 3
+    block = S.Block(data, [len(data)])
+    at = np.arange(len(data) - 8)
+    strings = [data[i:i + 9] for i in at]
+    for k in block.keys(at, 9, True):
+        assert all((k[i] == k[j]) == (strings[i] == strings[j]) for i in at for j in at)
+    assert len(S.Block(b"", []).keys(at[:0], 9)[0]) == 0
+
+
+def test_sample_and_reach():
+    rng = np.random.default_rng(0)
+    sizes = [0, 50, 700, 68, 67, 1000, 0, 333]
+    block = S.Block(bytes(rng.integers(0, 255, sum(sizes), dtype=np.uint8)), sizes)
+    place = [(t, i) for t, n in enumerate(sizes) for i in range(n)]
+    assert block.sampled(200).tolist() == [p for p, (t, i) in enumerate(place) if i % V in COVER and i + 200 - V + 1 <= sizes[t]]
+    tied = np.sort(rng.choice(block.sampled(200), 25, replace=False))
+    want = [p for p, (t, i) in enumerate(place) if i + 200 <= sizes[t] and any(p <= s < p + V and place[s][0] == t for s in tied)]
+    assert block.long_ties(200, tied).tolist() == want
 
 
 @pytest.mark.parametrize("seed", [1, 2])
