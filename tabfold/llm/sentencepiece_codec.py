@@ -142,9 +142,9 @@ def split_at_marks(text: str) -> list[str]:
 class Codec:
     """Encoder and decoder of one model file, for whole texts.
 
-    ``parity`` says whether the ids of all texts seen so far were the sentencepiece
-    library's: each distinct chunk is compared as it is learnt, whole texts where
-    the model doesn't allow chunks."""
+    ``differing`` counts what the sentencepiece library encoded or decoded otherwise: each
+    distinct chunk is compared as it is learnt, whole texts where the model doesn't
+    allow chunks."""
 
     def __init__(self, data: bytes, threads: int = 1):
         library_threads(threads)
@@ -160,6 +160,7 @@ class Codec:
         ours = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         theirs = self.theirs.encode(texts, num_threads=self.threads)
         self.differing += sum(a != b for a, b in zip(ours, theirs))
+        self.differing += sum(a != b for a, b in zip(self.decode(ours), self.theirs.decode(theirs)))
         return ours
 
     def encode_chunks(self, chunks: list[str]) -> Ids:
@@ -202,9 +203,10 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
     The tokenizers library, rebuilt from the model file, encodes the whole texts in
     batches on ``threads`` threads and decodes the ids again. round_trip: the decoded
     text is the normalised one (a marker character in a text decodes as a space, as
-    in the sentencepiece library). parity: the sentencepiece library decodes the ids
-    to the same text, and gave the same ids for every chunk of the batch (whole
-    texts, if the model lets tokens reach across spaces). ``model_file`` lies at the
+    in the sentencepiece library). parity: the sentencepiece library gave the same ids,
+    and the same text for them, for every chunk that the row's worker has learnt
+    so far, the row's own included (whole texts, if the model lets tokens reach
+    across spaces). ``model_file`` lies at the
     same place on every node.
 
     Defined cases: a null text is encoded like an empty one, to no ids, and decoded
@@ -219,16 +221,14 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
         codec = codec_for(model_file, threads)
         for part in by_bytes(batches, len(names), 2 << 20):
             texts = [t or "" for t in part.column(len(names)).to_pylist()]
-            before = codec.differing
             ids, n = codec.encode(part.column(len(names)))
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = [x.tolist() for x in np.split(ids, ends[1:-1])]
-            ours, theirs = codec.decode(lists), codec.theirs.decode(lists)
-            same = codec.differing == before
+            ours = codec.decode(lists)
             whole = [a == b for a, b in zip(ours, map(codec.normal, texts))]
             cols = [part.column(i) for i in range(len(names))] + [
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(n), pa.array(ours),
-                pa.array(whole), pa.array([same and a == b for a, b in zip(ours, theirs)])]
+                pa.array(whole), pa.array([codec.differing == 0] * len(texts))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *OWN])
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean").fields])
