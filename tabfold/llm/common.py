@@ -54,6 +54,15 @@ def set_aside(df: DataFrame, reserved: list[str]) -> DataFrame:
     return df
 
 
+def with_text(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """``df`` and the position of its text as a string: the column itself where it
+    is one, so that tasks hold each text once."""
+    names = df.columns
+    if dict(df.dtypes).get(text) == "string":
+        return df, names.index(text)
+    return df.withColumn("_text", F.col(text).cast("string")), len(names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

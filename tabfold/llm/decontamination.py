@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabfold.llm.common import with_text
+
 OWN = ["item_id", "passage", "score", "question_overlap", "answer_overlap"]
 K1, B = 1.2, 0.75
 BLOCK = 4  #: postings a block of an inverted list covers, by item position
@@ -242,7 +244,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """``docs`` without the documents that hold a test item (see ``contaminated``),
     with their columns unchanged. Each text is judged where it lies, so rows that
     share a key, or have none, are judged one by one and nothing is joined."""
-    names, kept = docs.columns, docs
+    names = docs.columns
+    kept, at_text = with_text(docs, text)
     for parts in index_parts(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(parts)
 
@@ -250,10 +253,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             for b in batches:
                 for k in range(0, b.num_rows, 256):
                     part = b.slice(k, 256)
-                    texts = [t or "" for t in part.column(len(names)).to_pylist()]
+                    texts = [t or "" for t in part.column(at_text).to_pylist()]
                     bad = {m[0] for index in shared.value for m in matches(index, texts, threshold, least)}
                     clean = part.filter(pa.array([i not in bad for i in range(part.num_rows)]))
-                    yield pa.RecordBatch.from_arrays([clean.column(i) for i in range(len(names))], names=names)
+                    yield clean
 
-        kept = kept.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, docs.schema)
-    return kept
+        kept = kept.mapInArrow(run, kept.schema)
+    return kept.select(*[F.col(f"`{c}`") for c in names])

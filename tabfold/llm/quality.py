@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfold.llm.common import dropped, set_aside, stored
+from tabfold.llm.common import dropped, set_aside, stored, with_text
 
 OWN = ["p_low", "p_toxic", "rejected"]
 BITS = 16  #: the scorer has 2 ** BITS weights
@@ -272,13 +272,14 @@ def classify(docs: DataFrame, classifier: Classifier, text: str = "text", thresh
     """
     docs = set_aside(docs, OWN)
     names, aspects = docs.columns, list(LABELLERS)
+    rows, at_text = with_text(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((classifier.lexicon, classifier.scorers))  # 2 ** bits weights an aspect
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, scorers = shared.value
         for part in in_slices(batches):
             p = {a: np.zeros(part.num_rows) for a in aspects}
-            for i, t in enumerate(part.column(len(names)).to_pylist()):
+            for i, t in enumerate(part.column(at_text).to_pylist()):
                 at = np.array(features(with_hits(read(t or ""), lexicon), bits), np.int64)
                 for a, (w, bias) in scorers.items():
                     p[a][i] = w[np.sort(at)].sum() + bias
@@ -287,11 +288,12 @@ def classify(docs: DataFrame, classifier: Classifier, text: str = "text", thresh
                                               pa.array((p["low"] >= threshold) | (p["toxic"] >= threshold))], names=[*names, *OWN])
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("p_low double, p_toxic double, rejected boolean").fields])
-    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier, fitted on ``docs``, does not reject, with
     their columns unchanged."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return classify(whole, fit_classifier(docs, labels, key, text), "text", threshold).where("not rejected").select("row.*")
+    judged = classify(docs, fit_classifier(docs, labels, key, text), text, threshold)
+    kept = judged.where(judged[judged.columns[-1]] == F.lit(False))
+    return kept.drop(*judged.columns[-len(OWN):]).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
 from tabfold.llm.chunks import ChunkEncoder, Ids, by_bytes, ids_of, joined_ids, library_threads, mixed
-from tabfold.llm.common import set_aside
+from tabfold.llm.common import set_aside, with_text
 
 OWN = ["ids", "n_tokens", "decoded", "round_trip", "parity"]
 MARK = "▁"
@@ -182,6 +182,10 @@ class Codec:
         text = self.tokenizer.normalizer.normalize_str(text).replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix else text
 
+    def forget(self) -> None:
+        if self.chunks:
+            self.chunks.keep([])
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -216,12 +220,13 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
     """
     docs = set_aside(docs, OWN)
     names = docs.columns
+    rows, at_text = with_text(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_file, threads)
-        for part in by_bytes(batches, len(names), 2 << 20):
-            texts = [t or "" for t in part.column(len(names)).to_pylist()]
-            ids, n = codec.encode(part.column(len(names)))
+        for part in by_bytes(batches, at_text, 2 << 20):
+            texts = [t or "" for t in part.column(at_text).to_pylist()]
+            ids, n = codec.encode(part.column(at_text))
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = [x.tolist() for x in np.split(ids, ends[1:-1])]
             ours = codec.decode(lists)
@@ -230,6 +235,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(n), pa.array(ours),
                 pa.array(whole), pa.array([codec.differing == 0] * len(texts))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *OWN])
+        codec.forget()  # the worker goes on to other work
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("ids array<int>, n_tokens long, decoded string, round_trip boolean, parity boolean").fields])
-    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

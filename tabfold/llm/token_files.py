@@ -251,6 +251,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, key: str
             payload.write(out.tobytes())
             sizes.append(n + 1)
             keys.append(part.column(0).to_numpy())
+        encode.keep([])  # the worker goes on to other work
         if not sizes:
             return
         sizes, keys = np.concatenate(sizes), np.concatenate(keys)
