@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,12 @@ def dropped(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that no DataFrame refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner delete shuffle files that no DataFrame refers to any more.
+    Python's references reach the JVM's side in the background, so it takes two turns."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark._jvm.System.gc()
 
 
 def set_aside(df: DataFrame, reserved: list[str]) -> DataFrame:
