@@ -14,7 +14,8 @@ from tabfold.llm.simhash import Forest
 
 OWN = ["n_links", "component_id", "kept"]
 SAMPLE = 1 << 14  #: vectors that the codebooks are fitted on at most
-QUERIES = 256  #: sampled vectors whose true links, against all rows, set the traversal's reach
+QUERIES = 256  #: sampled vectors, compared with all rows, whose true links set the traversal's reach; four times as many if these are too few
+LINKS = 1000  #: true links that the reach is taken from at least
 PER_CELL = 32  #: vectors a grid cell holds on average
 BLOCK = 2048  #: vectors of a cell that one task compares at once
 
@@ -64,14 +65,22 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, k: int, seed: int = 11):
         self.half = sample.shape[1] // 2
         self.books = codebook(sample[:, :self.half], k, seed), codebook(sample[:, self.half:], k, seed + 1)
-        self.reach = 0.0
+        self.reach = float("inf")
+        self.apart = 2.0  # distance of two vectors that link, at most
 
     def excesses(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return excess(x[:, :self.half], self.books[0]), excess(x[:, self.half:], self.books[1])
 
     def visits(self, x: np.ndarray) -> list[list[int]]:
         """Cells each vector visits, its own first."""
-        return [cells_in_order(a, b, self.reach) for a, b in zip(*self.excesses(x))]
+        return [cells_in_order(a, b, min(self.reach, r)) for a, b, r in zip(*self.excesses(x), self.farthest(x))]
+
+    def farthest(self, x: np.ndarray) -> np.ndarray:
+        """Reach at which each row visits the cells of all that it may link with. In a
+        half, with d the distance of two rows and r that of one to its codeword, the
+        other's codeword is at most 2 d + r away: an excess of 4 d (d + r)."""
+        r2 = sum((((h * h).sum(axis=1)[:, None] - 2 * h @ b.T + (b * b).sum(axis=1)).min(axis=1)) for h, b in zip((x[:, :self.half], x[:, self.half:]), self.books))
+        return 4 * self.apart * (self.apart + np.sqrt(np.maximum(r2, 0.0))) + 1e-6
 
     def needed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Reach at which rows of ``x`` visit the cells of the rows of ``y``."""
@@ -81,31 +90,44 @@ class MultiIndex:
 
 
 def fit_index(classes: DataFrame, threshold: float, recall: float) -> MultiIndex | None:
-    """Codebooks from a sample of at most ``SAMPLE`` vectors, picked by hash. The
-    reach is calibrated with ``QUERIES`` sampled vectors that are compared with all
-    vectors: their links' needed reach at quantile ``recall``."""
-    n, largest = classes.groupBy("label", "dim").count().agg(F.sum("count"), F.max("count")).first()
-    if not n:
-        return None
-    dim = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()["dim"]
-    if dim < 2:
+    """Codebooks from a sample of at most ``SAMPLE`` vectors of the commonest length over
+    1, picked by hash; none if all are of one component. The reach is calibrated with
+    sampled vectors that are compared with all vectors: their links' needed reach at
+    quantile ``recall``. More are drawn from the sample until there are ``LINKS`` links;
+    if there are too few, the reach is that of ``MultiIndex.farthest``, which loses none."""
+    sizes = classes.where("dim > 1")
+    most = sizes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    if most is None:
         return None
+    dim = most["dim"]
+    largest = sizes.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
     sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "label", "vector").toPandas()
     index = MultiIndex(unit(sample["vector"]), max(1, round((largest / PER_CELL) ** 0.5)))
-    asked = sample.head(QUERIES)
-    q, q_label, q_rep = unit(asked["vector"]), asked["label"].to_numpy(), asked["rep"].to_numpy()
+    index.apart = max(0.0, 2 - 2 * threshold) ** 0.5
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = unit(b["vector"])
-            i, j = np.nonzero((x @ q.T >= threshold) & (b["label"].to_numpy()[:, None] == q_label) & (b["rep"].to_numpy()[:, None] != q_rep))
-            if len(i):
-                # a pair is found if either side visits the other's cell
-                yield pd.DataFrame({"needed": np.minimum(index.needed(x[i], q[j]), index.needed(q[j], x[i]))})
+    def needs(asked: pd.DataFrame) -> DataFrame:
+        q, q_label, q_rep = unit(asked["vector"]), asked["label"].to_numpy(), asked["rep"].to_numpy()
+
+        def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x, label, rep = unit(b["vector"]), b["label"].to_numpy()[:, None], b["rep"].to_numpy()[:, None]
+                for k in range(0, len(q), QUERIES):
+                    s = slice(k, k + QUERIES)
+                    i, j = np.nonzero((x @ q[s].T >= threshold) & (label == q_label[s]) & (rep != q_rep[s]))
+                    if len(i):
+                        # a pair is found if either side visits the other's cell
+                        yield pd.DataFrame({"needed": np.minimum(index.needed(x[i], q[j + k]), index.needed(q[j + k], x[i]))})
+
+        return classes.where(F.col("dim") == dim).select("rep", "label", "vector").mapInPandas(links, "needed double")
 
-    found = classes.where(F.col("dim") == dim).select("rep", "label", "vector").mapInPandas(links, "needed double")
-    index.reach = (found.agg(F.percentile("needed", recall)).first()[0] or 0.0) + 1e-6
-    return index
+    n = QUERIES
+    while True:
+        found, reach = needs(sample.head(n)).agg(F.count("*"), F.percentile("needed", recall)).first()
+        if found >= LINKS:
+            index.reach = reach + 1e-6
+        if found >= LINKS or n >= len(sample):
+            return index
+        n *= 4
 
 
 def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -126,7 +148,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     is true where it equals the key. Defined cases: null label, null or empty or zero
     vectors, and vectors with null or non-finite components link with nothing;
     vectors of different lengths do not link, and those of other than the commonest
-    length are compared within one cell; rows with a null key link with
+    length over 1 are compared within one cell; rows with a null key link with
     nothing, have a null component_id and are kept; repeated rows each come back and
     count as links of one another; an empty table gives no rows; input columns named
     like the result's come back as ``<name>_in``.
@@ -140,12 +162,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     classes = (marked.where("_ok").groupBy(F.col(label).alias("label"), F.col("_vector").alias("vector"))
                .agg(F.min(F.col(key).cast("long")).alias("rep"), F.count("*").alias("times")))
     classes = stored(classes.withColumn("dim", F.size("vector")), "classes")
-    index = fit_index(classes, threshold, recall)
-    spark = vectors.sparkSession
-    if index is None:
-        linked = spark.createDataFrame([], "a long, b long, n long")
-    else:
-        linked = stored(cell_links(classes, index, threshold), "links")
+    linked = stored(cell_links(classes, fit_index(classes, threshold, recall), threshold), "links")
     counts = linked.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     group = components(linked.where("b is not null"))
     out = (classes.join(counts, classes.rep == counts.a, "left").join(group, classes.rep == group.node, "left")
@@ -157,10 +174,10 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
                          F.coalesce(F.coalesce("_c", marked[key].cast("long")) == marked[key], F.lit(True)).alias("kept"))
 
 
-def cell_links(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
+def cell_links(classes: DataFrame, index: MultiIndex | None, threshold: float) -> DataFrame:
     """Links found through the index: (a, null, n) adds n links to class a, (a, b, 0)
     is an edge of a spanning forest."""
-    dim = index.half + index.books[1].shape[1]
+    dim = index.half + index.books[1].shape[1] if index else 0
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

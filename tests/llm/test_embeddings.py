@@ -41,6 +41,27 @@ def test_recall_against_brute_force(spark, monkeypatch):
         assert sum(got.values()) >= 0.97 * sum(want.values())
 
 
+def test_sparse_links(spark, monkeypatch):
+    """Few links, none of them of the first sampled vectors, across cells."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(E, "PER_CELL", 1)
+    monkeypatch.setattr(E, "QUERIES", 2)
+    x = rng.normal(size=(600, 8))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x = np.concatenate([x, x[:12] + 0.11 * rng.normal(size=(12, 8))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want, _, _ = brute(table.collect())
+    assert sum(want.values())
+    assert {r.vec_id: r.n_links for r in embedding_groups(table).collect()} == want
+
+
+def test_single_components_are_commonest(spark):
+    rows = [(i, [float(i + 1)], 1) for i in range(6)] + [(10, [1.0, 2.0], 1), (11, [1.0, 2.1], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for part, want in ((table, {i: 5 for i in range(6)} | {10: 1, 11: 1}), (table.where("vec_id < 10"), {i: 5 for i in range(6)})):
+        assert {r.vec_id: r.n_links for r in embedding_groups(part).collect()} == want
+
+
 def test_groups_and_edge_cases(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(20, 8))
