@@ -182,6 +182,12 @@ class Codec:
         text = self.tokenizer.normalizer.normalize_str(text).replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix else text
 
+    def agree(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
+        """Whether the sentencepiece library gives each whole text the same ids, and
+        these the same text."""
+        theirs, back = self.theirs.encode(texts, num_threads=self.threads), self.theirs.decode(ids)
+        return [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, back)]
+
     def forget(self) -> None:
         if self.chunks:
             self.chunks.keep([])
@@ -207,10 +213,8 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
     The tokenizers library, rebuilt from the model file, encodes the whole texts in
     batches on ``threads`` threads and decodes the ids again. round_trip: the decoded
     text is the normalised one (a marker character in a text decodes as a space, as
-    in the sentencepiece library). parity: the sentencepiece library gave the same ids,
-    and the same text for them, for every chunk that the row's worker has learnt
-    so far, the row's own included (whole texts, if the model lets tokens reach
-    across spaces). ``model_file`` lies at the
+    in the sentencepiece library). parity: the sentencepiece library gave the row's
+    whole text the same ids, and the same text for them. ``model_file`` lies at the
     same place on every node.
 
     Defined cases: a null text is encoded like an empty one, to no ids, and decoded
@@ -233,7 +237,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
             whole = [a == b for a, b in zip(ours, map(codec.normal, texts))]
             cols = [part.column(i) for i in range(len(names))] + [
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(n), pa.array(ours),
-                pa.array(whole), pa.array([codec.differing == 0] * len(texts))]
+                pa.array(whole), pa.array(codec.agree(texts, lists, ours), pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *OWN])
         codec.forget()  # the worker goes on to other work
 

@@ -44,6 +44,15 @@ def test_without_chunks(codec):
     assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and whole.differing == 0
 
 
+def test_parity_is_each_rows_own(codec):
+    data = ["one two", "a  b", "", "three"]
+    lists = [codec.theirs.encode(t) for t in data]
+    wrong = [lists[0], lists[1][:-1], lists[2], lists[3]]  # as by a fault in assembling chunks
+    assert codec.agree(data, wrong, codec.decode(wrong)) == [True, False, True, True]
+    assert codec.agree(data, lists, ["one two", "a  b", "", "thre"]) == [True, True, True, False]
+    assert all(codec.agree(data, lists, codec.decode(lists)))  # nothing is carried over
+
+
 def varint(n):
     out = b""
     while True:
