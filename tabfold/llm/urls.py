@@ -14,6 +14,8 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes of the largest table that is broadcast, by its counted rows and longest strings
 BROADCAST_BYTES = 32 << 20
+#: summed change of all scores, of 1 in sum, at which propagation ends
+TOLERANCE = 1e-6
 
 
 def host_of(url: Column) -> Column:
@@ -50,26 +52,33 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return links.where("host <> '' and dst <> ''").groupBy(F.col("host").alias("src"), "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank: (host, score) after ``rounds`` steps of
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float) -> DataFrame:
+    """Personalised PageRank: (host, score) by steps of
     ``score = (1 - damping) * seed + damping * (incoming + seed * lost)``, where
-    ``lost`` is the score of hosts without outgoing edges. ``seeds`` (host, seed)
-    lists every host; the seeds sum to 1, or are all 0."""
-    ranks = seeds.select("host", F.col("seed").alias("score"))
-    written = None
-    for _ in range(rounds):
+    ``lost`` is the score of hosts without outgoing edges, until the scores change by
+    ``TOLERANCE`` in sum at most, or for ``rounds`` steps if given. ``seeds`` (host, seed)
+    lists every host; the seeds sum to 1, or are all 0. A step shrinks the change by
+    ``damping`` at least, so the steps end."""
+    ranks = seeds.select("host", "seed", F.col("seed").alias("score"))
+    sources = edges.select("src").distinct()
+    written, n = None, 0
+    while rounds is None or n < rounds:
         come = ranks.join(edges, ranks.host == edges.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("come"))
-        lost = ranks.join(edges.select("src").distinct(), ranks.host == F.col("src"), "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        ranks = (seeds.join(come, seeds.host == come.dst, "left").crossJoin(F.broadcast(lost))  # one row
-                 .select("host", ((1 - damping) * F.col("seed") + damping * (F.coalesce("come", F.lit(0.0)) + F.col("seed") * F.col("lost"))).alias("score")))
+        lost = ranks.join(sources, ranks.host == F.col("src"), "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+        score = (1 - damping) * F.col("seed") + damping * (F.coalesce("come", F.lit(0.0)) + F.col("seed") * F.col("lost"))
+        ranks = (ranks.join(come, ranks.host == come.dst, "left").crossJoin(F.broadcast(lost))  # one row
+                 .select("host", "seed", score.alias("score"), F.abs(score - F.col("score")).alias("change")))
         ranks = stored(ranks, "ranks")  # a short plan and lineage each round
         if written is not None:
             dropped(written)
         written = ranks
-    return ranks
+        n += 1
+        if rounds is None and (ranks.agg(F.sum("change")).first()[0] or 0.0) <= TOLERANCE:
+            break
+    return ranks.select("host", "score")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int | None = None, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
     """Every page with host, path, the longest rule that fits, verdict, trust and distrust.
 
     ``rules`` (rule, verdict): rule is host + path, as ``com/fr/``; it fits its
@@ -77,7 +86,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, damping: flo
     rule fits are judged by host: trust is personalised PageRank over host edges
     from the pages that ``allow`` rules fit (a host's share of them is its seed),
     distrust the same over reversed edges from the pages that ``block`` rules
-    fit, so linking to blocked pages costs a host. A host with
+    fit, so linking to blocked pages costs a host; both are iterated until they
+    settle (``TOLERANCE``), or for ``rounds`` steps if given. A host with
     ``distrust > ratio * trust`` is blocked, any other allowed. Host edges are
     pre-aggregated, so a host with a third of all pages is a handful of edges.
 

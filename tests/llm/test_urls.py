@@ -1,6 +1,7 @@
 """URL filters against brute force on a small link graph."""
 
 import re
+import sys
 
 import pytest
 
@@ -72,6 +73,19 @@ def test_against_brute_force(spark):
     assert verdicts[4] == "block" and verdicts[2] == "allow"
 
 
+def test_long_chain(spark, monkeypatch):
+    """A chain of unruled hosts that ends in a blocked page: all of them lead there."""
+    n, urls = 12, sys.modules[judge_urls.__module__]
+    monkeypatch.setattr(urls, "TOLERANCE", 1e-3)  # fewer steps; the rest is at most 0.85 / 0.15 of it
+    data = [(k, f"http://h{k}.net/", LINKS.format(f"http://h{k + 1}.net/" if k < n - 1 else "http://a.com/de/1")) for k in range(n)]
+    pages = spark.createDataFrame([*data, (n, "http://a.com/de/1", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in judge_urls(pages, spark.createDataFrame(RULES, "rule string, verdict string")).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    edges = {(f"h{k + 1}.net" if k < n - 1 else "a.com", f"h{k}.net"): 1 for k in range(n)}
+    settled = pagerank(edges, {"a.com": 1} | {f"h{k}.net": 0 for k in range(n)}, 300, 0.85)
+    assert all(abs(got[k].distrust - settled[f"h{k}.net"]) < 6e-3 for k in range(n))
+
+
 def test_empty(spark):
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
     none = spark.createDataFrame([], "page_id long, url string, html string")
