@@ -151,11 +151,14 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int, ro
     return model
 
 
-def fit_scorer(rows: list[np.ndarray], p: np.ndarray, bits: int = BITS, rounds: int = 60, ridge: float = 2.0) -> tuple[np.ndarray, float]:
+def fit_scorer(rows: list[np.ndarray], p: np.ndarray, bits: int = BITS, rounds: int = 60, ridge: float = 2.0, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer over binary hashed features, fitted to
-    the posteriors ``p`` as soft labels by Adagrad on the whole sample."""
+    the posteriors ``p`` as soft labels by Adagrad on the whole sample; a row counts
+    ``times`` times."""
     n, size = len(rows), 1 << bits
-    w, bias = np.zeros(size), float(np.log((p.sum() + 0.5) / (n - p.sum() + 0.5)))
+    times = np.ones(n) if times is None else times
+    total, bad = times.sum(), (p * times).sum()
+    w, bias = np.zeros(size), float(np.log((bad + 0.5) / (total - bad + 0.5)))
     if not n:
         return w, -20.0
     at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -163,11 +166,11 @@ def fit_scorer(rows: list[np.ndarray], p: np.ndarray, bits: int = BITS, rounds:
     g2 = np.full(size, 1e-2)
     for _ in range(rounds):
         z = np.bincount(of, weights=w[at], minlength=n) + bias
-        err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - p
+        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - p) * times
         g = np.bincount(at, weights=err[of], minlength=size) + ridge * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
-        bias -= 0.5 * float(err.mean())
+        bias -= 0.5 * float(err.sum() / total)
     return w, bias
 
 
@@ -222,7 +225,7 @@ def draw_lexicon(docs: DataFrame, labels: DataFrame, key: str, text: str, labell
 def fit_classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, labelled: int = LABELLED, bits: int = BITS) -> Classifier:
     """Label models from the votes on all documents (only counts of vote patterns
     reach the driver, at most 3 ** 9 an aspect); scorers from about ``sample``
-    documents, picked by hash of the whole text, at most ``2 * sample``; the lexicon
+    distinct texts at most, picked by hash, each with its number of copies; the lexicon
     of two labellers from about ``labelled`` annotated documents. ``labels`` (key,
     quality, toxic; 0, 1 or null) may cover some documents or none; its rows for a
     key that repeats count as bad if any is."""
@@ -249,9 +252,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     for a in aspects:
         counts = voted.groupBy(a).count().orderBy(a).collect()
         models[a] = fit_label_model(np.array([r[a] for r in counts], np.int64), np.array([r["count"] for r in counts], float), width[a])
-    taken = voted.where("features is not null").limit(2 * sample).toArrow()
+    # copies of a text with equal votes are one row; all copies are picked or none
+    taken = voted.where("features is not null").groupBy("features", *aspects).count().toArrow()
     lists = [np.asarray(x, np.int64) for x in taken["features"].to_numpy()] if taken.num_rows else []
-    scorers = {a: fit_scorer(lists, models[a].posterior(taken[a].to_numpy()), bits) for a in aspects}
+    times = taken["count"].to_numpy().astype(float)
+    scorers = {a: fit_scorer(lists, models[a].posterior(taken[a].to_numpy()), bits, times=times) for a in aspects}
     dropped(seen)
     dropped(voted)
     return Classifier(lexicon, models, scorers)

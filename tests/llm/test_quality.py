@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tabfold.llm.quality import BAD, GOOD, classify, features, fit_classifier, fit_label_model, quality_filter, read
+from tabfold.llm import quality
+from tabfold.llm.quality import BAD, GOOD, classify, features, fit_classifier, fit_label_model, fit_scorer, quality_filter, read
 
 from .conftest import SF
 
@@ -40,6 +41,18 @@ def test_held_out_accuracy(spark):
     assert all(classifier.models["low"].accuracy[:5] > 0.85)
 
 
+def test_copies_are_weights(spark, monkeypatch):
+    """A text that holds most rows is one row of the sample; the others all stay."""
+    docs = spark.createDataFrame([(i, f"A plain line of prose, number word{max(0, i - 300)} of many.") for i in range(360)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, p, bits, times: seen.append((len(rows), sorted(times))) or fit_scorer(rows, p, bits, times=times))
+    fit_classifier(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), sample=360)
+    assert seen == [(60, [1.0] * 59 + [301.0])] * 2
+    rows, p = [np.array([1, 2]), np.array([2, 3])], np.array([0.9, 0.2])
+    a, b = fit_scorer(rows, p, times=np.array([3.0, 1.0])), fit_scorer([rows[0]] * 3 + rows[1:], np.array([0.9] * 3 + [0.2]))
+    assert np.allclose(a[0], b[0]) and a[1] == pytest.approx(b[1])
+
+
 def test_edge_cases(spark):
     good, bad = "A plain line of prose about nothing at all, said well. " * 3, "LOUD!! ### $$$ " * 30
     rows = [(i, f"{good} word{i}", 1, "x") for i in range(40)] + [(100 + i, f"{bad} word{i}", 2, "y") for i in range(20)]
