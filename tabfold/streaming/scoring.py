@@ -10,10 +10,13 @@ where it stopped and never re-emits a file.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabfold.operators import encode as E
+from tabfold.session import ensure_checkpoint_dir
 from tabfold.sources.tables import entity, table
 
 
@@ -30,7 +33,8 @@ def encode_stream(orders_stream: DataFrame, customers: DataFrame, table_: DataFr
 
 def score_stream_once(spark: SparkSession, sf_dir: str, checkpoint: str, query_name: str = "tabfold_stream") -> DataFrame:
     """Fit on the batch training rows, then process all order files available
-    now through the stream; returns the rows the stream wrote."""
+    now through the stream; returns the rows this run wrote, as Parquet below
+    ``spark.checkpoint.dir``."""
     e = entity(spark, sf_dir)
     tr = e.where(F.col("part") == "train")
     t, prior = E.fit_target_encode(tr, "nation", "y", min_samples_leaf=20, smoothing=5)
@@ -40,7 +44,8 @@ def score_stream_once(spark: SparkSession, sf_dir: str, checkpoint: str, query_n
     stream = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders*.parquet") \
         .option("maxFilesPerTrigger", 1).parquet(sf_dir)
     out = encode_stream(stream, table(spark, sf_dir, "customer"), t, prior, levels)
-    q = (out.writeStream.format("memory").queryName(query_name).outputMode("append")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream/{query_name}-{uuid.uuid4().hex}"
+    q = (out.writeStream.format("parquet").queryName(query_name).outputMode("append").option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(query_name)
+    return spark.read.schema(out.schema).parquet(path)

@@ -17,3 +17,9 @@ def test_streaming_apply_matches_batch(spark, tmp_path):
     from tabfold.streaming.scoring import score_stream_once
     out = score_stream_once(spark, "/root/testdata/sf0.001", str(tmp_path / "ckpt"))
     assert out.count() > 0
+
+
+def test_streamed_rows_are_files(spark, tmp_path):
+    from tabfold.streaming.scoring import score_stream_once
+    out = score_stream_once(spark, "/root/testdata/sf0.001", str(tmp_path / "ckpt"), "streamed_files")
+    assert out.inputFiles() and out.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
