@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabfold.llm.byte_bpe import encode_byte_bpe
 from tabfold.llm.common import scratch_path
-
 from tabfold.llm.decontamination import contaminated
 from tabfold.llm.embeddings import embedding_groups
 from tabfold.llm.quality import classify, fit_classifier
@@ -88,6 +88,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.select("doc_id", "text"), classifier).select("doc_id", "p_low", "p_toxic", "rejected")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by ranks and decoded: digests of ids and bytes."""
+    out = encode_byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality)}
+    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality, op13_byte_bpe)}
 ORACLES: dict[str, str] = {}
