@@ -16,6 +16,7 @@ from tabfold.llm.quality import classify, fit_classifier
 from tabfold.llm.sentencepiece_codec import encode_documents
 from tabfold.llm.sharding import shard_documents
 from tabfold.llm.simhash import simhash_groups
+from tabfold.llm.spelling import spelling_variants
 from tabfold.llm.substrings import substring_report
 from tabfold.llm.suffixes import suffix_dedup
 from tabfold.llm.token_files import read_documents, write_token_files
@@ -88,6 +89,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.select("doc_id", "text"), classifier).select("doc_id", "p_low", "p_toxic", "rejected")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, a run in 97 with a made slip, and the forms they are near to."""
+    return spelling_variants(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, ratio=2.0, slip=97)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by ranks and decoded: digests of ids and bytes."""
     out = encode_byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -96,5 +102,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality, op13_byte_bpe)}
+    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality, op11_spelling, op13_byte_bpe)}
 ORACLES: dict[str, str] = {}
