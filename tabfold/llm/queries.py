@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabfold.llm.alignment import align_documents, pair_counts, score_links
 from tabfold.llm.byte_bpe import encode_byte_bpe
 from tabfold.llm.common import scratch_path
 from tabfold.llm.decontamination import contaminated
@@ -94,6 +95,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, ratio=2.0, slip=97)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' ids of every document."""
+    aligned = align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return score_links(aligned, pair_counts(aligned)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by ranks and decoded: digests of ids and bytes."""
     out = encode_byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -102,5 +109,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality, op11_spelling, op13_byte_bpe)}
+    op1_substring_dedup, op2_embedding_dedup, op3_simhash, op4_suffix_dedup, op5_url_filters, op6_decontamination, op7_sharding, op8_token_files, op9_sentencepiece, op10_quality, op11_spelling, op12_alignment, op13_byte_bpe)}
 ORACLES: dict[str, str] = {}
