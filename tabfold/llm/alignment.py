@@ -10,9 +10,7 @@ and remembered in bounded memory.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +26,9 @@ from tabfold.llm.sentencepiece_codec import BYTE, MARK, Codec
 from tabfold.llm.token_files import ODD, byte_bpe_encoder, byte_bpe_split_odd
 from tabfold.operators.joins import bounded
 
-CHUNKS = 200_000  #: remembered chunks of each tokenizer in a worker
-TOKENS = 2_000_000  #: tokens of remembered windows in a worker; beyond that they are found anew
+CHUNKS = 300_000  #: remembered chunks of each tokenizer in a worker
+LARGE = 1 << 12  #: links of a group that are written out one by one
+TOKENS = 4_000_000  #: tokens of remembered windows in a worker; beyond that they are found anew
 
 OWN = "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -51,11 +50,34 @@ def piece_bytes(pieces: list[tuple[str, float, int]]) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
 
 
-Window = tuple[str, int, int, list[int], list[int]]  #: groups as text, groups, links, linked pairs, how often
-
-
-def pair_of(a: int, b: int) -> int:
-    return a << 32 | b
+def cross(groups_a: np.ndarray, groups_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, times): the ids of each group linked each with each. Groups are
+    numbered from 0, in order on both sides. A group of over ``LARGE`` links is counted
+    by its distinct ids, so that its times are products."""
+    n = int(groups_a[-1]) + 1 if len(groups_a) else 0
+    n_a, n_b = np.bincount(groups_a, minlength=n), np.bincount(groups_b, minlength=n)
+    start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    small = np.flatnonzero(n_a * n_b <= LARGE)
+    each = (n_a * n_b)[small]
+    group = np.repeat(small, each)
+    at = np.arange(len(group)) - np.repeat(np.cumsum(each) - each, each)
+    left, right = start_a[group] + at // n_b[group], start_b[group] + at % n_b[group]
+    out = [(group, ids_a[left].astype(np.int64) << 32 | ids_b[right], np.ones(len(group), np.int64))]
+    for g in np.flatnonzero(n_a * n_b > LARGE).tolist():
+        x, n_x = np.unique(ids_a[start_a[g]:start_a[g] + n_a[g]].astype(np.int64), return_counts=True)
+        y, n_y = np.unique(ids_b[start_b[g]:start_b[g] + n_b[g]].astype(np.int64), return_counts=True)
+        out.append((np.full(len(x) * len(y), g), (x[:, None] << 32 | y).ravel(), (n_x[:, None] * n_y).ravel()))
+    if len(out) == 1:
+        return out[0]
+    group, pair, times = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(group, kind="stable")
+    return group[order], pair[order], times[order]
+
+
+def owned(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the lists ``which`` of joined lists of these sizes, one after the other, and their sizes."""
+    start, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    return ids[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)], n
 
 
 class Aligner:
@@ -73,12 +95,16 @@ class Aligner:
         a, b = byte_level_bytes(bpe_file), piece_bytes(self.second.model.pieces)
         self.bytes_a, self.bytes_b = np.array(a, object), np.array(b, object)
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+        numbers = [str(i) for i in range(max(len(a), len(b)))]
+        self.written = np.array([[x + "," for x in numbers], [x + "|" for x in numbers], [x + ";" for x in numbers]], object).T
         self.opens_a, self.opens_b = (np.array([x[:1] == b" " for x in t]) for t in (a, b))
         self.forget()
 
     def forget(self) -> None:
+        """Of each window by its code: groups as text, and the linked pairs' place, number and times."""
         self.codes: dict[tuple[bytes, bytes], int] = {}
-        self.windows: list[Window] = []
+        self.text = np.zeros(0, object)
+        self.n_groups, self.n_links, self.start, self.count, self.pairs, self.times = (np.zeros(0, np.int64) for _ in range(6))
         self.tokens = 0
 
     def forget_all(self) -> None:
@@ -87,29 +113,29 @@ class Aligner:
         if self.second.chunks:
             self.second.chunks.keep([])
 
-    def align(self, a: list[int], b: list[int]) -> Window:
-        """The groups of one window: the side that is behind takes its next token
-        until both end at the same byte."""
-        groups, links, linked = [], 0, Counter()
-        size_a, size_b = self.size_a[a].tolist(), self.size_b[b].tolist()
-        i = j = from_i = from_j = ahead = 0
-        while i < len(a) or j < len(b):
-            if ahead <= 0:
-                ahead += size_a[i]
-                i += 1
-            if ahead > 0:
-                ahead -= size_b[j]
-                j += 1
-            if ahead == 0:
-                left, right = a[from_i:i], b[from_j:j]
-                groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                links += len(left) * len(right)
-                right = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, m in right.items():
-                        linked[pair_of(x, y)] += n * m
-                from_i, from_j = i, j
-        return ";".join(groups), len(groups), links, list(linked), list(linked.values())
+    def learn(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> None:
+        """Append the alignments of windows, given as joined ids and sizes."""
+        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)  # each window's end is one of them
+        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        window = np.searchsorted(np.cumsum(n_a), np.searchsorted(end_a, ends), side="right")  # of each group
+        group, pair, times = cross(group_a, group_b, ids_a, ids_b)
+        count = np.bincount(window[group], minlength=len(n_a))
+        links = np.zeros(len(n_a), np.int64)
+        np.add.at(links, window[group], times)
+        # a group is written as its ids of one side, a bar, those of the other, and a semicolon
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+        written = np.concatenate([self.written[ids_a, np.where(last_a, 1, 0)], self.written[ids_b, np.where(last_b, 2, 0)]])
+        side = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        parts, upto = written[side].tolist(), np.cumsum(n_a + n_b).tolist()
+        text = np.array(["".join(parts[s:e])[:-1] for s, e in zip([0, *upto], upto)], object)
+        self.text = np.concatenate([self.text, text])
+        self.n_groups = np.concatenate([self.n_groups, np.bincount(window, minlength=len(n_a))])
+        self.n_links = np.concatenate([self.n_links, links])
+        self.start = np.concatenate([self.start, len(self.pairs) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
+        self.tokens += len(ids_a) + len(ids_b)
 
     def joined(self, table: np.ndarray, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         parts, ends = table[ids].tolist(), np.cumsum(n).tolist()
@@ -125,14 +151,13 @@ class Aligner:
         ids_a, ids_b = ids_a[np.repeat(whole, n_a)], ids_b[np.repeat(whole, n_b)]
         n_a, n_b = np.where(whole, n_a, 0), np.where(whole, n_b, 0)
         codes, of_text = self.window_codes(ids_a, n_a, ids_b, n_b)
-        used, at = np.unique(codes, return_inverse=True)
-        known = [self.windows[c] for c in used.tolist()]
-        per_text = lambda values: np.bincount(of_text, np.array(values, np.float64)[at], len(n_a)).astype(np.int64) if len(at) else np.zeros(len(n_a), np.int64)
-        groups, links = per_text([w[1] for w in known]), per_text([w[2] for w in known])
-        written = np.array([w[0] for w in known], object)[at].tolist() if known else []
-        ends = np.searchsorted(of_text, np.arange(len(n_a)), side="right")
-        digests = [hashlib.sha256(";".join(written[s:e]).encode()).hexdigest() if e > s else "" for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        pair_ends, pairs, times = self.linked(known, at, of_text, len(n_a))
+        groups, links = (np.bincount(of_text, minlength=len(n_a)) * 0 for _ in range(2))
+        np.add.at(groups, of_text, self.n_groups[codes])
+        np.add.at(links, of_text, self.n_links[codes])
+        written = self.text[codes].tolist()
+        ends = np.searchsorted(of_text, np.arange(len(n_a)), side="right").tolist()
+        digests = [hashlib.sha256(";".join(written[s:e]).encode()).hexdigest() if e > s else "" for s, e in zip([0, *ends], ends)]
+        pair_ends, pairs, times = self.linked(codes, of_text, len(n_a))
         if self.tokens > TOKENS:
             self.forget()
         return n_a, n_b, groups, links, digests, pair_ends, pairs, times
@@ -153,34 +178,24 @@ class Aligner:
         raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
         upto_a, upto_b = (4 * to_a).tolist(), (4 * to_b).tolist()
         keys = [(raw_a[s:e], raw_b[t:f]) for s, e, t, f in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
-        codes = list(map(self.codes.get, keys))
-        for k, code in enumerate(codes):
-            if code is None:
-                code = self.codes.get(keys[k])
-                if code is None:
-                    a, b = (np.frombuffer(x, "<u4").tolist() for x in keys[k])
-                    code = self.codes[keys[k]] = len(self.windows)
-                    self.windows.append(self.align(a, b))
-                    self.tokens += len(a) + len(b)
-                codes[k] = code
-        return np.array(codes, np.int64), np.searchsorted(text_ends, to_a - 1, side="right")
-
-    @staticmethod
-    def linked(known: list[Window], at: np.ndarray, of_text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = len(self.codes)
+        codes = np.fromiter((self.codes.setdefault(k, len(self.codes)) for k in keys), np.int64, len(keys))
+        if len(self.codes) > known:
+            new, at = np.unique(codes, return_index=True)
+            at = at[new >= known]  # where each new window is seen first, in the order of their codes
+            self.learn(*owned(ids_a, np.diff(to_a, prepend=0), at), *owned(ids_b, np.diff(to_b, prepend=0), at))
+        return codes, np.searchsorted(text_ends, to_a - 1, side="right")
+
+    def linked(self, codes: np.ndarray, of_text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct linked pairs of each text and how often each is linked in it."""
-        count = np.array([len(w[3]) for w in known], np.int64)
-        pairs = np.fromiter(chain.from_iterable(w[3] for w in known), np.int64, count.sum())
-        times = np.fromiter(chain.from_iterable(w[4] for w in known), np.int64, count.sum())
-        distinct, code = np.unique(pairs, return_inverse=True)
-        start = np.cumsum(count) - count
-        each = count[at]
-        before = np.cumsum(each) - each
-        where = np.arange(each.sum()) + np.repeat(start[at] - before, each)
-        both, inverse = np.unique(np.repeat(of_text, each) * max(1, len(distinct)) + code[where], return_inverse=True)
-        total = np.zeros(len(both), np.int64)
-        np.add.at(total, inverse, times[where])
-        text = both // max(1, len(distinct))
-        return np.searchsorted(text, np.arange(n_texts), side="right"), distinct[both % max(1, len(distinct))], total
+        each = self.count[codes]
+        where = np.arange(each.sum()) + np.repeat(self.start[codes] - (np.cumsum(each) - each), each)
+        pairs, times, text = self.pairs[where], self.times[where], np.repeat(of_text, each)
+        order = np.lexsort((pairs, text))
+        pairs, times, text = pairs[order], times[order], text[order]
+        first = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (text[1:] != text[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        total = np.add.reduceat(times, first) if len(first) else times
+        return np.searchsorted(text[first], np.arange(n_texts), side="right"), pairs[first], total
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}

@@ -140,11 +140,7 @@ def split_at_marks(text: str) -> list[str]:
 
 
 class Codec:
-    """Encoder and decoder of one model file, for whole texts.
-
-    ``differing`` counts what the sentencepiece library encoded or decoded otherwise: each
-    distinct chunk is compared as it is learnt, whole texts where the model doesn't
-    allow chunks."""
+    """Encoder and decoder of one model file, for whole texts."""
 
     def __init__(self, data: bytes, threads: int = 1):
         library_threads(threads)
@@ -154,26 +150,21 @@ class Codec:
         self.threads = threads
         self.chunks = ChunkEncoder(self.encode_chunks, lambda texts: pc.split_pattern(texts, " "), ODD, split_at_marks) if apart_at_marks(self.model) else None
         self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
-        self.differing = 0
 
-    def compared(self, texts: list[str]) -> list[list[int]]:
-        ours = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        theirs = self.theirs.encode(texts, num_threads=self.threads)
-        self.differing += sum(a != b for a, b in zip(ours, theirs))
-        self.differing += sum(a != b for a, b in zip(self.decode(ours), self.theirs.decode(theirs)))
-        return ours
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode_chunks(self, chunks: list[str]) -> Ids:
         plain = np.array([c != "" and " " not in c for c in chunks])
         # the model puts a marker before a text, as joined_ids puts a space
-        found = joined_ids([c for c, p in zip(chunks, plain) if p], " ", lambda texts: self.compared([t[1:] for t in texts]), self.opens)
-        return found if plain.all() else mixed(plain, found, ids_of(self.compared([c for c, p in zip(chunks, plain) if not p])))
+        found = joined_ids([c for c, p in zip(chunks, plain) if p], " ", lambda texts: self.encode_batch([t[1:] for t in texts]), self.opens)
+        return found if plain.all() else mixed(plain, found, ids_of(self.encode_batch([c for c, p in zip(chunks, plain) if not p])))
 
     def encode(self, texts: pa.Array | list[str]) -> Ids:
         """(ids of all texts, number of ids of each); a null text is an empty one."""
         if self.chunks:
             return self.chunks(texts)
-        return ids_of(self.compared([t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())]))
+        return ids_of(self.encode_batch([t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())]))
 
     def normal(self, text: str) -> str:
         """What the ids of a text decode to, where nothing is lost."""
