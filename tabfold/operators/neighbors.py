@@ -1,30 +1,35 @@
-"""Exact k nearest neighbours (F22, M9, R14) without enumerating pairs.
-
-Query and base rows are cut into blocks of bounded size (md5-keyed, so block
-membership is stable). Every (query block, base block) pair is one cogroup:
-the task computes that block's distance matrix with numpy and emits only the
-k best candidates per query row (plus any tied with the k-th). A final per-query merge of at most
-k x (number of base blocks) candidates keeps the global top k. No group holds
-more than one block per side, and the shuffled rows are
-N x (base blocks) + M x (query blocks), never N x M.
+"""Exact k nearest neighbours (F22, M9, R14) by pivot cells and triangle-inequality pruning.
+
+Sampled base rows are pivots; each base row belongs to the cell of its nearest pivot. A
+query first searches one block of its own cell, which bounds its k-th distance from
+above by some r. Then it visits the cells that can hold a row within r: those where
+its distance to the pivot, less the cell's radius, is at most r, and so is half the
+amount by which that pivot is farther than the nearest one. All other cells are left out
+without a distance being computed, and nothing is lost. Large cells and the queries that visit them
+are cut into blocks; each (cell, query block, base block) is one cogroup, whose task
+emits the k best candidates per query, ties by key. The merge handles at most k rows per visited block of a query.
+
+A row is copied once per visited block, so copies follow the data's geometry, not the
+number of cells; on data without any (hundreds of equal dimensions), bounds exclude
+little and every cell is visited, still exactly.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfold.functions.exprs import hash_unit
+from tabfold.functions.exprs import hash_unit, order_hash
+from tabfold.session import cut_lineage
 
 NB_SCHEMA = "qkey long, nkey long, dist double"
-
-
-def _blocks(df: DataFrame, key: str, n_blocks: int, name: str, seed: str) -> DataFrame:
-    return df.withColumn(name, F.least(F.floor(hash_unit(key, seed) * n_blocks).cast("int"), F.lit(n_blocks - 1)))
+MAX_PIVOTS = 4096  # bounds the pivot matrix that every task holds and the per-cell table on the driver
+SLACK = 1e-9  # relative widening of the bounds: far above rounding errors, so that no tie is lost
 
 
 def _topk_fn(k: int, exclude_self: bool):
@@ -32,8 +37,8 @@ def _topk_fn(k: int, exclude_self: bool):
 
     Squared distances come from one BLAS product (|q|^2 + |b|^2 - 2 q.b);
     every pair within a rounding margin of the k-th value is re-measured
-    exactly as sqrt(sum((q - b)^2)), and all pairs within the exact k-th
-    distance are emitted (ties included). The margin (1e-9 of the squared
+    exactly as sqrt(sum((q - b)^2)), and the first k by distance and key
+    are emitted: of ties no more than the merge can need. The margin (1e-9 of the squared
     norms) is far above the expansion's float error, so no true neighbour is
     lost."""
     def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -60,19 +65,15 @@ def _topk_fn(k: int, exclude_self: bool):
                 continue
             diff = qs[rows] - bv[cols]
             exact = np.sqrt((diff * diff).sum(axis=1))
-            # exact k-th distance per row among the candidates, then keep ties
-            order = np.lexsort((exact, rows))
-            r_sorted, e_sorted = rows[order], exact[order]
-            starts = np.searchsorted(r_sorted, np.unique(r_sorted))
-            counts = np.diff(np.append(starts, len(r_sorted)))
-            kth_exact = e_sorted[starts + np.minimum(counts, kk) - 1]
-            keep_rows = np.repeat(np.unique(r_sorted), counts)
-            limit = np.repeat(kth_exact, counts)
-            sel = e_sorted <= limit
-            c_sorted = cols[order]
-            out_q.append(qk[s + keep_rows[sel]])
-            out_n.append(bk[c_sorted[sel]])
-            out_d.append(e_sorted[sel])
+            # the first k of each row by (distance, key): the merge can need no others
+            order = np.lexsort((bk[cols], exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+            sel = place < k
+            out_q.append(qk[s + rows[sel]])
+            out_n.append(bk[cols[sel]])
+            out_d.append(exact[sel])
         if not out_q:
             return pd.DataFrame({"qkey": [], "nkey": [], "dist": []})
         return pd.DataFrame({"qkey": np.concatenate(out_q).astype("int64"),
@@ -83,32 +84,130 @@ def _topk_fn(k: int, exclude_self: bool):
 
 
 def auto_block_rows(n: int) -> int:
-    """Rows per block: ~4 sqrt(n), within [2,000, 50,000]. Larger blocks mean
-    less replication (the shuffle is ~2 N M / block rows), bounded by what
-    one task holds (two blocks of vectors)."""
-    return int(min(50_000, max(2_000, math.ceil(4 * math.sqrt(max(n, 1))))))
+    """Rows per cell and block: ~4 sqrt(n), within [500, 50,000]; at most what one task
+    holds (two blocks of vectors)."""
+    return int(min(50_000, max(500, math.ceil(4 * math.sqrt(max(n, 1))))))
+
+
+def _vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, vec) of the rows that have a vector."""
+    return df.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")) \
+        .where(F.col("vec").isNotNull())
+
+
+def _distances(rows: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
+    """Distances of a batch's vectors to all pivots."""
+    v = np.stack(rows["vec"].to_numpy()).astype("float64")
+    d2 = (v * v).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (v @ pivots.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _slack(pivots: np.ndarray, radius: np.ndarray) -> float:
+    """Absolute widening for distances that come from a difference of squares: the
+    root of a rounding error relative to the largest squared norm."""
+    far = float(np.sqrt((pivots * pivots).sum(axis=1).max())) + float(radius.max())
+    return 1e-7 * far + 1e-12
+
+
+def _assigned(base: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Base rows with the number of their cell and the distance to its pivot."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                d = _distances(rows, pivots)
+                cell = d.argmin(axis=1)
+                yield rows.assign(cell=cell.astype("int32"), far=d[np.arange(len(rows)), cell])
+    return base.mapInPandas(run, "key long, vec array<double>, cell int, far double")
+
+
+def _block_of(key: str, n: np.ndarray, cell: str, seed: str) -> F.Column:
+    """Block of a row among its cell's ``n[cell]`` blocks, by a keyed hash."""
+    blocks = F.element_at(F.array(*[F.lit(int(x)) for x in n]), F.col(cell) + 1)
+    return F.least(F.floor(hash_unit(key, seed) * blocks).cast("int"), blocks - 1)
+
+
+def _searched(q: DataFrame, b: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Candidates of all (cell, query block, base block) groups."""
+    keys = ["cell", "qb", "bb"]
+    return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_topk_fn(k, exclude_self), NB_SCHEMA)
+
+
+def knn_plan(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, exclude_self: bool = True,
+             block_rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Visits of the queries and the copies of base rows they meet: ``(key, vec, cell, qb, bb)``
+    twice, and the number of cells. ``block_rows`` bounds a block (default: from the
+    number of base rows)."""
+    q, b = _vectors(query, key, vec), _vectors(base, key, vec)
+    nb = b.count()
+    rows = block_rows or auto_block_rows(nb)
+    n_cells = max(1, min(MAX_PIVOTS, math.ceil(nb / rows)))
+    sample = b.withColumn("_o", order_hash("key", "knn-pivots")).orderBy("_o", "key").limit(n_cells).select("vec")
+    pivots = np.unique(np.array([r.vec for r in sample.collect()], dtype="float64"), axis=0)  # <= MAX_PIVOTS rows
+    n_cells = len(pivots)
+    if n_cells == 0:
+        none = q.where("false").withColumns({c: F.lit(0) for c in ("cell", "qb", "bb")})
+        return none, none, 0
+    b = cut_lineage(_assigned(b, pivots))
+    cells = {r.cell: r for r in b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
+    n = np.array([cells[c].n if c in cells else 0 for c in range(n_cells)])
+    radius = np.array([cells[c].radius if c in cells else -np.inf for c in range(n_cells)])
+    b_blocks = np.maximum(1, -(-n // rows))
+    b = b.withColumn("bb", _block_of("key", b_blocks, "cell", "knn-b"))
+    slack = _slack(pivots, np.maximum(radius, 0.0))
+    if n_cells == 1:
+        visits = q.withColumns({"cell": F.lit(0)})
+    else:
+        # an upper bound from one block of the nearest cell that has over k rows
+        full = n > k
+
+        def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                if len(part):
+                    d = np.where(full[None, :], _distances(part, pivots), np.inf)
+                    cell = np.where(full.any(), d.argmin(axis=1), -1)
+                    yield part.assign(cell=cell.astype("int32"))
+
+        home = q.mapInPandas(at_home, "key long, vec array<double>, cell int").where("cell >= 0")
+        per_cell = {r["cell"]: r["count"] for r in home.groupBy("cell").count().collect()}
+        home_blocks = np.array([max(1, -(-per_cell.get(c, 0) // rows)) for c in range(n_cells)])
+        h = home.withColumns({"qb": _block_of("key", home_blocks, "cell", "knn-h"), "bb": F.lit(0)})
+        h_base = b.where("bb = 0").withColumn("qb", F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(x) - 1) for x in home_blocks]), F.col("cell") + 1))))
+        near = _searched(h, h_base, k, exclude_self)
+        w = Window.partitionBy("qkey").orderBy("dist", "nkey")
+        bound = near.withColumn("j", F.row_number().over(w)).where(F.col("j") == k).select(F.col("qkey").alias("key"), F.col("dist").alias("within"))
+        # several query rows may have one key: the widest bound serves them all
+        bound = bound.groupBy("key").agg(F.max("within").alias("within"))
+        bound = bound.join(q.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1"), "key").drop("_n")
+
+        def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                if not len(part):
+                    continue
+                d = _distances(part, pivots)
+                within = part["within"].fillna(np.inf).to_numpy()[:, None] * (1 + SLACK) + 2 * slack
+                lower = np.maximum(d - radius[None, :], (d - d.min(axis=1)[:, None]) / 2)
+                row, cell = np.nonzero((lower <= within) & (n > 0)[None, :])
+                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "vec": part["vec"].to_numpy()[row], "cell": cell.astype("int32")})
+
+        visits = q.join(bound, "key", "left").select("key", "vec", "within").mapInPandas(visited, "key long, vec array<double>, cell int")
+    visits = cut_lineage(visits)
+    per_cell = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    q_blocks = np.array([max(1, -(-per_cell.get(c, 0) // rows)) for c in range(n_cells)])
+    upto = lambda x: F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(v) - 1) for v in x]), F.col("cell") + 1)))
+    q_rep = visits.withColumn("qb", _block_of("key", q_blocks, "cell", "knn-q")).withColumn("bb", upto(b_blocks))
+    b_rep = b.drop("far").withColumn("qb", upto(q_blocks))
+    return q_rep, b_rep, n_cells
 
 
 def knn(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, exclude_self: bool = True,
         block_rows: int | None = None) -> DataFrame:
     """F22 core: the k nearest base rows of every query row by Euclidean
     distance: ``(qkey, j, nkey, dist)``, j = 1..k, ties by neighbour key. The
-    row itself is excluded by key (not by skipping rank 0)."""
-    nq = query.count()
-    nb = base.count()
-    block_rows = block_rows or auto_block_rows(max(nq, nb))
-    qb = max(1, math.ceil(nq / block_rows))
-    bb = max(1, math.ceil(nb / block_rows))
-    q = _blocks(query.select(F.col(key).cast("long").alias("key"),
-                             F.col(vec).cast("array<double>").alias("vec")), "key", qb, "_qb", "knn-q")
-    b = _blocks(base.select(F.col(key).cast("long").alias("key"),
-                            F.col(vec).cast("array<double>").alias("vec")), "key", bb, "_bb", "knn-b")
-    # every query block meets every base block once
-    q_rep = q.withColumn("_bb", F.explode(F.sequence(F.lit(0), F.lit(bb - 1))))
-    b_rep = b.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    cand = q_rep.groupBy("_qb", "_bb").cogroup(b_rep.groupBy("_qb", "_bb")).applyInPandas(
-        _topk_fn(k, exclude_self), NB_SCHEMA)
-    w = Window.partitionBy("qkey").orderBy("dist", "nkey")  # <= k x base blocks rows per query
+    row itself is excluded by key (not by skipping rank 0). Rows without a vector
+    are neither queries nor neighbours; keys are distinct in each table."""
+    q_rep, b_rep, _ = knn_plan(query, base, key, vec, k, exclude_self, block_rows)
+    cand = _searched(q_rep, b_rep, k, exclude_self)
+    w = Window.partitionBy("qkey").orderBy("dist", "nkey")  # <= k x visited blocks rows per query
     return cand.withColumn("j", F.row_number().over(w)).where(F.col("j") <= k) \
         .select("qkey", "j", "nkey", "dist")
 

@@ -301,7 +301,7 @@ SELECT q AS vec_id, round(max(d) FILTER (WHERE j = 1), 6) AS d1, round(max(d) FI
 def q_f22(spark, d):
     """Distance to the 1st..3rd nearest other embedding (exact, blocked)."""
     emb = table(spark, d, "embeddings")
-    return N.knn_distances(emb, emb, "vec_id", "embedding", 3, block_rows=200)
+    return N.knn_distances(emb, emb, "vec_id", "embedding", 3)
 
 
 @register("m9_knn_vote_weighted", KNN_SQL + """,
@@ -312,7 +312,7 @@ SELECT q AS vec_id, pred, round(best / tot, 6) AS vote_share FROM t
 def q_m9(spark, d):
     """Distance-weighted 5-NN class vote over all other embeddings."""
     emb = table(spark, d, "embeddings")
-    return N.knn_vote(emb, emb, "vec_id", "embedding", "label", 5, weighted=True, block_rows=200)
+    return N.knn_vote(emb, emb, "vec_id", "embedding", "label", 5, weighted=True)
 
 
 @register("r14_smote")
@@ -320,4 +320,4 @@ def q_r14(spark, d):
     """One synthetic embedding per row of class 3, between it and a keyed
     choice among its 5 nearest same-class neighbours."""
     emb = table(spark, d, "embeddings")
-    return N.smote(emb, "vec_id", "embedding", "label", 3, k=5, seed=9, block_rows=200)
+    return N.smote(emb, "vec_id", "embedding", "label", 3, k=5, seed=9)

@@ -306,3 +306,28 @@ def test_imputation_leaves_no_nulls_and_keeps_values(spark, employees):
         assert out.where("rating IS NULL").count() == 0
         kept = out.join(employees.select("id", F.col("rating").alias("r0")), "id").where("r0 IS NOT NULL")
         assert kept.where("rating != r0").count() == 0
+
+
+def test_knn_cells_prune_and_lose_nothing(spark):
+    """Copies per row grow slower than the number of cells; far ties, repeated points and
+    rows without a vector change nothing."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(scale=20, size=(40, 3))
+    share = []
+    for n in (600, 4800):
+        x = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 3))
+        x[: n // 10] = x[0]  # a tenth of all rows at one place
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(10**6, None)], "id long, v array<double>")
+        q_rep, _, cells = N.knn_plan(df, df, "id", "v", 3, block_rows=60)
+        share.append((q_rep.select("key", "cell").distinct().count() / n, cells))
+        got = N.knn(df, df, "id", "v", 3, block_rows=60).toPandas()
+        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        want = np.sort(d, axis=1)[:, :3]
+        g = got.pivot(index="qkey", columns="j", values="dist").loc[range(n)].to_numpy()
+        np.testing.assert_allclose(g, want, atol=1e-9)
+        assert len(got) == 3 * n
+        tied = got[got.qkey == 5].sort_values("j").nkey.tolist()
+        assert tied == [0, 1, 2]
+    (few, cells_few), (many, cells_many) = share
+    assert cells_many > 5 * cells_few and many / few < 0.5 * cells_many / cells_few and many < 0.3 * cells_many
