@@ -348,26 +348,118 @@ def permutation_importance(model: PipelineModel, df: DataFrame, feats, y: str, k
 
 # ------------------------------------------------------------------ imputation by model
 
-def fill_by_model(df: DataFrame, target: str, feats, kind: str = "forest_regressor", round_values: bool = True,
+def level_codes(df: DataFrame, col: str, max_levels: int = 1000) -> DataFrame:
+    """(level, code) of a column's non-null levels, the most frequent first (ties by
+    level): class labels of a forest. Over ``max_levels`` levels are an error, which
+    bounds the table and the class counts of every tree node."""
+    counts = cut_lineage(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("n")))
+    if counts.limit(max_levels + 1).count() > max_levels:
+        raise ValueError(f"{col} has over {max_levels} levels")
+    rows = sorted(counts.collect(), key=lambda r: (-r.n, r.level))
+    schema = f"level {counts.schema['level'].dataType.simpleString()}, code double"
+    return df.sparkSession.createDataFrame([(r.level, float(i)) for i, r in enumerate(rows)], schema)
+
+
+def with_codes(df: DataFrame, codes: DataFrame, col: str, out: str) -> DataFrame:
+    """The code of each row's level in column ``out`` (null where it has none)."""
+    return df.join(F.broadcast(codes.withColumnRenamed("code", out)), F.col(col) == F.col("level"), "left").drop("level")
+
+
+def with_levels(df: DataFrame, codes: DataFrame, code: str, out: str) -> DataFrame:
+    """The level of each row's code in column ``out``."""
+    return df.join(F.broadcast(codes.select(F.col("level").alias(out), F.col("code").alias("_code_of"))), F.col(code) == F.col("_code_of"), "left").drop("_code_of")
+
+
+def fill_by_model(df: DataFrame, target: str, feats, kind: str | None = None, round_values: bool = True,
                   **params) -> DataFrame:
     """Learn ``target`` from the other columns on complete rows, predict
-    it where missing (rounded for integer columns)."""
-    complete = df.where(F.col(target).isNotNull())
-    m = fit(kind, complete, feats, target, **params)
-    pred = m.transform(df.where(F.col(target).isNull())).withColumn(
-        "_pred", F.round("prediction") if round_values else F.col("prediction"))
+    it where missing. A text target is learnt by a classifier (default: a forest), its
+    most probable level filled in; a number by a regressor, rounded for integer
+    columns. A column without any value is left as it is."""
     t = dict(df.dtypes)[target]
+    complete, lacking = df.where(F.col(target).isNotNull()), df.where(F.col(target).isNull())
+    if complete.isEmpty():
+        return df
+    if t == "string":
+        codes = level_codes(complete, target)
+        m = fit(kind or "forest", with_codes(complete, codes, target, "_y"), feats, "_y", **params)
+        pred = with_levels(m.transform(lacking), codes, "prediction", "_pred")
+    else:
+        m = fit(kind or "forest_regressor", complete, feats, target, **params)
+        pred = m.transform(lacking).withColumn("_pred", F.round("prediction") if round_values else F.col("prediction"))
     filled = pred.select(*[F.col(c) if c != target else F.col("_pred").cast(t).alias(target) for c in df.columns])
     return complete.unionByName(filled)
 
 
+def forest_impute_mixed(df: DataFrame, numeric, categorical, max_iter: int = 10, max_levels: int = 1000,
+                        **params) -> DataFrame:
+    """C10 for numbers and text in one call: iterated forests over both kinds.
+
+    Starts from means and most frequent levels; each round refits the columns, those
+    that lack the fewest values first, regressors for numbers and classifiers for
+    text, on all the other columns as they are by then, and replaces the values that
+    were missing. Stops when the change has risen for every kind that is imputed: squared
+    change over squared values for numbers, the share of changed levels for text. The
+    round before that is the result; at most ``max_iter`` rounds.
+
+    Other columns are kept. A column without any value stays as it is and is no
+    predictor; NaN counts as missing; nothing missing, or no rows: the input. A text
+    predictor enters as its frequency code. Integer columns are rounded back."""
+    numeric, categorical = as_list(numeric), as_list(categorical)
+    types = dict(df.dtypes)
+    clean = df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric})
+    seen = clean.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in numeric + categorical],
+                     *[F.avg(c).alias(f"_avg_{c}") for c in numeric]).first()
+    numeric, categorical = ([c for c in cols if seen[c]] for cols in (numeric, categorical))
+    todo = sorted((c for c in numeric + categorical if seen[c] < seen["_n"]), key=lambda c: (-seen[c], c))
+    if not todo:
+        return df
+    codes = {c: level_codes(clean, c, max_levels) for c in categorical}
+    cur = clean.withColumns({f"_miss_{c}": F.col(c).isNull() for c in todo})
+    for c in categorical:
+        cur = with_codes(cur, codes[c], c, f"_x_{c}").fillna({f"_x_{c}": 0.0})
+    cur = cur.withColumns({f"_x_{c}": F.coalesce(F.col(c), F.lit(seen[f"_avg_{c}"])) for c in numeric})
+    cur = cut_lineage(cur)
+    every, kinds = numeric + categorical, [k for k in (numeric, categorical) if any(c in todo for c in k)]
+    last = [math.inf] * len(kinds)
+    for _ in range(max_iter):
+        new = cur.withColumns({f"_old_{c}": F.col(f"_x_{c}") for c in todo})
+        for c in todo:
+            kind = "forest_regressor" if c in numeric else "forest"
+            others = [f"_x_{o}" for o in every if o != c]
+            if not others:
+                continue
+            m = fit(kind, new.where(~F.col(f"_miss_{c}")), others, f"_x_{c}", **params)
+            new = m.transform(new).withColumn(f"_x_{c}", F.when(F.col(f"_miss_{c}"), F.col("prediction")).otherwise(F.col(f"_x_{c}"))) \
+                .drop("features", "rawPrediction", "probability", "prediction")
+        new = cut_lineage(new)
+        x, old, miss = (lambda c: F.col(f"_x_{c}")), (lambda c: F.col(f"_old_{c}")), (lambda c: F.col(f"_miss_{c}"))
+        parts = new.agg(*[F.sum(F.when(miss(c), (x(c) - old(c)) ** 2 if c in numeric else (x(c) != old(c)).cast("double"))).alias(f"d_{c}") for c in todo],
+                        *[F.sum(F.when(miss(c), x(c) ** 2 if c in numeric else F.lit(1.0))).alias(f"s_{c}") for c in todo]).first()
+        change = [sum(parts[f"d_{c}"] for c in k if c in todo) / max(sum(parts[f"s_{c}"] for c in k if c in todo), 1e-300) for k in kinds]
+        if all(a > b for a, b in zip(change, last)):
+            break
+        cur, last = new.drop(*[f"_old_{c}" for c in todo]), change
+        if not any(change):
+            break
+    for c in [c for c in categorical if c in todo]:
+        cur = with_levels(cur, codes[c], f"_x_{c}", f"_level_{c}")
+    back = {c: (F.round(f"_x_{c}") if types[c] in ("tinyint", "smallint", "int", "bigint") else F.col(f"_x_{c}")) if c in numeric else F.col(f"_level_{c}") for c in todo}
+    return cur.select(*[F.when(F.col(f"_miss_{c}"), back[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in back else F.col(c).cast(types[c]).alias(c) for c in df.columns])
+
+
 def forest_impute(df: DataFrame, cols, feats, key: str, max_iter: int = 3, tol: float = 1e-3,
                   **params) -> DataFrame:
     """Iterative forest imputation: start from column means, then refit
     each column on the others for up to ``max_iter`` rounds, cutting lineage
     (reliable checkpoint) after every round; stop when the mean absolute
-    change of imputed values falls below ``tol``."""
+    change of imputed values falls below ``tol``. A column without any value stays as it is
+    and is no predictor; ``forest_impute_mixed`` takes text columns, too."""
     cols = as_list(cols)
+    seen = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    cols = [c for c in cols if seen[c]]
+    if not cols:
+        return df
     miss = df.select("*", *[F.col(c).isNull().alias(f"_miss_{c}") for c in cols])
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
     cur = miss.fillna({c: float(means[c]) for c in cols})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabfold.operators import clean as C
 from tabfold.operators import encode as E
 from tabfold.operators import features as FE
+from tabfold.operators import linear as L
 from tabfold.operators import models as M
 from tabfold.operators import neighbors as N
 from tabfold.operators import sampling as R
@@ -54,6 +55,21 @@ def _score_query(kind, weight=False, **params):
 
 register("m1_logistic_score")(_score_query("logistic", weight=True, regParam=0.01, elasticNetParam=0.0))
 register("m2_linear_svm_score")(_score_query("linear_svm", maxIter=30, regParam=0.01))
+
+
+def _linear_query(loss: str):
+    def q(spark, d):
+        tr, te, feats = model_frames(spark, d)
+        m = L.fit_linear(tr, feats, "y", loss, alpha=1e-3, l1_ratio=0.15)
+        return te.select("key", m.probability().alias("p"))
+
+    q.__doc__ = f"Linear model of the {loss} loss with an elastic net, trained on train rows, scored on test rows."
+    return q
+
+
+register("m2b_modified_huber_score")(_linear_query("modified_huber"))
+register("m2c_squared_hinge_score")(_linear_query("squared_hinge"))
+register("m2d_log_elastic_net_score")(_linear_query("log"))
 register("m3_decision_tree_score")(_score_query("tree", maxDepth=5))
 register("m4_random_forest_score")(_score_query("forest", numTrees=20, maxDepth=5, seed=1))
 register("m5_gbt_weighted_score")(_score_query("gbt", weight=True, maxIter=15, maxDepth=3, seed=1))
@@ -234,6 +250,21 @@ def q_c10(spark, d):
                            maxDepth=3, seed=3)
 
 
+@register("c9b_fill_text_by_model")
+def q_c9b(spark, d):
+    """Missing text level predicted by a forest classifier from the other columns."""
+    e = entity(spark, d).select("key", "edu", (F.col("price") / 1000).alias("price_k"), (F.col("acctbal") / 1000).alias("acctbal_k"), "nation")
+    return M.fill_by_model(e, "edu", ["price_k", "acctbal_k", "nation"], numTrees=10, maxDepth=4, seed=3)
+
+
+@register("c10b_forest_impute_mixed")
+def q_c10b(spark, d):
+    """A nullable text and two nullable numbers imputed in one call by iterated forests."""
+    e = entity(spark, d).select("key", "rating", "edu", "segment", (F.col("price") / 1000).alias("price_k"),
+                                F.when(F.col("key") % 7 == 0, F.lit(None)).otherwise(F.col("acctbal") / 1000).alias("acctbal_k"))
+    return M.forest_impute_mixed(e, ["rating", "acctbal_k", "price_k"], ["edu", "segment"], max_iter=3, numTrees=5, maxDepth=3, seed=3)
+
+
 @register("b11_stack_level2")
 def q_b11(spark, d):
     """Level-2 logistic regression on pivoted base-model OOF scores (5 folds)."""

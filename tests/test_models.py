@@ -108,3 +108,65 @@ def test_best_rounds_over_folds_and_refit(frames):
     assert len(rows) == 4 and len(best) == 1 and best[0]["valid_loss"] == min(r["valid_loss"] for r in rows)
     assert model.stages[-1].getNumTrees == best[0]["rounds"]
     assert M.score(model, te, "key").count() == te.count()
+
+
+def test_forest_impute_mixed(spark):
+    """A null text and a null number are filled in one call, close to the truth; a column
+    without any value, repeated rows and NaN have defined results."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows, truth = [], {}
+    for i in range(900):
+        g = int(rng.integers(3))
+        x, n, t = float(g * 10 + rng.normal()), int(g * 100 + rng.integers(5)), "abc"[g]
+        truth[i] = (n, t)
+        rows.append((i, x, None if i % 9 == 1 else n, None if i % 7 == 2 else t, None, None, float("nan") if i == 5 else x))
+    df = spark.createDataFrame(rows, "id int, x double, n int, t string, empty double, none string, z double")
+    out = M.forest_impute_mixed(df, ["x", "n", "empty", "z"], ["t", "none"], max_iter=4, numTrees=10, maxDepth=4, seed=1)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 900 and all(r.empty is None and r.none is None for r in got.values())
+    for i, x, n, t, *_ in rows:
+        r = got[i]
+        assert r.x == x and (r.n == n if n is not None else abs(r.n - truth[i][0]) < 30) and r.t == truth[i][1]
+    assert abs(got[5].z - rows[5][1]) < 10
+    filled = M.fill_by_model(df.drop("z", "empty", "none"), "t", ["x"], numTrees=10, maxDepth=3, seed=1)
+    filled = filled.collect()  # histogram bins may straddle two clusters
+    assert len(filled) == 900 and sum(r.t == truth[r.id][1] for r in filled) > 0.98 * 900
+    assert M.fill_by_model(df, "empty", ["x"]).where("empty is not null").count() == 0
+    assert M.forest_impute_mixed(df.where("false"), ["n"], ["t"]).count() == 0
+    assert M.forest_impute(df.select("id", "x", "n", "empty"), ["n", "empty"], ["x"], "id", max_iter=1, numTrees=3, maxDepth=2).where("n is null or empty is not null").count() == 0
+    with pytest.raises(ValueError):
+        M.level_codes(df, "t", max_levels=2)
+
+
+@pytest.mark.parametrize("loss", ["modified_huber", "squared_hinge", "log"])
+def test_linear_losses_reach_the_numpy_optimum(spark, loss):
+    """Weights and objective against slow proximal-gradient steps in NumPy, rows weighted,
+    with zero weights where the L1 part puts them."""
+    from tabfold.operators.linear import LOSSES, fit_linear
+
+    rng = np.random.default_rng(2)
+    n, d, alpha, ratio = 400, 4, 0.05, 0.5
+    x = rng.normal(size=(n, d)) * [1, 2, 0.5, 1]
+    y = (x @ [1.0, -0.5, 0.0, 0.0] + rng.normal(size=n) > 0.3).astype(int)
+    weight = rng.integers(1, 4, n).astype(float)
+    df = spark.createDataFrame([(*map(float, r), int(t), float(v)) for r, t, v in zip(x, y, weight)] + [(None, 1.0, 1.0, 1.0, 1, 1.0), (1.0, float("nan"), 1.0, 1.0, 0, 1.0)], "a double, b double, c double, e double, y int, w double")
+    m = fit_linear(df, ["a", "b", "c", "e"], "y", loss, alpha, ratio, weight="w")
+    a, s, share = np.c_[x, np.ones(n)], 2 * y - 1, weight / weight.sum()
+    value = lambda v: share @ LOSSES[loss](s * (a @ v))[0] + alpha * (ratio * np.abs(v[:d]).sum() + (1 - ratio) / 2 * (v[:d] ** 2).sum())
+    v, t = np.zeros(d + 1), 1 / (2 * np.linalg.eigvalsh(a.T @ (a * share[:, None]))[-1] + alpha)
+    for _ in range(20_000):
+        v = v - t * (a.T @ (share * LOSSES[loss](s * (a @ v))[1] * s) + alpha * (1 - ratio) * np.r_[v[:d], 0])
+        v[:d] = np.sign(v[:d]) * np.maximum(np.abs(v[:d]) - t * alpha * ratio, 0)
+    got = np.r_[m.weights, m.intercept]
+    assert abs(value(got) - value(v)) < 1e-6 and np.abs(got - v).max() < 1e-3 and m.passes < 30
+    assert (got[:d] == 0).tolist() == (np.abs(v[:d]) < 1e-9).tolist()
+    p = df.select(m.probability().alias("p")).where("p is not null and not isnan(p)").collect()
+    assert all(0 <= r.p <= 1 for r in p)
+    with pytest.raises(ValueError):
+        fit_linear(df.where("false"), ["a"], "y", loss)
+    numeric = lambda z: (LOSSES[loss](z + 1e-6)[0] - LOSSES[loss](z - 1e-6)[0]) / 2e-6
+    z = np.array([-3.0, -0.5, 0.2, 0.9, 1.7])
+    np.testing.assert_allclose(numeric(z), LOSSES[loss](z)[1], atol=1e-5)
