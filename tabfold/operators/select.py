@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfold.functions.exprs import as_list, erfc, safe_div
+from tabfold.functions.exprs import as_list, digamma, erfc, safe_div
 from tabfold.functions.ranking import prefix_sums, quantiles
 from tabfold.operators import evaluate as V
+from tabfold.operators.joins import bounded
+from tabfold.session import cut_lineage
 
 
 def melt(df: DataFrame, cols, y: str, keep_null_values: bool = False) -> DataFrame:
@@ -111,6 +113,68 @@ def mutual_info(df: DataFrame, cols, y: str) -> DataFrame:
     return x.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
+def _kth_in_class(points: DataFrame, k: int, rows: int) -> DataFrame:
+    """(feature, y, v, c, r): distinct values of each class with their counts and the distance
+    from a value to the k-th nearest other row of its class (k - 1 of few rows).
+
+    Positions in the class cut it into buckets of ``rows`` rows; each bucket borrows the k
+    rows before and after it, so a window inside a bucket sees all candidates and no class
+    is one task. A value with over k copies is at distance 0 and needs no neighbours;
+    others enter the buckets at most k + 1 times."""
+    counts = points.groupBy("feature", "y", "v").agg(F.count(F.lit(1)).alias("c"))
+    size = counts.groupBy("feature", "y").agg(F.sum("c").alias("n_class"))
+    counts = counts.join(bounded(size), ["feature", "y"]).where("n_class > 1") \
+        .withColumn("k", F.least(F.lit(k).cast("long"), F.col("n_class") - 1))
+    few = counts.withColumn("copies", F.least("c", F.col("k") + 1))
+    placed = prefix_sums(few, "v", ["copies"], by=["feature", "y"], inclusive=False, suffix="_before")
+    each = placed.select("feature", "y", "v", "c", "n_class", "k", F.posexplode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("nr", "_"), "copies_before") \
+        .withColumn("pos", F.col("copies_before") + F.col("nr")).drop("_", "copies_before")
+    own = F.floor(F.col("pos") / rows)
+    at = F.pmod("pos", F.lit(rows))
+    to = F.array(own, F.when(at < k, own - 1), F.when(at >= rows - k, own + 1))
+    dealt = each.withColumn("own", own).withColumn("bucket", F.explode(F.filter(to, lambda b: b.isNotNull() & (b >= 0))))
+    w = Window.partitionBy("feature", "y", "bucket").orderBy("pos")
+    near = F.collect_list("v").over(w.rowsBetween(-k, k))
+    gaps = F.array_sort(F.transform(near, lambda x: F.abs(x - F.col("v"))))  # its own distance 0 comes first
+    found = dealt.withColumn("r", F.element_at(gaps, (F.col("k") + 1).cast("int"))).where("bucket = own and nr = 0")
+    return found.select("feature", "y", "v", "c", "n_class", "k", "r")
+
+
+def mutual_info_continuous(df: DataFrame, cols, y: str, k: int = 3, bucket_rows: int = 100_000) -> DataFrame:
+    """X7 for continuous features: (feature, mutual_info) in nats by the nearest-neighbour
+    estimator for a discrete label.
+
+    For each row, d is the distance to its k-th nearest row of the same class in one feature, and
+    m the number of rows of any class between value - d and value + d (itself included; rows
+    at the same value, if d is 0). The estimate is psi(n) + mean psi(k) - mean psi(class size) - mean psi(m),
+    0 at least. Classes of at most k rows use their size less one; classes of one row
+    and rows with a null or NaN value or a null label are left out.
+
+    Both steps run on sorted, range-split distinct values: d from windows with borrowed
+    rows, m as the difference of two running counts, read at the interval's ends by
+    sorting them in among the values."""
+    if not 0 < k <= bucket_rows:
+        raise ValueError("k is at least 1 and at most bucket_rows")
+    points = melt(df, cols, y).where(F.col("y").isNotNull() & ~F.isnan("value")) \
+        .select("feature", "y", (F.col("value") + F.lit(0.0)).alias("v"))
+    near = cut_lineage(_kth_in_class(points, k, bucket_rows))
+    # one row per value and per interval end; an end has no weight of its own. tag orders what lies at
+    # one place: an open interval's left end comes after equal values, its right end before them
+    values = near.groupBy("feature", "v").agg(F.sum("c").alias("w")).select("feature", F.col("v").alias("x"), F.lit(1).alias("tag"), "w")
+    still = F.col("r") == 0
+    left = near.select("feature", (F.col("v") - F.col("r")).alias("x"), F.when(still, 0).otherwise(2).alias("tag"))
+    right = near.select("feature", (F.col("v") + F.col("r")).alias("x"), F.when(still, 2).otherwise(0).alias("tag"))
+    ends = left.union(right).distinct().withColumn("w", F.lit(0).cast("long"))
+    running = prefix_sums(values.union(ends).groupBy("feature", "x", "tag").agg(F.sum("w").alias("w")), ["x", "tag"], ["w"], by=["feature"], inclusive=True).select("feature", "x", "tag", "w_cum")
+    running = cut_lineage(running.where("tag <> 1"))
+    at = lambda x, tag, name: running.select("feature", F.col("x").alias(x), F.col("tag").alias(tag), F.col("w_cum").alias(name))
+    m = near.withColumns({"xl": F.col("v") - F.col("r"), "tl": F.when(still, 0).otherwise(2), "xr": F.col("v") + F.col("r"), "tr": F.when(still, 2).otherwise(0)}) \
+        .join(at("xl", "tl", "below"), ["feature", "xl", "tl"]).join(at("xr", "tr", "upto"), ["feature", "xr", "tr"]) \
+        .withColumn("m", F.greatest(F.col("upto") - F.col("below"), F.lit(1)))
+    parts = m.groupBy("feature").agg(*[(F.sum(F.col("c") * digamma(F.col(x))) / F.sum("c")).alias(f"p_{x}") for x in ("k", "n_class", "m")], F.sum("c").alias("n"))
+    return parts.select("feature", F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("p_k") - F.col("p_n_class") - F.col("p_m")).alias("mutual_info"))
+
+
 def feature_gini(df: DataFrame, cols, y: str) -> DataFrame:
     """2 * AUC - 1 of every feature used alone as a score."""
     long = melt(df, cols, y).where(F.col("y").isNotNull())

@@ -181,6 +181,39 @@ def q_x7(spark, d):
     return X.mutual_info(tr, MI_FEATS, "y")
 
 
+def _psi_sql(x: str) -> str:
+    """digamma of a whole number >= 1: recurrence up to 6, then the asymptotic series."""
+    z = f"(CAST({x} AS DOUBLE) + 6)"
+    less = " + ".join(f"1.0 / ({x} + {i})" for i in range(6))
+    terms = " + ".join(f"{sign} / ({z} ** {power})" for sign, power in (("1.0 / 12", 2), ("-1.0 / 120", 4), ("1.0 / 252", 6), ("-1.0 / 240", 8), ("1.0 / 132", 10)))
+    return f"(ln({z}) - 1.0 / (2 * {z}) - ({terms}) - ({less}))"
+
+
+MIC_FEATS = ["price", "acctbal"]
+
+
+@register("x7b_mutual_information_continuous", EMP + f""",
+lg AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v, y FROM train WHERE {f} IS NOT NULL AND y IS NOT NULL" for f in MIC_FEATS)}),
+o AS (SELECT feature, v, y, count(*) OVER (PARTITION BY feature, y) AS nc,
+        list_sort(list_filter([{", ".join(f"abs(v - {side}(v, {i}) OVER w)" for side in ("lag", "lead") for i in (1, 2, 3))}], lambda x: x IS NOT NULL))[3] AS r
+      FROM lg WINDOW w AS (PARTITION BY feature, y ORDER BY v)),
+m AS (SELECT a.feature, a.v, a.y, a.r, a.nc, any_value(a.times) AS times, count(*) AS m
+      FROM (SELECT feature, v, y, r, nc, count(*) AS times FROM o GROUP BY ALL) a
+      JOIN lg b ON a.feature = b.feature AND b.v > a.v - greatest(a.r, 1e-300) AND b.v < a.v + greatest(a.r, 1e-300)
+      WHERE a.r > 0 GROUP BY a.feature, a.v, a.y, a.r, a.nc
+      UNION ALL
+      SELECT a.feature, a.v, a.y, a.r, a.nc, any_value(a.times), count(*)
+      FROM (SELECT feature, v, y, r, nc, count(*) AS times FROM o GROUP BY ALL) a
+      JOIN lg b ON a.feature = b.feature AND b.v = a.v WHERE a.r = 0 GROUP BY a.feature, a.v, a.y, a.r, a.nc)
+SELECT feature, round(greatest(0.0, {_psi_sql("sum(times)")} + {_psi_sql("3")} - sum(times * {_psi_sql("nc")}) / sum(times) - sum(times * {_psi_sql("m")}) / sum(times)), 6) AS mutual_info
+FROM m GROUP BY feature
+""")
+def q_x7b(spark, d):
+    """Mutual information of continuous features with the label by nearest neighbours."""
+    tr, _ = train_test(spark, d)
+    return X.mutual_info_continuous(tr, MIC_FEATS, "y", k=3)
+
+
 GINI_SQL = EMP + f""",
 lg AS ({_melt_sql('train', FEATS)}),
 sc AS (SELECT feature, value, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg

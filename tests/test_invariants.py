@@ -331,3 +331,32 @@ def test_knn_cells_prune_and_lose_nothing(spark):
         assert tied == [0, 1, 2]
     (few, cells_few), (many, cells_many) = share
     assert cells_many > 5 * cells_few and many / few < 0.5 * cells_many / cells_few and many < 0.3 * cells_many
+
+
+@pytest.mark.parametrize("bucket_rows", [4, 50, 100_000])
+def test_continuous_mutual_info_is_brute_force(spark, bucket_rows):
+    """500 rows, three features with ties and hot values, tiny buckets with borrowed rows."""
+    def psi(x):  # of whole numbers: the harmonic sum less Euler's constant
+        return sum(1 / i for i in range(1, int(x))) - 0.5772156649015329
+
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, 500)
+    y[7] = 9  # a class of one row
+    y[8] = y[9] = 8  # fewer rows than k
+    x = {"a": rng.normal(size=500) + y, "b": np.round(rng.normal(size=500), 1), "c": np.where(rng.random(500) < 0.4, 1.0, rng.normal(size=500))}
+    want, k = {}, 3
+    for f, v in x.items():
+        keep = y != 9
+        vs, ys = v[keep], y[keep]
+        total = []
+        for i in range(len(vs)):
+            same = np.sort(np.abs(np.delete(vs[ys == ys[i]], np.flatnonzero(np.flatnonzero(ys == ys[i]) == i)) - vs[i]))
+            kk = min(k, len(same))
+            r = same[kk - 1]
+            m = (vs == vs[i]).sum() if r == 0 else ((vs > vs[i] - r) & (vs < vs[i] + r)).sum()
+            total.append(psi(kk) - psi(len(same) + 1) - psi(max(m, 1)))
+        want[f] = max(0.0, psi(len(vs)) + float(np.mean(total)))
+    rows = [(*(float(x[f][i]) for f in "abc"), int(y[i])) for i in range(500)] + [(None, float("nan"), None, 1), (1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int")
+    got = {r.feature: r.mutual_info for r in X.mutual_info_continuous(df, ["a", "b", "c"], "y", k, bucket_rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want) and want["a"] > 0.2
