@@ -1,11 +1,15 @@
 """Plan-shape checks: the properties the design relies on at scale."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as se
 from tabfold.functions.exprs import order_hash
 from tabfold.functions.ranking import hashed_rank
 from tabfold.operators import encode as E
+from tabfold.session import cut_lineage
 from tabfold.sources.tables import entity
 
 from conftest import SF_SMALL
@@ -80,3 +84,32 @@ def test_hot_key_is_spread_over_many_tasks(spark):
     r = range_partition(df, [F.col("g"), F.col("key")], ranges=16)
     shares = r.where("g = 'HOT'").groupBy("_rid").count().toPandas()
     assert len(shares) >= 4 and shares["count"].max() <= 0.5 * (n // 3)
+
+
+@pytest.mark.parametrize("accuracy", [2000, 2])
+def test_quantiles_pin_brackets_alone(spark, monkeypatch, accuracy):
+    """Exact for continuous, tied and hot values, null and NaN groups, far probabilities; only
+    the brackets' values are written, unless a sketch is too coarse, which costs a second count."""
+    from tabfold.functions import ranking
+
+    pinned = []
+    monkeypatch.setattr(ranking, "pin_partitions", lambda df: pinned.append((x := cut_lineage(df)).count()) or x)
+    if accuracy == 2:  # brackets beside the quantile: the check must see it
+        monkeypatch.setattr(ranking.F, "percentile_approx", lambda x, ps, a: F.array(*[F.max(x) for _ in ps]))
+    rng = np.random.default_rng(1)
+    n = 40_000
+    rows = pd.DataFrame({"g": rng.choice(["hot", "hot", "hot", "a", "b"], n), "x": rng.normal(size=n), "y": np.where(rng.random(n) < 0.4, 3.0, rng.integers(0, 50, n)).astype(float)})
+    rows.loc[rng.random(n) < 0.1, "g"] = None
+    rows.loc[rng.random(n) < 0.1, "x"] = None
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "g string, x double, y double")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0] if accuracy == 2000 else [0.25, 0.5, 0.99]
+    got = {(r.g, r.column): [r[f"q{i}"] for i in range(len(probs))] for r in ranking.quantiles(df, ["x", "y"], probs, by=["g"]).collect()}
+    for g in ("hot", "a", "b", None):
+        part = rows[rows.g.isna()] if g is None else rows[rows.g == g]
+        for c in "xy":
+            np.testing.assert_allclose(got[g, c], part[c].quantile(probs).to_numpy(), rtol=0, atol=1e-12)
+    assert len(got) == 8
+    if accuracy == 2000:
+        assert len(pinned) == 1 and pinned[0] < 0.05 * n
+    else:
+        assert len(pinned) == 2
