@@ -29,6 +29,8 @@ from tabfold.llm.token_files import FIRST, ODD, byte_bpe_split, byte_bpe_split_o
 OWN = ["ids", "n_tokens", "decoded"]
 MEMO = 1 << 20  #: remembered token pairs of a worker (about 100 bytes each); more are forgotten and found again
 
+PIECES, LONG = 200_000, 40  #: remembered matches of a worker, and the most characters of one
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file with a base64 token and its rank on each line."""
@@ -81,6 +83,7 @@ class ByteBPE:
                 elif len(merged(ranks, token)) == 1:
                     raise ValueError(f"the merges of entry {rank} go through a later entry")
         self.fits.clear()  # judged while merges were still missing
+        self.sizes = {r: len(t) for r, t in self.bytes_of.items()}
         self.reachable = {t: r for t, r in ranks.items() if r in self.parts}
         for rank in self.parts:  # a prefix that merges cannot give is passed over
             while self.shorter[rank] is not None and self.shorter[rank] not in self.parts:
@@ -137,26 +140,29 @@ class ByteBPE:
         for end, (size, rank) in self.matches.iter(piece.decode("latin-1")):
             longest[end + 1 - size] = rank  # ends rise, so the last one stored is the longest
         alive = bytearray(b"\x01") * (len(piece) + 1)
-        size_of, shorter, fit = self.bytes_of, self.shorter, self.fit
+        sizes, shorter, known, fit = self.sizes, self.shorter, self.fits.get, self.fit
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], None
         while True:
-            last = out[-1] if out else None
             while token is not None:
-                end = at + len(size_of[token])
-                if alive[end] and (last is None or fit(last, token)):
-                    break
+                end = at + sizes[token]
+                if alive[end]:
+                    if last is None:
+                        break
+                    fits = known((last, token))
+                    if fits or fits is None and fit(last, token):
+                        break
                 token = shorter[token]
             if token is None:  # nothing fits here: take the last token back and try a shorter one
                 alive[at] = 0
                 token = out.pop()
-                at -= len(size_of[token])
+                at -= sizes[token]
+                last = out[-1] if out else None
             else:
                 out.append(token)
-                at = end
-                if at == len(piece):
+                if end == len(piece):
                     return out
-                token = longest[at]
+                at, last, token = end, token, longest[end]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -170,6 +176,7 @@ class Codec:
         self.bpe = ByteBPE(ranks)
         # white space as the tiktoken library's engine has it: without U+001C to U+001F
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.pieces: dict[str, list[int]] = {}
         # chunks are only known to stand apart for this pattern; others take whole texts
         apart = pattern == public_tokenizers.PATTERN
         self.chunks = ChunkEncoder(self.encode_chunks, byte_bpe_split, ODD, byte_bpe_split_odd) if apart else None
@@ -177,8 +184,15 @@ class Codec:
 
     def encode_text(self, text: str) -> list[int]:
         out: list[int] = []
-        for match in self.pattern.finditer(text):
-            out += self.bpe.encode_piece(match.group().encode())
+        for piece in self.pattern.findall(text):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.bpe.encode_piece(piece.encode())
+                if len(piece) <= LONG:
+                    if len(self.pieces) >= PIECES:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
+            out += ids
         return out
 
     def encode_chunks(self, chunks: list[str]) -> Ids:
@@ -198,6 +212,7 @@ class Codec:
 
     def forget(self) -> None:
         self.bpe.fits.clear()
+        self.pieces.clear()
         if self.chunks:
             self.chunks.keep([])
 
