@@ -28,7 +28,7 @@ from tabfold.operators.joins import bounded
 
 CHUNKS = 300_000  #: remembered chunks of each tokenizer in a worker
 LARGE = 1 << 12  #: links of a group that are written out one by one
-TOKENS = 4_000_000  #: tokens of remembered windows in a worker; beyond that they are found anew
+TOKENS = 6_000_000  #: tokens of remembered windows in a worker; beyond that they are found anew
 
 OWN = "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -175,15 +175,19 @@ class Aligner:
         inner = np.flatnonzero(next_a < len(ids_a))
         cut[inner] |= self.opens_a[ids_a[next_a[inner]]] & self.opens_b[ids_b[next_b[inner]]]
         to_a, to_b = next_a[cut], next_b[cut]
-        raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-        upto_a, upto_b = (4 * to_a).tolist(), (4 * to_b).tolist()
+        wide_a, wide_b = (np.min_scalar_type(len(t)).newbyteorder("<") for t in (self.size_a, self.size_b))
+        raw_a, raw_b = ids_a.astype(wide_a).tobytes(), ids_b.astype(wide_b).tobytes()
+        upto_a, upto_b = (wide_a.itemsize * to_a).tolist(), (wide_b.itemsize * to_b).tolist()
         keys = [(raw_a[s:e], raw_b[t:f]) for s, e, t, f in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
-        known = len(self.codes)
-        codes = np.fromiter((self.codes.setdefault(k, len(self.codes)) for k in keys), np.int64, len(keys))
-        if len(self.codes) > known:
-            new, at = np.unique(codes, return_index=True)
-            at = at[new >= known]  # where each new window is seen first, in the order of their codes
-            self.learn(*owned(ids_a, np.diff(to_a, prepend=0), at), *owned(ids_b, np.diff(to_b, prepend=0), at))
+        known = list(map(self.codes.get, keys))
+        first = []  # where each new window is seen first, in the order of their codes
+        for k in [k for k, code in enumerate(known) if code is None]:
+            code = known[k] = self.codes.setdefault(keys[k], len(self.codes))
+            if code == len(self.text) + len(first):
+                first.append(k)
+        if first:
+            self.learn(*owned(ids_a, np.diff(to_a, prepend=0), np.array(first)), *owned(ids_b, np.diff(to_b, prepend=0), np.array(first)))
+        codes = np.array(known, np.int64)
         return codes, np.searchsorted(text_ends, to_a - 1, side="right")
 
     def linked(self, codes: np.ndarray, of_text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
