@@ -21,6 +21,7 @@ from tabfold.llm.common import set_aside, with_text
 
 OWN = ["ids", "n_tokens", "decoded", "round_trip", "parity"]
 MARK = "▁"
+WORDS = 300_000  #: remembered words of a worker when decoding
 #: types of pieces in the model file
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -146,6 +147,7 @@ class Codec:
         library_threads(threads)
         self.model = Model.parse(data)
         self.tokenizer = build_tokenizer(self.model)
+        self.words: dict[bytes, str] = {}
         self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
         self.chunks = ChunkEncoder(self.encode_chunks, lambda texts: pc.split_pattern(texts, " "), ODD, split_at_marks) if apart_at_marks(self.model) else None
@@ -180,9 +182,31 @@ class Codec:
         return [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, back)]
 
     def forget(self) -> None:
+        self.words.clear()
         if self.chunks:
             self.chunks.keep([])
 
+    def decode_whole(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the id lists that end at ``ends`` of the joined ids. Where chunks stand
+        apart, so do words, the ids from one leading marker to the next: the library
+        decodes each distinct word once (without its leading space), kept in bounded memory."""
+        if not self.chunks:
+            return self.decode([x.tolist() for x in np.split(ids, ends[:-1])])
+        heads = self.opens[ids]
+        starts = np.concatenate([[0], ends[:-1]])
+        heads[starts[starts < ends]] = True
+        at = np.flatnonzero(heads)
+        raw, upto = ids.astype("<u4").tobytes(), (4 * np.append(at, len(ids))).tolist()
+        keys = [raw[s:e] for s, e in zip(upto, upto[1:])]
+        new = list(set(keys).difference(self.words))
+        if new:
+            self.words.update(zip(new, self.decode([np.frombuffer(k, "<u4").tolist() for k in new])))
+        words = list(map(self.words.__getitem__, keys))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        border = np.searchsorted(at, np.concatenate([[0], ends])).tolist()
+        return [" ".join(words[s:e]) for s, e in zip(border, border[1:])]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -224,7 +248,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", threa
             ids, n = codec.encode(part.column(at_text))
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = [x.tolist() for x in np.split(ids, ends[1:-1])]
-            ours = codec.decode(lists)
+            ours = codec.decode_whole(ids, ends[1:])
             whole = [a == b for a, b in zip(ours, map(codec.normal, texts))]
             cols = [part.column(i) for i in range(len(names))] + [
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(n), pa.array(ours),
