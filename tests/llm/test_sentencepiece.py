@@ -44,17 +44,6 @@ def test_without_chunks(codec):
     assert [p.tolist() for p in np.split(b[0], np.cumsum(b[1])[:-1])] == whole.theirs.encode(data)
 
 
-def test_words_decode_like_whole_texts(codec, monkeypatch):
-    """Also made id lists, with byte pieces that are no characters, and a full memory."""
-    monkeypatch.setattr(S, "WORDS", 50)
-    rng = np.random.default_rng(5)
-    lists = codec.theirs.encode(texts(600)) + [rng.integers(3, 32_000, rng.integers(1, 9)).tolist() for _ in range(300)]
-    lists = [x for x in lists if not x or codec.opens[x[0]]] + [[]]
-    for some in (lists[:400], lists[400:], lists[:1], [[]]):
-        ids, ends = np.array(sum(some, []), np.uint32), np.cumsum([len(x) for x in some])
-        assert codec.decode_whole(ids, ends) == codec.decode(some)
-
-
 def test_parity_is_each_rows_own(codec):
     data = ["one two", "a  b", "", "three"]
     lists = [codec.theirs.encode(t) for t in data]
