@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -169,17 +170,23 @@ def _evaluator(y: str, metric: str, cutoff: float | str) -> Evaluator:
     return CutoffF1(y, cutoff) if metric == "f1" else BinaryClassificationEvaluator(labelCol=y)
 
 
-def _cv_table(kind: str, df: DataFrame, feats, y: str, names: list[str], points: list[dict], fold: str,
-              metric: str, cutoff: float | str, weight: str | None, parallelism: int) -> DataFrame:
-    """Mean metric over the given folds for each parameter point, best first."""
-    data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
+def _search_scores(kind: str, data: DataFrame, y: str, names: list[str], points: list[dict], fold: str | None,
+                   metric: str, cutoff: float | str, weight: str | None, parallelism: int,
+                   train_ratio: float = 0.75, seed: int = 0) -> list[float]:
+    """Metric of each parameter point over assembled rows: its mean over the folds of
+    column ``fold``, or that of one split without it."""
     est = estimator(kind, y, weight)
-    maps = [{est.getParam(n): p[n] for n in names} for p in points]
+    how = dict(estimator=est, estimatorParamMaps=[{est.getParam(n): p[n] for n in names} for p in points],
+               evaluator=_evaluator(y, metric, cutoff), parallelism=parallelism)
+    if fold is None:
+        return TrainValidationSplit(trainRatio=train_ratio, seed=seed, **how).fit(data).validationMetrics
     k = data.select(fold).distinct().count()  # foldCol needs numFolds = number of folds
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(y, metric, cutoff), foldCol=fold,
-                        numFolds=k, parallelism=parallelism)
-    model = cv.fit(data.withColumn(fold, F.col(fold).cast("int")))
-    rows = [tuple([str(p[n]) for n in names] + [float(m)]) for p, m in zip(points, model.avgMetrics)]
+    return CrossValidator(foldCol=fold, numFolds=k, **how).fit(data.withColumn(fold, F.col(fold).cast("int"))).avgMetrics
+
+
+def _search_table(df: DataFrame, names: list[str], points: list[dict], scores: list[float], metric: str) -> DataFrame:
+    """One row per point, best first."""
+    rows = [tuple([str(p[n]) for n in names] + [float(m)]) for p, m in zip(points, scores)]
     out = df.sparkSession.createDataFrame(rows, ", ".join([f"{n} string" for n in names] + [f"{metric} double"]))
     return out.orderBy(F.col(metric).desc(), *names)
 
@@ -191,7 +198,9 @@ def grid_search(kind: str, df: DataFrame, feats, y: str, grid: dict, fold: str =
     optional class weights; one row per grid point, best first."""
     names = list(grid)
     points = [dict(zip(names, values)) for values in itertools.product(*grid.values())]
-    return _cv_table(kind, df, feats, y, names, points, fold, metric, cutoff, weight, parallelism)
+    data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
+    scores = _search_scores(kind, data, y, names, points, fold, metric, cutoff, weight, parallelism)
+    return _search_table(df, names, points, scores, metric)
 
 
 def random_search(kind: str, df: DataFrame, feats, y: str, space: dict, n: int, seed: int = 0,
@@ -200,46 +209,20 @@ def random_search(kind: str, df: DataFrame, feats, y: str, space: dict, n: int,
                   parallelism: int = 2) -> DataFrame:
     """``n`` random points of the parameter space (seeded), best first.
     With ``fold`` each point is scored over the given folds; else each is fit
-    on a train part and scored on the rest (TrainValidationSplit). With
-    ``max_seconds`` the points are tried one at a time and the search stops
-    starting new ones once the wall-clock budget is spent."""
+    on a train part and scored on the rest. With ``max_seconds`` the points are
+    tried one at a time, and none is started once the wall-clock budget is spent (the
+    first always is). Folds, weight and cutoff hold on every path."""
     rnd = random.Random(seed)
-    if fold:
-        points = [{k: rnd.choice(v) for k, v in space.items()} for _ in range(n)]
-        return _cv_table(kind, df, feats, y, list(space), points, fold, metric, cutoff, weight, parallelism)
-    if max_seconds is not None:
-        return _random_search_capped(kind, df, feats, y, space, n, seed, train_ratio, metric, max_seconds)
+    names = list(space)
+    points = [{k: rnd.choice(v) for k, v in space.items()} for _ in range(n)]
     data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
-    est = estimator(kind, y, weight)
-    maps = [{est.getParam(k): rnd.choice(v) for k, v in space.items()} for _ in range(n)]
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=maps, evaluator=_evaluator(y, metric, cutoff),
-                               trainRatio=train_ratio, seed=seed)
-    model = tvs.fit(data)
-    rows = [tuple([str(pm[est.getParam(k)]) for k in space] + [float(m)])
-            for pm, m in zip(maps, model.validationMetrics)]
-    out = df.sparkSession.createDataFrame(rows, ", ".join([f"{k} string" for k in space] + [f"{metric} double"]))
-    return out.orderBy(F.col(metric).desc(), *space.keys())
-
-
-def _random_search_capped(kind, df, feats, y, space, n, seed, train_ratio, metric, max_seconds) -> DataFrame:
-    import time
-
-    rnd = random.Random(seed)
-    data = assemble(feats).transform(df.withColumn(y, F.col(y).cast("double")))
-    ev = _evaluator(y, metric, 0.5)
+    scores: list[float] = []
     start = time.monotonic()
-    rows = []
-    for _ in range(n):
-        if rows and time.monotonic() - start > max_seconds:
+    for some in [points] if max_seconds is None else [[p] for p in points]:
+        if scores and time.monotonic() - start > max_seconds:
             break
-        est = estimator(kind, y)
-        pm = {est.getParam(k): rnd.choice(v) for k, v in space.items()}
-        tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=[pm], evaluator=ev, trainRatio=train_ratio,
-                                   seed=seed)
-        m = tvs.fit(data)
-        rows.append(tuple([str(pm[est.getParam(k)]) for k in space] + [float(m.validationMetrics[0])]))
-    out = df.sparkSession.createDataFrame(rows, ", ".join([f"{k} string" for k in space] + [f"{metric} double"]))
-    return out.orderBy(F.col(metric).desc(), *space.keys())
+        scores += _search_scores(kind, data, y, names, some, fold, metric, cutoff, weight, parallelism, train_ratio, seed)
+    return _search_table(df, names, points, scores, metric)
 
 
 def compare_learners(train: DataFrame, valid: DataFrame, feats, y: str, kinds: dict[str, dict],

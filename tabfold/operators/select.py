@@ -58,13 +58,13 @@ def class_diff(df: DataFrame, cols, y: str, mean_df: DataFrame | None = None) ->
         F.avg(F.when(F.col("y") == 0, F.col("value"))).alias("mean0"),
         F.avg(F.when(F.col("y") == 1, F.col("value"))).alias("mean1"),
         F.count_if(~F.col("value").isin(0.0, 1.0)).alias("_non01"),
-        F.count_distinct("value").alias("_nd"))
+        F.min("value").alias("_min"), F.max("value").alias("_max"))
     # exact class medians, scale-safe: one quantile pass over (feature, class) groups
     med = quantiles(long, ["value"], [0.5], by=["feature", "y"]) \
         .groupBy("feature").agg(F.first(F.when(F.col("y") == 0, F.col("q0")), ignorenulls=True).alias("med0"),
                                 F.first(F.when(F.col("y") == 1, F.col("q0")), ignorenulls=True).alias("med1"))
     g = g.join(med, "feature", "left")
-    binary = (F.col("_non01") == 0) & (F.col("_nd") == 2)
+    binary = (F.col("_non01") == 0) & (F.col("_min") < F.col("_max"))
     diff = F.when(binary, F.abs(F.col("mean0") - F.col("mean1"))).otherwise(F.abs(F.col("med0") - F.col("med1")))
     means = melt(mean_df if mean_df is not None else df, cols, y).groupBy("feature").agg(F.avg("value").alias("_mean"))
     return g.select("feature", diff.alias("diff")).join(means, "feature") \

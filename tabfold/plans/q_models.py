@@ -46,7 +46,8 @@ def _score_query(kind, weight=False, **params):
         tr, te, feats = model_frames(spark, d)
         if weight:
             tr = R.with_weight(tr, "y", "balanced")
-        m = M.fit(kind, tr, feats, "y", weight="weight" if weight else None, **params)
+        sized = {"layers": [len(feats), *params["layers"]]} if "layers" in params else {}  # the first layer is the features
+        m = M.fit(kind, tr, feats, "y", weight="weight" if weight else None, **{**params, **sized})
         return M.score(m, te, "key")
     q.__doc__ = (f"Fit {kind} ({', '.join(f'{k}={v}' for k, v in params.items()) or 'defaults'}"
                  f"{', balanced class weights' if weight else ''}) on train rows; score test rows.")
@@ -75,7 +76,7 @@ register("m4_random_forest_score")(_score_query("forest", numTrees=20, maxDepth=
 register("m5_gbt_weighted_score")(_score_query("gbt", weight=True, maxIter=15, maxDepth=3, seed=1))
 register("m6_gbt_regressor_score")(_score_query("gbt_regressor", maxIter=10, maxDepth=3, seed=1))
 register("m7_naive_bayes_score")(_score_query("naive_bayes", modelType="gaussian"))
-register("m8_mlp_score")(_score_query("mlp", layers=[9, 8, 2], maxIter=40, seed=1))
+register("m8_mlp_score")(_score_query("mlp", layers=[8, 2], maxIter=40, seed=1))
 
 
 @register("m10_adaboost_score")

@@ -170,3 +170,16 @@ def test_linear_losses_reach_the_numpy_optimum(spark, loss):
     numeric = lambda z: (LOSSES[loss](z + 1e-6)[0] - LOSSES[loss](z - 1e-6)[0]) / 2e-6
     z = np.array([-3.0, -0.5, 0.2, 0.9, 1.7])
     np.testing.assert_allclose(numeric(z), LOSSES[loss](z)[1], atol=1e-5)
+
+
+def test_random_search_honours_all_its_arguments(spark, frames):
+    """A generous time limit changes no score, with and without folds; a spent one leaves the first point."""
+    from tabfold.operators import sampling as R
+
+    tr, _, feats = frames
+    tr = R.with_weight(tr, "y", "balanced")
+    space, how = {"maxDepth": [1, 3]}, dict(seed=2, metric="f1", cutoff=0.3, weight="weight")
+    for fold in ("fold", None):
+        free = M.random_search("tree", tr, feats, "y", space, 2, fold=fold, **how).collect()
+        assert M.random_search("tree", tr, feats, "y", space, 2, fold=fold, max_seconds=1e6, **how).collect() == free
+    assert M.random_search("tree", tr, feats, "y", space, 2, max_seconds=0.0, **how).count() == 1
