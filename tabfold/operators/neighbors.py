@@ -11,7 +11,8 @@ emits the k best candidates per query, ties by key. The merge handles at most k
 
 A row is copied once per visited block, so copies follow the data's geometry, not the
 number of cells; on data without any (hundreds of equal dimensions), bounds exclude
-little and every cell is visited, still exactly.
+little and every cell is visited, still exactly. Tasks compute distances and make copies
+of vectors CHUNK numbers at a time, whatever the numbers of rows, cells and visits.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from tabfold.session import cut_lineage
 
 NB_SCHEMA = "qkey long, nkey long, dist double"
 MAX_PIVOTS = 4096  # bounds the pivot matrix that every task holds and the per-cell table on the driver
+CHUNK = 1 << 21  # numbers of one array in a task (16 MB): distances, differences, copied vectors
 SLACK = 1e-9  # relative widening of the bounds: far above rounding errors, so that no tie is lost
 
 
@@ -51,20 +53,23 @@ def _topk_fn(k: int, exclude_self: bool):
         qn = (qv * qv).sum(axis=1)
         bn = (bv * bv).sum(axis=1)
         out_q, out_n, out_d = [], [], []
-        step = max(1, 20_000_000 // bv.shape[0])  # rows of the squared-distance chunk
+        step = max(1, CHUNK // bv.shape[0])  # rows of the squared-distance chunk
+        pairs = max(1, CHUNK // max(1, bv.shape[1]))  # pairs re-measured at once
         for s in range(0, len(qv), step):
             qs = qv[s:s + step]
             d2 = qn[s:s + step, None] + bn[None, :] - 2.0 * (qs @ bv.T)
             if exclude_self:
-                d2 = np.where(qk[s:s + step, None] == bk[None, :], np.inf, d2)
+                d2[qk[s:s + step, None] == bk[None, :]] = np.inf
             kk = min(k, d2.shape[1])
             kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
             margin = 1e-9 * (qn[s:s + step] + bn.max()) + 1e-12
             rows, cols = np.nonzero((d2 <= (kth + margin)[:, None]) & np.isfinite(d2))
             if len(rows) == 0:
                 continue
-            diff = qs[rows] - bv[cols]
-            exact = np.sqrt((diff * diff).sum(axis=1))
+            exact = np.empty(len(rows))
+            for at in range(0, len(rows), pairs):
+                diff = qs[rows[at:at + pairs]] - bv[cols[at:at + pairs]]
+                exact[at:at + pairs] = np.sqrt((diff * diff).sum(axis=1))
             # the first k of each row by (distance, key): the merge can need no others
             order = np.lexsort((bk[cols], exact, rows))
             rows, cols, exact = rows[order], cols[order], exact[order]
@@ -102,6 +107,14 @@ def _distances(rows: pd.DataFrame, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def _slices(batches: Iterator[pd.DataFrame], n_cells: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that the distances to all pivots stay within CHUNK."""
+    step = max(1, CHUNK // max(1, n_cells))
+    for rows in batches:
+        for at in range(0, len(rows), step):
+            yield rows.iloc[at:at + step]
+
+
 def _slack(pivots: np.ndarray, radius: np.ndarray) -> float:
     """Absolute widening for distances that come from a difference of squares: the
     root of a rounding error relative to the largest squared norm."""
@@ -112,14 +125,31 @@ def _slack(pivots: np.ndarray, radius: np.ndarray) -> float:
 def _assigned(base: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Base rows with the number of their cell and the distance to its pivot."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                d = _distances(rows, pivots)
-                cell = d.argmin(axis=1)
-                yield rows.assign(cell=cell.astype("int32"), far=d[np.arange(len(rows)), cell])
+        for rows in _slices(batches, len(pivots)):
+            d = _distances(rows, pivots)
+            cell = d.argmin(axis=1)
+            yield rows.assign(cell=cell.astype("int32"), far=d[np.arange(len(rows)), cell])
     return base.mapInPandas(run, "key long, vec array<double>, cell int, far double")
 
 
+def _visits_fn(pivots: np.ndarray, radius: np.ndarray, n: np.ndarray, slack: float):
+    """One copy of a query per cell that can hold a row within its bound. The copies of a
+    batch are as many as its rows times the cells: at most CHUNK numbers leave at a time."""
+    def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _slices(batches, len(pivots)):
+            d = _distances(part, pivots)
+            within = part["within"].fillna(np.inf).to_numpy()[:, None] * (1 + SLACK) + 2 * slack
+            lower = np.maximum(d - radius[None, :], (d - d.min(axis=1)[:, None]) / 2)
+            row, cell = np.nonzero((lower <= within) & (n > 0)[None, :])
+            key, vec = part["key"].to_numpy(), part["vec"].to_numpy()
+            step = max(1, CHUNK // max(1, pivots.shape[1]))
+            for at in range(0, len(row), step):
+                some = row[at:at + step]
+                yield pd.DataFrame({"key": key[some], "vec": vec[some], "cell": cell[at:at + step].astype("int32")})
+
+    return visited
+
+
 def _block_of(key: str, n: np.ndarray, cell: str, seed: str) -> F.Column:
     """Block of a row among its cell's ``n[cell]`` blocks, by a keyed hash."""
     blocks = F.element_at(F.array(*[F.lit(int(x)) for x in n]), F.col(cell) + 1)
@@ -161,11 +191,10 @@ def knn_plan(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, excl
         full = n > k
 
         def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if len(part):
-                    d = np.where(full[None, :], _distances(part, pivots), np.inf)
-                    cell = np.where(full.any(), d.argmin(axis=1), -1)
-                    yield part.assign(cell=cell.astype("int32"))
+            for part in _slices(batches, n_cells):
+                d = np.where(full[None, :], _distances(part, pivots), np.inf)
+                cell = np.where(full.any(), d.argmin(axis=1), -1)
+                yield part.assign(cell=cell.astype("int32"))
 
         home = q.mapInPandas(at_home, "key long, vec array<double>, cell int").where("cell >= 0")
         per_cell = {r["cell"]: r["count"] for r in home.groupBy("cell").count().collect()}
@@ -179,17 +208,7 @@ def knn_plan(query: DataFrame, base: DataFrame, key: str, vec: str, k: int, excl
         bound = bound.groupBy("key").agg(F.max("within").alias("within"))
         bound = bound.join(q.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1"), "key").drop("_n")
 
-        def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if not len(part):
-                    continue
-                d = _distances(part, pivots)
-                within = part["within"].fillna(np.inf).to_numpy()[:, None] * (1 + SLACK) + 2 * slack
-                lower = np.maximum(d - radius[None, :], (d - d.min(axis=1)[:, None]) / 2)
-                row, cell = np.nonzero((lower <= within) & (n > 0)[None, :])
-                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "vec": part["vec"].to_numpy()[row], "cell": cell.astype("int32")})
-
-        visits = q.join(bound, "key", "left").select("key", "vec", "within").mapInPandas(visited, "key long, vec array<double>, cell int")
+        visits = q.join(bound, "key", "left").select("key", "vec", "within").mapInPandas(_visits_fn(pivots, radius, n, slack), "key long, vec array<double>, cell int")
     visits = cut_lineage(visits)
     per_cell = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
     q_blocks = np.array([max(1, -(-per_cell.get(c, 0) // rows)) for c in range(n_cells)])

@@ -360,3 +360,28 @@ def test_continuous_mutual_info_is_brute_force(spark, bucket_rows):
     df = spark.createDataFrame(rows, "a double, b double, c double, y int")
     got = {r.feature: r.mutual_info for r in X.mutual_info_continuous(df, ["a", "b", "c"], "y", k, bucket_rows).collect()}
     assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want) and want["a"] > 0.2
+
+
+def test_knn_tasks_hold_no_more_at_more_rows_and_cells():
+    """What one task holds at a time follows from CHUNK, not from the block or the visits."""
+    import tracemalloc
+
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    chunk = 8 * N.CHUNK
+
+    def frame(n, dims, **more):
+        return pd.DataFrame({"key": np.arange(n), "vec": list(rng.normal(size=(n, dims))), **more})
+
+    q, b = frame(12_000, 4), frame(1_200, 4)
+    tracemalloc.start()
+    got = N._topk_fn(3, True)(q, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 36_000 and peak < 6 * chunk
+    cells, dims = 100, 64  # no bound at all: every query visits every cell
+    part = frame(2_000, dims, within=np.full(2_000, np.nan))
+    out = list(N._visits_fn(rng.normal(size=(cells, dims)), np.ones(cells), np.ones(cells, int), 1e-9)(iter([part])))
+    assert sum(map(len, out)) == 2_000 * cells and max(map(len, out)) * dims <= N.CHUNK
+    whole = [(int(k), int(c)) for o in out for k, c in zip(o["key"], o["cell"])]
+    assert len(set(whole)) == 2_000 * cells
