@@ -20,6 +20,7 @@ from tabfold.operators import select as X
 from tabfold.operators import setops as U
 from tabfold.operators.joins import bounded
 from tabfold.plans.registry import register
+from tabfold.session import cut_lineage
 from tabfold.sources import files as S
 from tabfold.sources.tables import entity, scores_long, train_test
 
@@ -82,6 +83,7 @@ def z3_group_feature_table(spark: SparkSession, d: str) -> DataFrame:
     st = U.stack_train_test(tr, te)
     st = st.withColumn("seg_prio", FE.cross("segment", "priority")) \
            .withColumn("price_per_nation", FE.ratio("price", F.col("nation") + 1))
+    st = cut_lineage(st)  # read by every fit below
     only_train = U.level_diff(st.where("is_train = 1"), st.where("is_train = 0"), "seg_prio")
     st = st.join(bounded(only_train), "seg_prio", "left_anti")
     codes = E.fit_factorize(st, "seg_prio", "key").select(F.col("level").alias("seg_prio"),
@@ -91,6 +93,7 @@ def z3_group_feature_table(spark: SparkSession, d: str) -> DataFrame:
     st = FE.group_stats(st, ["segment", "priority"], "acctbal", aggs=("min", "mean", "max", "std"))
     st = C.fill_const(st, {"rating": 0})
     num = [c for c, t in st.dtypes if t in ("int", "bigint", "double") and c not in ("key", "y", "is_train")]
+    st = cut_lineage(st.select("key", "y", "is_train", *num))  # read by every test of the columns
     const = {r[0] for r in C.constant_columns(st.select(*num)).collect()}
     lab = st.where(F.col("y").isNotNull())
     same = {r[0] for r in X.same_distribution(lab, [c for c in num if c not in const], "y").collect()}
@@ -158,14 +161,15 @@ def z6_score_blend(spark: SparkSession, d: str) -> DataFrame:
     for m in ("m1", "m2", "m3"):
         for sp in ("oof", "test"):
             S.write_csv(sl.where((F.col("model") == m) & (F.col("split") == sp)).select("key", "y", "p"),
-                        f"{root}/{m}_{sp}")
+                        f"{root}/{m}_{sp}", compression="gzip")
     long = S.read_scores(spark, f"{root}/*", "key string, y int, p double")
     long = long.withColumn("model", F.regexp_extract("file", r"/(m[0-9]+)_(oof|test)/", 1)) \
         .withColumn("split", F.regexp_extract("file", r"/(m[0-9]+)_(oof|test)/", 2))
     blend = B.blend(long, "hmean", key=["key", "split", "y"])
-    best = V.best_cutoff(V.sweep(blend.where(F.col("split") == "oof"), "y", "p_blend", 0.0, 0.01, 101))
+    best = cut_lineage(V.best_cutoff(V.sweep(blend.where(F.col("split") == "oof"), "y", "p_blend", 0.0, 0.01, 101)))
     test = blend.where(F.col("split") == "test").crossJoin(F.broadcast(best.select("cutoff")))  # one row
-    dec = test.select("key", (F.col("p_blend") > F.col("cutoff")).cast("int").alias("is_positive"))
+    # written once: both the submission and the result read it
+    dec = cut_lineage(test.select("key", (F.col("p_blend") > F.col("cutoff")).cast("int").alias("is_positive")))
     S.write_submission(dec, S.scratch_path(spark, "z6-out"), "key", "is_positive")
     return dec
 
@@ -214,8 +218,8 @@ def z9_undersampled_voting(spark: SparkSession, d: str) -> DataFrame:
     tr = C.fill_const(tr, {"rating": 0})
     feats = ["price", "acctbal", "rating", "nation"]
     sc = K.fit_minmax(tr, feats)
-    tr = R.add_fold(K.apply_scaler(tr, sc, feats, "minmax"), "key", 5, seed=8, by="y")
-    fit_rows = R.undersample(tr.where(F.col("fold") != 0), "y", "key", ratio=1.5, seed=8)
+    tr = M.written_once(R.add_fold(K.apply_scaler(tr, sc, feats, "minmax"), "key", 5, seed=8, by="y"), ["key", "y", "fold", *feats])
+    fit_rows = cut_lineage(R.undersample(tr.where(F.col("fold") != 0), "y", "key", ratio=1.5, seed=8))
     hold = tr.where(F.col("fold") == 0)
     longs = []
     for name, kind, params in [("lr", "logistic", {}), ("tree", "tree", {"maxDepth": 4}),

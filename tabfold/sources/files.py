@@ -39,9 +39,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, null_va
     return df.withColumns(fix) if fix else df
 
 
-def write_csv(df: DataFrame, path: str) -> str:
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> str:
     """CSV directory with a header in every part file (all tasks write)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).csv(path, compression=compression)
     return path
 
 

@@ -183,3 +183,62 @@ def test_random_search_honours_all_its_arguments(spark, frames):
         free = M.random_search("tree", tr, feats, "y", space, 2, fold=fold, **how).collect()
         assert M.random_search("tree", tr, feats, "y", space, 2, fold=fold, max_seconds=1e6, **how).collect() == free
     assert M.random_search("tree", tr, feats, "y", space, 2, max_seconds=0.0, **how).count() == 1
+
+
+def test_percent_of_models_without_a_split_is_null(spark):
+    df = spark.createDataFrame([(i, 1.0, i % 2) for i in range(20)], "key long, x double, y int")
+    t = M.importance_table([M.fit("tree", df, ["x"], "y", maxDepth=2)], ["x"], spark)
+    assert [tuple(r) for r in t.collect()] == [("x", 0.0, None)]
+
+
+@pytest.mark.parametrize("what", ["grid", "random", "compare", "forward", "rounds", "rounds_cv", "permute", "oof"])
+def test_input_of_many_fits_is_computed_once(spark, what):
+    """A UDF counts how often the rows of the input are computed."""
+    n, seen = 60, spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(2)
+    rows = [(i, float(x), float(z), int(x + e > 0), i % 3) for i, (x, z, e) in enumerate(rng.normal(size=(n, 3)))]
+    df = spark.createDataFrame(rows, "key long, x double, z double, y int, fold int").withColumn("x", counted("x"))
+    feats, train, valid = ["x", "z"], df.where("fold != 0"), df.where("fold = 0")
+    if what == "grid":
+        M.grid_search("tree", df, feats, "y", {"maxDepth": [1, 2]}).collect()
+    elif what == "random":
+        M.random_search("tree", df, feats, "y", {"maxDepth": [1, 2]}, 2, fold="fold").collect()
+    elif what == "compare":
+        M.compare_learners(train, valid, feats, "y", {"tree": {"maxDepth": 2}, "naive_bayes": {"modelType": "gaussian"}}).collect()
+    elif what == "forward":
+        M.forward_select("tree", train, valid, feats, "y", maxDepth=2).collect()
+    elif what == "rounds":
+        M.best_rounds(df.withColumn("v", F.col("fold") == 0), feats, "y", "v", max_iter=2, maxDepth=1).collect()
+    elif what == "rounds_cv":
+        M.best_rounds_cv(df, feats, "y", max_iter=2, maxDepth=1)
+    elif what == "permute":
+        model = M.fit("tree", df.select("y", F.col("key").cast("double").alias("x"), "z"), feats, "y", maxDepth=2)
+        M.permutation_importance(model, df, feats, "y", "key").collect()
+    else:
+        for out in M.cv_oof("tree", df, None, feats, "y", "key", maxDepth=2)[::2]:
+            out.collect()
+    assert seen.value == n
+
+
+def test_columns_permuted_together_equal_one_at_a_time(spark):
+    df = spark.createDataFrame([(i, i * 10, i * 100) for i in range(50)], "key long, a long, b long")
+    both = {r["key"]: r for r in M.permute_columns(df, ["a", "b"], "key", 3).collect()}
+    for c, times in (("a", 10), ("b", 100)):
+        one = {r["key"]: r[c] for r in M.permute_column(df, c, "key", 3).collect()}
+        assert one == {k: r[f"_perm_{c}"] for k, r in both.items()}
+        assert sorted(one.values()) == [i * times for i in range(50)] and one != {i: i * times for i in range(50)}
+
+
+def test_scores_side_by_side_equal_a_pivot_with_one_shuffle(spark):
+    long = spark.createDataFrame([(k, m, (k + 1) / (j + 2)) for k in range(30) for j, m in enumerate(["m1", "m2", "m3"]) if (k + j) % 4],
+                                 "key long, model string, p double")
+    wide = M._one_column_per_model(long, ["key"], ["m1", "m2"])
+    want = long.groupBy("key").pivot("model", ["m1", "m2"]).agg(F.first("p"))
+    assert wide.columns == want.columns and sorted(map(str, wide.collect())) == sorted(map(str, want.collect()))
+    assert [x._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") for x in (wide, want)] == [1, 2]
