@@ -28,7 +28,7 @@ from tabfold.operators.joins import bounded
 
 CHUNKS = 300_000  #: remembered chunks of each tokenizer in a worker
 LARGE = 1 << 12  #: links of a group that are written out one by one
-TOKENS = 6_000_000  #: tokens of remembered windows in a worker; beyond that they are found anew
+TOKENS = 3_000_000  #: tokens of remembered windows in a worker (about 250 MB); beyond that they are found anew
 
 OWN = "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -102,7 +102,7 @@ class Aligner:
 
     def forget(self) -> None:
         """Of each window by its code: groups as text, and the linked pairs' place, number and times."""
-        self.codes: dict[tuple[bytes, bytes], int] = {}
+        self.codes: dict[bytes, int] = {}
         self.text = np.zeros(0, object)
         self.n_groups, self.n_links, self.start, self.count, self.pairs, self.times = (np.zeros(0, np.int64) for _ in range(6))
         self.tokens = 0
@@ -178,7 +178,8 @@ class Aligner:
         wide_a, wide_b = (np.min_scalar_type(len(t)).newbyteorder("<") for t in (self.size_a, self.size_b))
         raw_a, raw_b = ids_a.astype(wide_a).tobytes(), ids_b.astype(wide_b).tobytes()
         upto_a, upto_b = (wide_a.itemsize * to_a).tolist(), (wide_b.itemsize * to_b).tolist()
-        keys = [(raw_a[s:e], raw_b[t:f]) for s, e, t, f in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
+        between = np.array(len(self.size_a), wide_a).tobytes()  # no id of A: one key of bytes tells both sides
+        keys = [raw_a[s:e] + between + raw_b[t:f] for s, e, t, f in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
         known = list(map(self.codes.get, keys))
         first = []  # where each new window is seen first, in the order of their codes
         for k in [k for k, code in enumerate(known) if code is None]:

@@ -114,3 +114,17 @@ def test_counts(spark, libraries):
     shuffled = score_links(aligned, counts).select("doc_id", *COLUMNS).collect()
     monkey.undo()
     assert sorted(map(tuple, shuffled)) == sorted(map(tuple, score_links(aligned, counts).select("doc_id", *COLUMNS).collect()))
+
+
+def test_windows_are_remembered_in_little(libraries):
+    """One string of bytes a window, which tells both sides apart (a pair of strings in a
+    tuple took twice the memory); what is remembered is found again under the same code."""
+    aligner = alignment.Aligner(A, B)
+    texts = ["tokenization of words", "tokenization of  words", "internationalisation 12 漢字"]
+    first = aligner(alignment.pa.array(texts))
+    codes = dict(aligner.codes)
+    assert codes and all(type(k) is bytes for k in codes)
+    between = np.array(len(aligner.size_a), np.min_scalar_type(len(aligner.size_a))).tobytes()
+    assert all([k[i:i + 2] for i in range(0, len(k), 2)].count(between) >= 1 for k in codes)
+    again = aligner(alignment.pa.array(texts))
+    assert aligner.codes == codes and all(np.array_equal(x, y) for x, y in zip(first, again))
