@@ -108,3 +108,26 @@ def test_edge_cases(spark):
     assert {r.doc_id: r.n_tokens for r in got if r.doc_id in (1, 2)} == {1: 0, 2: 0}
     assert S.encode_documents(out.select("doc_id", "text").where("false"), FILE).count() == 0
     assert out.where(F.col("text").isNull()).first().decoded == ""
+
+
+def test_decoding_works_on_whole_texts(codec, monkeypatch):
+    byte = {p: i for i, (p, _, _) in enumerate(codec.model.pieces)}
+    spelt = [byte["<0xE2>"], byte["<0x96>"], byte["<0x81>"]]  # a marker in bytes is no space
+    data = ["one two", "", " a  b ", "é漢 x"]
+    lists = [codec.theirs.encode(t) for t in data] + [[*codec.theirs.encode("one"), *spelt], [byte["<0xE2>"]]]
+    ours = codec.decode(lists)
+    assert ours == [codec.theirs.decode(i) for i in lists] and ours[4] == "one▁"
+
+    class Arrays:
+        def __init__(self, theirs):
+            self.theirs = theirs
+
+        def encode(self, texts, num_threads):
+            return self.theirs.encode(texts, num_threads=num_threads)
+
+        def decode(self, ids):
+            assert isinstance(ids, np.ndarray)  # a list of lists took twice the time
+            return self.theirs.decode(ids)
+
+    monkeypatch.setattr(codec, "theirs", Arrays(codec.theirs))
+    assert codec.agree(data, lists[:4], ours[:4]) == [True] * 4
