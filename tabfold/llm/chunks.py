@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,13 +133,14 @@ class ChunkEncoder:
         texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
         lists = self.lists(texts)
         flat = lists.flatten().dictionary_encode()
-        which, distinct = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        codes = list(map(self.code.get, distinct))
-        new = [c for c, k in zip(distinct, codes) if k is None]
+        # by way of numpy, which makes the strings several times faster than to_pylist
+        which, distinct = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(codes < 0)
+        new = [distinct[k] for k in unknown.tolist()]
         if new:
+            codes[unknown] = np.arange(len(self.code), len(self.code) + len(new))
             self.learn(new)
-            codes = [self.code[c] if k is None else k for c, k in zip(distinct, codes)]
-        codes = np.array(codes, np.int64)
         self.hits[codes] += np.bincount(which, minlength=len(codes))
         each = codes[which]
         ids = self.gather(each)

@@ -131,3 +131,18 @@ def test_decoding_works_on_whole_texts(codec, monkeypatch):
 
     monkeypatch.setattr(codec, "theirs", Arrays(codec.theirs))
     assert codec.agree(data, lists[:4], ours[:4]) == [True] * 4
+
+
+def test_library_is_asked_for_ids_alone(codec, monkeypatch):
+    """Places in the text are a quarter of the library's time and nobody reads them."""
+    data = texts(50)
+    ids, n = S.Codec(open(FILE, "rb").read()).encode(data)
+
+    class IdsAlone:
+        def __init__(self, tokenizer):
+            self.encode_batch_fast = tokenizer.encode_batch_fast
+
+    fresh = S.Codec(open(FILE, "rb").read())
+    monkeypatch.setattr(fresh, "tokenizer", IdsAlone(fresh.tokenizer))
+    again = fresh.encode(data)
+    assert np.array_equal(ids, again[0]) and np.array_equal(n, again[1])
