@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +172,9 @@ class Aligner:
         shared = np.flatnonzero(end_b[other] == end_a)
         next_a, next_b = shared + 1, other[shared] + 1
         text_ends = np.cumsum(n_a)
-        cut = np.isin(next_a, text_ends)
+        is_end = np.zeros(len(ids_a) + 1, bool)
+        is_end[text_ends] = True
+        cut = is_end[next_a]
         inner = np.flatnonzero(next_a < len(ids_a))
         cut[inner] |= self.opens_a[ids_a[next_a[inner]]] & self.opens_b[ids_b[next_b[inner]]]
         to_a, to_b = next_a[cut], next_b[cut]
@@ -180,15 +183,15 @@ class Aligner:
         upto_a, upto_b = (wide_a.itemsize * to_a).tolist(), (wide_b.itemsize * to_b).tolist()
         between = np.array(len(self.size_a), wide_a).tobytes()  # no id of A: one key of bytes tells both sides
         keys = [raw_a[s:e] + between + raw_b[t:f] for s, e, t, f in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
-        known = list(map(self.codes.get, keys))
-        first = []  # where each new window is seen first, in the order of their codes
-        for k in [k for k, code in enumerate(known) if code is None]:
-            code = known[k] = self.codes.setdefault(keys[k], len(self.codes))
-            if code == len(self.text) + len(first):
-                first.append(k)
-        if first:
-            self.learn(*owned(ids_a, np.diff(to_a, prepend=0), np.array(first)), *owned(ids_b, np.diff(to_b, prepend=0), np.array(first)))
-        codes = np.array(known, np.int64)
+        codes = np.fromiter(map(self.codes.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            new = [keys[k] for k in unknown.tolist()]
+            # where each new window is seen first, in the order of their codes
+            first = np.array(sorted(dict(zip(reversed(new), unknown[::-1].tolist())).values()))
+            self.codes.update(zip([keys[k] for k in first.tolist()], range(len(self.codes), len(self.codes) + len(first))))
+            codes[unknown] = np.fromiter(map(self.codes.get, new), np.int64, len(new))
+            self.learn(*owned(ids_a, np.diff(to_a, prepend=0), first), *owned(ids_b, np.diff(to_b, prepend=0), first))
         return codes, np.searchsorted(text_ends, to_a - 1, side="right")
 
     def linked(self, codes: np.ndarray, of_text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, decoders
@@ -128,3 +129,21 @@ def test_windows_are_remembered_in_little(libraries):
     assert all([k[i:i + 2] for i in range(0, len(k), 2)].count(between) >= 1 for k in codes)
     again = aligner(alignment.pa.array(texts))
     assert aligner.codes == codes and all(np.array_equal(x, y) for x, y in zip(first, again))
+
+
+def test_text_ends_are_marked_not_sorted_for(monkeypatch):
+    """New and known windows, repeated and not, in one batch; no sort of all tokens to find text ends."""
+    aligner = alignment.Aligner(A, B)
+    data = ["one two two", "", "two three", "one two two", "naïve — three"]
+    want = [alignment.Aligner(A, B)(pa.array([t])) for t in data]
+
+    def sorts(*_):
+        raise AssertionError("np.isin sorts all tokens")
+
+    monkeypatch.setattr(alignment.np, "isin", sorts)
+    aligner(pa.array(data[2:3]))
+    found = aligner(pa.array(data))
+    for k in range(5):
+        assert list(found[k]) == [w[k][0] for w in want]
+    assert found[6].tolist() == [p for w in want for p in w[6].tolist()]
+    assert found[7].tolist() == [p for w in want for p in w[7].tolist()]
