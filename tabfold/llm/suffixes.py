@@ -35,7 +35,7 @@ from tabfold.llm.common import dropped, release, stored
 LENGTH = 200
 #: a perfect difference set: every remainder is the difference of two of these
 V, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BLOCK_BYTES = 4 << 20  #: text bytes of a block; the arrays of a task take about 50 times as much
+BLOCK_BYTES = 2 << 20  #: text bytes of a block; the arrays of a task take about 50 times as much, 100 times where all of it repeats
 BUCKET_KEYS = 3 << 20  #: keys of a bucket on average
 BROADCAST_ROWS = 300_000  #: rows of about 100 bytes that are broadcast at most
 WIDE_FROM = 1 << 28  #: long ties from which keys have 128 bits, not 64
@@ -249,7 +249,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     rows = docs.select(F.col(key).alias("key"), sha.alias("id"), raw.alias("text")).where(F.octet_length("text") >= length)
     if few:
         rows = rows.join(F.broadcast(copies), (F.col("id") == F.col("sha")) & F.col("key").eqNullSafe(F.col("k")), "left_anti")
-    blocks = stored(text_blocks(rows.select("id", "text")), "blocks")
+    blocks = stored(text_blocks(rows.select("id", "text")), "blocks", long_rows=True)
     n_sampled = (blocks.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0) * len(COVER) // V
 
     def sample_keys(row: dict) -> Keys:

@@ -93,3 +93,30 @@ def test_long_and_empty(spark):
     assert result(spark, []) == [] and result(spark, [(1, None)])[0][:4] == (1, 0, 0, 0)
     with pytest.raises(ValueError):
         suffix_dedup(spark.createDataFrame([(1, "x")], "doc_id long, text string"), length=V)
+
+
+def test_long_rows_are_held_a_few_at_a_time(spark):
+    """Row groups and the batches that workers get are bounded in bytes; the session's setting is as before."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tabfold.llm import common
+
+    def long(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                data = np.random.default_rng(i).integers(0, 256, 3 << 20).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data.tobytes()])], names=["id", "data"])
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    table = common.stored(spark.range(0, 24, 1, 1).mapInArrow(long, "id long, data binary"), "long", long_rows=True)
+    file = pq.ParquetFile(table.inputFiles()[0].removeprefix("file://")).metadata
+    assert max(file.row_group(k).num_rows for k in range(file.num_row_groups)) <= 7
+    seen = [r.n for r in common.stored(table.mapInArrow(rows, "n long"), "rows").collect()]
+    assert sum(seen) == 24 and max(seen) <= 4
+    assert spark.conf.get(name, None) == before
