@@ -385,3 +385,37 @@ def test_knn_tasks_hold_no_more_at_more_rows_and_cells():
     assert sum(map(len, out)) == 2_000 * cells and max(map(len, out)) * dims <= N.CHUNK
     whole = [(int(k), int(c)) for o in out for k, c in zip(o["key"], o["cell"])]
     assert len(set(whole)) == 2_000 * cells
+
+
+def test_knn_copies_no_vector_for_a_visit(spark):
+    """Without geometry every query visits every cell; what is written stays near the table's own size."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(12)
+    n, dims = 2000, 32
+    x = rng.normal(size=(n, dims)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def size():
+        return sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+
+    before = size()
+    got = N.knn(df, df, "id", "v", 3, block_rows=100).toPandas()
+    assert size() - before < 3 * x.nbytes
+    d = np.sqrt(((x[:, None].astype("float64") - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    g = got.sort_values(["qkey", "j"])
+    assert len(g) == 3 * n
+    np.testing.assert_array_equal(g.nkey.to_numpy().reshape(n, 3), np.argsort(d, axis=1, kind="stable")[:, :3])
+    np.testing.assert_allclose(g.dist.to_numpy().reshape(n, 3), np.sort(d, axis=1)[:, :3])
+
+
+def test_knn_of_repeated_and_missing_keys(spark):
+    """Rows that come twice are neighbours twice and their queries share k places; no key is never one's own."""
+    df = spark.createDataFrame([(1, [0.0]), (1, [0.0]), (2, [1.0]), (2, [1.0]), (3, [5.0]), (4, None)], "id long, v array<double>")
+    got = {(r.qkey, r.j): (r.nkey, r.dist) for r in N.knn(df, df, "id", "v", 2, block_rows=1).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (2, 1.0), (2, 1): (1, 1.0), (2, 2): (1, 1.0), (3, 1): (2, 4.0), (3, 2): (2, 4.0)}
+    none = spark.createDataFrame([(None, [0.0]), (7, [3.0])], "id long, v array<double>")
+    assert {(r.qkey, r.nkey, r.dist) for r in N.knn(none, none, "id", "v", 1).collect()} >= {(7, -(1 << 63), 3.0)}
+    assert N.knn(df, df.where("id = 4"), "id", "v", 1).count() == 0
