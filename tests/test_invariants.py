@@ -419,3 +419,27 @@ def test_knn_of_repeated_and_missing_keys(spark):
     none = spark.createDataFrame([(None, [0.0]), (7, [3.0])], "id long, v array<double>")
     assert {(r.qkey, r.nkey, r.dist) for r in N.knn(none, none, "id", "v", 1).collect()} >= {(7, -(1 << 63), 3.0)}
     assert N.knn(df, df.where("id = 4"), "id", "v", 1).count() == 0
+
+
+def test_knn_vote_copies_no_vector_for_a_visit(spark):
+    """M9 goes by the same search: votes as by brute force, little written."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(13)
+    n, dims, k = 1500, 32, 5
+    x, y = rng.normal(size=(n, dims)).astype("float32"), rng.integers(0, 3, n)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, v array<float>, c int")
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def size():
+        return sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+
+    before = size()
+    got = {r.id: (r.pred, r.vote_share) for r in N.knn_vote(df, df, "id", "v", "c", k, weighted=True, block_rows=100).collect()}
+    assert size() - before < 3 * x.nbytes
+    d = np.sqrt(((x[:, None].astype("float64") - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, n, 7):
+        near = np.argsort(d[i], kind="stable")[:k]
+        votes = np.bincount(y[near], 1 / d[i, near], minlength=3)
+        assert got[i][0] == votes.argmax() and got[i][1] == pytest.approx(votes.max() / votes.sum(), abs=1e-9)
